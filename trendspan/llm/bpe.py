@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendspan.llm.pieces import PieceTable, Strings, slices
 from trendspan.llm.shared import table
 
 PATTERN = public_tokenizers.PATTERN
@@ -33,11 +34,6 @@ SHORT = 64
 NONE = np.int32(2**31 - 1)
 #: Signs that are a word of their own between a letter and a space.
 ENDS = ".,;:!?|"
-#: Pieces that one Python worker keeps the ids of; beyond it the cache starts anew.
-CACHED = 600_000
-#: Characters of text that are split up at a time.
-SLICE = 2_000_000
-
 
 def byte_chars() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
@@ -71,16 +67,16 @@ class Codec:
         self.pair_rank = dict(zip(keys.tolist(), range(len(merges)), strict=True))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *self.special.values()]) + 1
-        self.token_bytes = [b""] * size
+        token_bytes = [b""] * size
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(byte_of[c] for c in token)
+            token_bytes[i] = bytes(byte_of[c] for c in token)
         for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
-        self.decimal = [str(i) for i in range(size)]
+            token_bytes[i] = token.encode()
+        self.bytes_of, self.decimal = Strings(token_bytes), Strings([b"%d," % i for i in range(size)])
         longest_first = sorted(self.special, key=len, reverse=True)
         self.split_special = re.compile("|".join(map(re.escape, longest_first))) if self.special else None
         self.words = regex.compile(PATTERN).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.table = PieceTable(self.encode_pieces, [s.encode() for s in self.special])
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each adjacent pair; NONE where the vocabulary has no such merge."""
@@ -162,78 +158,50 @@ class Codec:
             out.update(zip((w for w, _ in same), self.merge_same_length([b for _, b in same]), strict=True))
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of the pieces, whole stretches of text up to a space, into the cache."""
-        words, ended, other = set(), [], {}
-        for p in pieces:
-            body = p[1:] if p[0] == " " else p
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, each a stretch of text, in one array; and the number of ids of each piece."""
+        texts = [p.decode() for p in pieces]
+        words: set[str] = set()
+        split: list[list[str]] = []
+        for t in texts:
+            body = t[1:] if t[:1] == " " else t
             if body.isalpha():  # one run of letters
-                words.add(p)
-            elif body[:-1].isalpha() and body[-1] in ENDS:  # and one sign after it
-                ended.append(p)
-                words.add(p[:-1])
+                split.append([t])
+            elif body[-1:] in ENDS and body[:-1].isalpha():  # and one sign after it
+                split.append([t[:-1], t[-1]])
+            elif self.split_special is not None and self.split_special.search(t):
+                split.append(self.words_and_specials(t))
             else:
-                other[p] = self.words(p)
-        ids = self.merge_words(words.union(*other.values()).difference(self.cache))
-        cache = self.cache
-        get = lambda w: ids[w] if w in ids else cache[w]
-        split = {p: tuple(chain.from_iterable(map(get, w))) for p, w in other.items()}
-        ends = {c: (int(self.base[ord(c)]),) for c in ENDS}
-        split |= {p: get(p[:-1]) + ends[p[-1]] for p in ended}
-        cache.update((w, i) for w, i in ids.items() if w in words)
-        cache.update(split)
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        pieces = [_pieces(t, self.split_special) for t in texts]
-        wanted = set().union(*pieces) if pieces else set()
-        missing = wanted.difference(self.cache, self.special)
-        if missing:
-            if len(self.cache) + len(missing) > CACHED:
-                self.cache.clear()
-                missing = wanted.difference(self.special)
-            self.learn(missing)
-        ids = self.cache.__getitem__
-        if self.special and any(s in wanted for s in self.special):
-            special = {s: (i,) for s, i in self.special.items()}
-            ids = lambda p: special[p] if p in special else self.cache[p]
-        return [list(chain.from_iterable(map(ids, p))) for p in pieces]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
-
-
-_BEFORE_WORD = re.compile(r" (?=\S)")
-
-
-def _pieces(text: str, special: re.Pattern | None) -> list[str]:
-    """Cut a text before each space that a non-space follows: no word of PATTERN crosses such a place.
-
-    Special tokens stand alone, as the library finds them before it looks for words.
-    """
-    if special is not None and special.search(text):
+                split.append(self.words(t))
+            words.update(split[-1])
+        ids = self.merge_words(words.difference(self.special)) | {s: (i,) for s, i in self.special.items()}
+        found = [ids[w[0]] if len(w) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, w))) for w in split]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint16, count=int(counts.sum())), counts
+
+    def words_and_specials(self, text: str) -> list[str]:
         out, at = [], 0
-        for m in special.finditer(text):
-            out += [*_pieces(text[at : m.start()], None), m[0]]
+        for m in self.split_special.finditer(text):
+            out += [*self.words(text[at : m.start()]), m[0]]
             at = m.end()
-        return out + _pieces(text[at:], None)
-    first, *rest = _BEFORE_WORD.split(text)
-    pieces = [" " + p for p in rest]
-    if first:
-        pieces.append(first)
-        pieces.insert(0, pieces.pop())
-    return pieces
-
-
-def sliced(texts: list[str], limit: int = SLICE) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about ``limit`` characters together, with the place of the first."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+        return out + self.words(text[at:])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts (null: empty) in one array, and the number of ids of each text."""
+        return self.table.texts(column)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        run, ends = self.bytes_of.joined(ids)
+        last = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        raw = run.tobytes()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(last, last[1:], strict=False)]
+
+    def digests(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """SHA-256 of the decimal ids of each text, joined by commas."""
+        run, ends = self.decimal.joined(ids)
+        last = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        raw = memoryview(run.tobytes())
+        return [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(last, last[1:], strict=False)]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -255,10 +223,10 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(columns.index(text)).to_pylist()]
-            for at, some in sliced(texts):
-                ids = pa.array(coder.encode_batch(some), type=pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns), ids], [*columns, out])
+            for at, some in slices(batch.column(columns.index(text))):
+                ids, counts = coder.encode(some)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns), lists], [*columns, out])
 
     return df.mapInArrow(run, schema)
 
@@ -272,7 +240,10 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(tokenizer_path)
         for batch in batches:
-            texts = [coder.decode(x or ()) for x in batch.column(columns.index(ids)).to_pylist()]
+            lists = batch.column(columns.index(ids)).to_pylist()
+            counts = np.array([len(x or ()) for x in lists], dtype=np.int64)
+            flat = np.fromiter(chain.from_iterable(x or () for x in lists), dtype=np.int64, count=int(counts.sum()))
+            texts = coder.decode(flat, counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], [*columns, out])
 
     return df.mapInArrow(run, schema)
@@ -290,15 +261,11 @@ def bpe_round_trip(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at, some in sliced(texts):
-                n, encoded, decoded = [], [], []
-                for ids in coder.encode_batch(some):
-                    n.append(len(ids))
-                    encoded.append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
+            for at, some in slices(batch.column(1)):
+                ids, counts = coder.encode(some)
+                decoded = [hashlib.sha256(t.encode()).hexdigest() for t in coder.decode(ids, counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(some)), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
+                    [batch.column(0).slice(at, len(some)), pa.array(counts), pa.array(coder.digests(ids, counts), pa.string()), pa.array(decoded, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
