@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trendspan.llm.bpe import op10_bpe
+from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
+from trendspan.llm.simhash import op7_simhash
+from trendspan.llm.token_stream import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op3_line_dedup": op3_line_dedup,
+    "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}

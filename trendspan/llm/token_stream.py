@@ -46,11 +46,12 @@ NULL_ID = -(1 << 63)
 _TABLE_BITS = 11
 _TOP = np.int64((1 << 48) - 1)
 _LOW = np.int64(1 << 32)
+_UP, _DOWN = np.int32(16000), np.int32(384)
 _SLOT = (1 << _TABLE_BITS) - 1
 #: Sizes of a byte's symbols add up to this.
 _PART = 1 << 12
 _STEPS = np.arange(1, 257, dtype=np.int32)
-_REBUILD = 128
+_REBUILD = 256
 #: Where the two bounds between the three outcomes move to after each outcome.
 _TARGET_P = np.array([65536 - 512, 256, 256], dtype=np.int32)
 _TARGET_Q = np.array([65536 - 256, 65536 - 256, 512], dtype=np.int32)
@@ -119,6 +120,10 @@ class _Lanes:
         self.counts = np.ones((lanes * 5, 256), dtype=np.float32)
         self.bounds = np.zeros((lanes * 5, 257), dtype=np.int32)
         self.rebuild()
+        # Rows of what lies before, between and after the two bounds; and the models' differences there.
+        self.lane = lane
+        self.edges, self.apart = np.zeros((4, lanes), dtype=np.int64), np.zeros((4, lanes), dtype=np.int32)
+        self.edges[3] = 65536
         self.last, self.hash = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
 
     def rebuild(self) -> None:
@@ -139,17 +144,20 @@ class _Lanes:
         self.p1, self.q1 = self.a1.take(self.s1), self.b1.take(self.s1)
         self.p2, self.q2 = self.a2.take(self.s2), self.b2.take(self.s2)
         # Bounds have 16 bits and the weight 14, so the products fit into 32 bits.
-        self.dp, self.dq = self.p2 - self.p1, self.q2 - self.q1
-        self.p, self.q = (self.dp * self.weight >> 14) + self.p1, (self.dq * self.weight >> 14) + self.q1
+        dp, dq = np.subtract(self.p2, self.p1, out=self.apart[1]), np.subtract(self.q2, self.q1, out=self.apart[2])
+        self.p = np.add(dp * self.weight >> 14, self.p1, out=self.edges[1])
+        self.q = np.add(dq * self.weight >> 14, self.q1, out=self.edges[2])
 
     def span(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = np.choose(outcome, (0, self.p, self.q))
-        return low, np.choose(outcome, (self.p, self.q, 65536)) - low
+        self.below = outcome * len(self.lane) + self.lane
+        self.above = self.below + len(self.lane)
+        low = self.edges.take(self.below)
+        return low, self.edges.take(self.above) - low
 
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         # The model that gave the outcome more room gains weight.
-        gain = np.choose(outcome, (self.dp, self.dq - self.dp, -self.dq))
-        self.weight += np.choose(np.sign(gain) + 1, (384 - self.weight, 0, 16000 - self.weight)) >> 5
+        gain = self.apart.take(self.above) > self.apart.take(self.below)
+        self.weight += (np.where(gain, _UP, _DOWN) - self.weight) >> 5
         p, q = _TARGET_P.take(outcome), _TARGET_Q.take(outcome)
         self.a2[self.s2], self.b2[self.s2] = (p - self.p2 >> 4) + self.p2, (q - self.q2 >> 4) + self.q2
         self.a1[self.s1], self.b1[self.s1] = (p - self.p1 >> 4) + self.p1, (q - self.q1 >> 4) + self.q1
