@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trendspan.llm.bpe import op10_bpe
+from trendspan.llm.decontamination import op4_decontamination
 from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
 from trendspan.llm.simhash import op7_simhash
 from trendspan.llm.token_stream import op1_token_files
+from trendspan.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Ids that are broadcast at most; 8 bytes each.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is not among the distinct, stored ``ids``; rows without a key stay.
+
+    Few ids are broadcast, so that the texts stay where they are; more are joined by a shuffle.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
+
+
 class Scratch:
     """Parquet tables in the shared folder, which cut lineage and survive the loss of any executor."""
 
