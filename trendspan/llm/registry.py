@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trendspan.llm.bpe import op10_bpe
+from trendspan.llm.chat import OP6_SQL, op6_chat
+from trendspan.llm.curves import op9_curves
 from trendspan.llm.decontamination import op4_decontamination
 from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
 from trendspan.llm.simhash import op7_simhash
@@ -18,10 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
+    "op9_curves": op9_curves,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op6_chat": OP6_SQL,
 }
