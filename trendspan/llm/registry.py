@@ -10,6 +10,7 @@ from trendspan.llm.bpe import op10_bpe
 from trendspan.llm.chat import OP6_SQL, op6_chat
 from trendspan.llm.curves import op9_curves
 from trendspan.llm.decontamination import op4_decontamination
+from trendspan.llm.html_text import op8_html_text
 from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
 from trendspan.llm.simhash import op7_simhash
 from trendspan.llm.token_stream import op1_token_files
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
+    "op8_html_text": op8_html_text,
     "op9_curves": op9_curves,
     "op10_bpe": op10_bpe,
 }
