@@ -62,11 +62,11 @@ CONTENT = frozenset("html body main article".split())
 ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 
 #: Standing weights, for what labelled pages say nothing about.
-WORD, TAG, BLOCK_TAG = 0.7, -0.1, -0.5
+WORD, TAG, BLOCK_TAG = 0.7, -0.1, -0.3
 #: Marked boilerplate is left out anyway; inside an article it should not cut the article in two.
 MARKED_WORD, MARKED_TAG = -0.1, -0.02
 #: Lowest weights of the tags that hold labelled content, and of other tags.
-LOWEST, LOWEST_TAG = -8.0, -2.0
+LOWEST, LOWEST_TAG = -8.0, -0.3
 
 #: (text or tag, kind of block or tag, number of words, inside boilerplate, inside article or main)
 Token = tuple[str | None, str, int, bool, bool]

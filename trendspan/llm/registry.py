@@ -12,6 +12,7 @@ from trendspan.llm.curves import op9_curves
 from trendspan.llm.decontamination import op4_decontamination
 from trendspan.llm.html_text import op8_html_text
 from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
+from trendspan.llm.passages import op5_passages
 from trendspan.llm.simhash import op7_simhash
 from trendspan.llm.token_stream import op1_token_files
 from trendspan.llm.toxicity import op2_toxicity
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_passages": op5_passages,
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
     "op8_html_text": op8_html_text,
