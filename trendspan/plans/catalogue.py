@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from trendspan.plans import store
+
+_PARTS = [store.R]
+
+QUERIES = {name: q for part in _PARTS for name, q in part.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.hot_keywords(spark, sf_dir)
