@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspan.plans import store
+from trendspan.plans import store, texts
 
-_PARTS = [store.R]
+_PARTS = [store.R, texts.R]
 
 QUERIES = {name: q for part in _PARTS for name, q in part.queries.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
