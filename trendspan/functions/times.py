@@ -17,7 +17,8 @@ def seconds(t: Column) -> Column:
 def window_hours(now: Column, last: Column) -> Column:
     """Hours to read back: since ``last`` plus the overlap, rounded up, within limits; the least without a ``last``."""
     hours = F.ceil((seconds(now) - seconds(last) + WINDOW_OVERLAP * 60) / 3600)
-    return F.coalesce(F.greatest(F.lit(WINDOW_LEAST), F.least(F.lit(WINDOW_MOST), hours)), F.lit(WINDOW_LEAST)).cast("int")
+    # greatest and least pass over nulls, so a missing time has to be told apart.
+    return F.when(last.isNull(), WINDOW_LEAST).otherwise(F.greatest(F.lit(WINDOW_LEAST), F.least(F.lit(WINDOW_MOST), hours))).cast("int")
 
 
 def age_hours(now: Column, t: Column) -> Column:

@@ -297,7 +297,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"""WITH {ITEMS_SQL}, s AS (SELECT item_idx, lower(title) AS t, domain FROM items)
 SELECT item_idx, CAST(round(least(1.0, greatest(0.0, CASE WHEN contains(x, 'the that') THEN 0.62 ELSE 0 END + CASE WHEN m >= 1 THEN 0.28 * m / 2 + 0.18 * m / 2 ELSE 0 END)), 4) AS DOUBLE) AS quality
-FROM (SELECT item_idx, x, (CASE WHEN contains(x, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(x, 'that') THEN 1 ELSE 0 END) AS m FROM (SELECT item_idx, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([a-z])(\\d)', '\\1 \\2', 'g'), '[_\\-·/@:]+', ' ', 'g'), '[“”"''`~!#$%^&*()+=\\[\\]{{}}|\\\;<>?,.]', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM s))""")
+FROM (SELECT item_idx, x, (CASE WHEN contains(x, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(x, 'that') THEN 1 ELSE 0 END) AS m FROM (SELECT item_idx, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([a-z])(\\d)', '\\1 \\2', 'g'), '[_\\-·/@:]+', ' ', 'g'), '[“”"''`~!#$%^&*()+=\\[\\]{{}}|\\\\;<>?,.]', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM s))""")
 def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each item fits a keyword by its title."""
     t = F.col("title")
