@@ -117,18 +117,18 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     columns = df.columns
     # The lines cross the join as an array, so that each text is split once.
     split = _keyed(df, key, text).withColumn("__lines", F.split(F.col(text), "\n", -1)).drop(text)
-    marked = split.join(dead, (F.col("__d") == F.col("d")) & (F.col("__h") == F.col("h")), "left")
-    cleaned = marked.withColumn(
-        text,
-        F.when(F.col("__lines").isNull(), None).when(F.col("dead").isNull(), F.array_join("__lines", "\n")).otherwise(_without(F.col("__lines"), F.col("dead"))),
-    )
+    marks = dead.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("dead").alias("__dead"))
+    # A null text has no lines, so its hash finds none.
+    marked = split.join(marks, ["__d", "__h"], "left")
+    lines_, dead_ = F.col("__lines"), F.col("__dead")
+    cleaned = marked.withColumn(text, F.when(lines_.isNull(), None).when(dead_.isNull(), F.array_join(lines_, "\n")).otherwise(_without(lines_, dead_)))
     if not keep_emptied:
-        cleaned = cleaned.where("dead is null or size(dead) < size(__lines)")
+        cleaned = cleaned.where(dead_.isNull() | (F.size(dead_) < F.size(lines_)))
     out = {c: F.col(c) for c in columns}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("dead").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(df.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(dead_.isNull(), F.col("n_chars")).otherwise(F.length(text).cast(df.schema["n_chars"].dataType))
     if removed:
-        out[removed] = F.coalesce(F.size("dead"), F.lit(0)) * F.when(F.col("dead").isNull(), 0).otherwise(1)
+        out[removed] = F.when(dead_.isNull(), 0).otherwise(F.size(dead_))
     return cleaned.select(*(c.alias(n) for n, c in out.items()))
 
 

@@ -8,8 +8,8 @@ at 0.9, and always where they are equal. Paragraphs that share a bucket are comp
 of their shingle sets, and the components of the links found are the classes.
 
 Of a class the paragraph first by doc_id and place stays. The others are to be removed where they are part of a stretch
-of consecutive repeated paragraphs of at least ``MIN_SPAN`` words; a shorter repeat, such as a common short sentence,
-is no passage.
+of repeated paragraphs of at least ``MIN_SPAN`` words, in which one changed paragraph may stand between two repeated
+ones; a shorter repeat, such as a common short sentence, is no passage.
 
 Equal paragraphs are one member of every bucket, so copies add no pairs; see ``links`` for hot buckets.
 
@@ -215,10 +215,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     scratch.release()
     place = F.struct("doc_id", "first")
     least = held.groupBy("class").agg(F.min(place).alias("least"))
-    # Consecutive repeated paragraphs of a document are one stretch.
+    # Repeated paragraphs of a document that follow each other, with one changed one between them at most, are one stretch.
     by_doc = Window.partitionBy("doc_id").orderBy("n", "first")
+    begins = F.coalesce(F.col("n") - F.lag("n").over(by_doc) > 2, F.lit(False)).cast("int")
     stretch = Window.partitionBy("doc_id", "stretch")
-    rows = held.withColumn("stretch", F.col("n") - F.dense_rank().over(by_doc.orderBy("n"))).withColumn("span", F.sum("words").over(stretch)).where(F.col("span") >= MIN_SPAN)
+    rows = held.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(by_doc))
+    rows = rows.withColumn("span", F.sum("words").over(stretch)).where(F.col("span") >= MIN_SPAN)
     out = rows.join(least, "class")
     return out.select(
         F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"),

@@ -40,6 +40,8 @@ BITS = 20
 KEPT = 2048
 #: Rows of its training set that a feature has to be in.
 LEAST_ROWS = 5
+#: Chi-squared statistic, with one degree of freedom, that a feature needs: one in a thousand useless ones has it.
+LEAST_GAIN = 10.83
 PENALTY = 0.3
 THRESHOLD = 0.5
 
@@ -105,7 +107,7 @@ def fit(rows: Rows, train: np.ndarray, label: np.ndarray, earlier: np.ndarray, s
     n, p = len(y), y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where((both >= LEAST_ROWS) & (both < n), n * (ones - both * p) ** 2 / (both * (n - both) * p * (1 - p)), 0)
-    features = np.sort(np.argsort(-gain, kind="stable")[: min(KEPT, int((gain > 0).sum()))])
+    features = np.sort(np.argsort(-gain, kind="stable")[: min(KEPT, int((gain >= LEAST_GAIN).sum()))])
     r, c = rows.only(features)
     index = np.cumsum(train) - 1
     keep = train[r]
