@@ -169,3 +169,16 @@ def test_rate_limit_matches_a_fold(spark):
         want[viewer] = (ok, no)
     out = sv.run_to_end(sv.limit_requests(sv.event_stream(spark, "/root/testdata/sf0.001")), spark, "limits")
     assert {r.viewer: (r.allowed, r.refused) for r in out.collect()} == want
+
+
+def test_viewer_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    from trendspan.functions import keywords as kw
+
+    assert one(spark, kw.viewer_hash("secret", F.col("t")), t="viewer é") == hmac.new(b"secret", "viewer é".encode(), hashlib.sha256).hexdigest()
+    assert one(spark, kw.title_similarity(F.col("t"), F.lit("abcd")), t="abcx") == 0.75
+    assert one(spark, kw.enriched(F.col("t"), F.lit("memory")), t="claude") == "claude memory"
+    assert one(spark, kw.first_of_srcset(F.col("t")), t=" https://a/1.png 1x, https://a/2.png 2x") == "https://a/1.png"
+    assert one(spark, kw.legacy_type(F.lit("video"), F.col("t"), F.col("t")), t="a.com") == "data"
