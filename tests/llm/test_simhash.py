@@ -73,3 +73,20 @@ def test_near_duplicates_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_buckets_lose_no_link_between_components(spark):
+    """Links that the smallest member has no part in are found, in buckets of any shape."""
+    from pyspark.sql import functions as F
+
+    from trendspan.llm.links import bucket_components
+
+    rng = random.Random(9)
+    for density in (0.02, 0.1, 0.4):
+        members = {(rng.randrange(6), rng.randrange(80)) for _ in range(160)} | {(99, i) for i in range(40)}
+        linked = {(a, b) for a, b in itertools.combinations(range(80), 2) if rng.random() < density}
+        want = [(a, b) for a, b in linked if any((k, a) in members and (k, b) in members for k in {m[0] for m in members})]
+        table = spark.createDataFrame(sorted(linked) or [(0, 0)], "a long, b long")
+        df = spark.createDataFrame(sorted(members) * 2, "bucket long, id long")
+        found = bucket_components(Scratch(spark, "t"), df, ["bucket"], lambda pairs: pairs.join(F.broadcast(table), ["a", "b"], "left_semi"))
+        assert {r.node: r.component for r in found.collect()} == slow_components({x for p in want for x in p}, want)

@@ -142,8 +142,9 @@ def test_banding_recall_and_exact_check():
         a = rng.integers(0, 1 << 62, 40).astype(np.uint64)
         b = a.copy()
         b[:4] = rng.integers(0, 1 << 62, 4).astype(np.uint64)  # similarity 36 / 44
-        k = ps.band_keys(np.concatenate([a, b]), np.array([0, 40]))
-        hit += bool((k[0] == k[1]).any())
+        k = np.hstack([ps.band_keys(np.concatenate([a, b]), np.array([0, 40])), ps.band_keys(np.concatenate([a, b]), np.array([0, 40]), ps.FINE_BANDS, ps.FINE_ROWS, ps.BANDS * ps.ROWS)])
+        same = k[0] == k[1]
+        hit += bool(same[: ps.BANDS].any() and same[ps.BANDS :].any())
         pairs += 1
     assert hit / pairs >= 0.95
 

@@ -4,8 +4,11 @@ A paragraph is a line, cut after each sentence that has at least ``CLOSING_WORDS
 the next one. So a passage falls into the same paragraphs wherever it is embedded, but for its ends. Every paragraph
 of at least ``MIN_WORDS`` words gets a MinHash signature over its 5-word shingles. With ``BANDS`` bands of ``ROWS``
 values, two paragraphs of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS: 0.98 at s = 0.8, 0.999
-at 0.9, and always where they are equal. Paragraphs that share a bucket are compared by the exact Jaccard similarity
-of their shingle sets, and the components of the links found are the classes.
+at 0.9, and always where they are equal. So few short bands sort out the paragraphs that nothing is like. The rest, a few
+hundredths, are banded again with many long bands, ``FINE_BANDS`` of ``FINE_ROWS``: 0.99 at s = 0.8, but 0.003 for the
+many edited copies of one sentence that are alike by a third only, which short bands would all throw together.
+Paragraphs that share a fine bucket are compared by the exact Jaccard similarity of their shingle sets, and the
+components of the links found are the classes.
 
 Of a class the paragraph first by doc_id and place stays. The others are to be removed where they are part of a stretch
 of repeated paragraphs of at least ``MIN_SPAN`` words, in which one changed paragraph may stand between two repeated
@@ -35,6 +38,7 @@ from trendspan.llm.shared import BROADCAST_IDS, Scratch, table
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 4, 2
+FINE_BANDS, FINE_ROWS = 24, 8
 CLOSING_WORDS = 8
 MIN_WORDS = 8
 MIN_SPAN = 25
@@ -42,8 +46,8 @@ MIN_SPAN = 25
 _WORD = re.compile(r"\w+")
 _LAST = (1 << 63) - 1
 
-_FACTORS = np.random.default_rng(7).integers(1 << 62, 1 << 63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
-_PLACES = np.random.default_rng(8).integers(1 << 62, 1 << 63, size=SHINGLE, dtype=np.uint64) | np.uint64(1)
+_FACTORS = np.random.default_rng(7).integers(1 << 62, 1 << 63, size=(BANDS * ROWS + FINE_BANDS * FINE_ROWS, 2), dtype=np.uint64) | np.uint64(1)
+_PLACES = np.random.default_rng(8).integers(1 << 62, 1 << 63, size=max(SHINGLE, FINE_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -99,18 +103,16 @@ def shingle_hashes(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
     return out * _PLACES[0], first
 
 
-def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS`` bucket keys for each paragraph."""
-    low = np.empty((len(first), BANDS * ROWS), dtype=np.uint64)
-    for k, (a, b) in enumerate(_FACTORS):
-        mixed = (shingles ^ b) * a
-        mixed ^= mixed >> np.uint64(32)
-        low[:, k] = np.minimum.reduceat(mixed * b, first)
-    keys = np.empty((len(first), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
+def band_keys(shingles: np.ndarray, first: np.ndarray, bands: int = BANDS, rows: int = ROWS, skipped: int = 0) -> np.ndarray:
+    """A row of bucket keys for each paragraph; ``skipped`` hash functions are left to another banding."""
+    keys = np.empty((len(first), bands), dtype=np.uint64)
+    for band in range(bands):
         key = np.full(len(first), band + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            key = (key ^ low[:, band * ROWS + r]) * _PLACES[r]
+        for r in range(rows):
+            a, b = _FACTORS[skipped + band * rows + r]
+            mixed = (shingles ^ b) * a
+            mixed ^= mixed >> np.uint64(32)
+            key = (key ^ np.minimum.reduceat(mixed * b, first)) * _PLACES[r]
             key ^= key >> np.uint64(29)
         keys[:, band] = key
     return keys.view(np.int64)
@@ -150,7 +152,7 @@ def paragraph_table(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def shingle_sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``uid, shingles`` of the paragraphs at ``wanted``: ``doc_id, first, last, uid``."""
+    """``uid, shingles, fine`` of the paragraphs at ``wanted`` (``doc_id, first, last, uid``): their sets and fine bucket keys."""
     places = scratch.write(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "uid")).alias("at")), "places")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).alias("text"))
     ids = places.select("doc_id")
@@ -172,32 +174,35 @@ def shingle_sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame, key: str,
                             continue
                         h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
                         uids.append(span["uid"])
-                        sets.append(np.unique(shingle_hashes(h, np.array([len(h)]))[0]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["uid", "shingles"])
+                        sets.append(np.unique(shingle_hashes(h, np.array([len(h)]))[0]))
+                if uids:
+                    sizes = np.array([len(x) for x in sets])
+                    flat = np.concatenate(sets)
+                    fine = band_keys(flat, np.cumsum(sizes) - sizes, FINE_BANDS, FINE_ROWS, BANDS * ROWS)
+                    bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(uids, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(flat.view(np.int64))), pa.array(list(fine), pa.list_(pa.int64()))],
+                        ["uid", "shingles", "fine"],
+                    )
 
-    return scratch.write(rows.mapInArrow(run, "uid long, shingles array<long>").dropDuplicates(["uid"]), "shingles")
+    return scratch.write(rows.mapInArrow(run, "uid long, shingles array<long>, fine array<long>").dropDuplicates(["uid"]), "shingles")
 
 
 def classes(scratch: Scratch, docs: DataFrame, pieces: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``uid, class``: the classes of all paragraphs that are linked to a different one."""
-    members = pieces.select(F.explode("keys").alias("key"), F.col("uid").alias("id"))
-    sets: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.write(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        known = ends
-        if sets:
-            known = ends.join(sets[0].select("uid"), "uid", "left_anti")
-        first = pieces.join(known, "uid").groupBy("uid").agg(F.min(F.struct("doc_id", "first", "last")).alias("p")).select("uid", "p.*")
-        new = shingle_sets(scratch, docs, first, key, text)
-        sets[:] = [sets[0].unionByName(new) if sets else new]
-        a = sets[0].select(F.col("uid").alias("a"), F.col("shingles").alias("x"))
-        b = sets[0].select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
-        same = F.size(F.array_intersect("x", "y"))
-        return pairs.join(a, "a").join(b, "b").where(same >= SIMILARITY * (F.size("x") + F.size("y") - same)).select("a", "b")
-
-    found = bucket_components(scratch, members, ["key"], verify)
+    members = pieces.select(F.explode("keys").alias("key"), "uid")
+    shared = members.groupBy("key").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least <> most").select("key")
+    candidates = scratch.write(members.join(shared, "key").select("uid").distinct(), "candidates")
+    scratch.release()
+    places = pieces.join(candidates, "uid").groupBy("uid").agg(F.min(F.struct("doc_id", "first", "last")).alias("p")).select("uid", "p.*")
+    sets = shingle_sets(scratch, docs, places, key, text)
+    scratch.release()
+    fine = sets.select(F.explode("fine").alias("key"), F.col("uid").alias("id"))
+    a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    alike = same >= SIMILARITY * (F.size("x") + F.size("y") - same)
+    found = bucket_components(scratch, fine, ["key"], lambda pairs: pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
     return found.select(F.col("node").alias("uid"), F.col("component").alias("class"))
 
 

@@ -52,10 +52,15 @@ class Scratch:
         self._live: set[str] = set()
         atexit.register(self.clear)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
+        """A new place for a table, which goes when the session ends."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
         self._live.add(path)
+        return path
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

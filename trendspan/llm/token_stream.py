@@ -424,7 +424,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "tokens")
-    path = f"{scratch.root}/files"
+    path = Scratch(spark, "tokens").path("files")
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return read_token_files(spark, path)
