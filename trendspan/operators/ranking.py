@@ -135,7 +135,7 @@ def audience(df: DataFrame, passes: Column, eligible: Column, quality: str, tie:
     passed = marked.where("__pass")
     # Only the best few can fill up, so they are found by a top-k rather than by ranking all.
     few = marked.where("__fill").orderBy(F.desc(quality), tie).limit(least).withColumn("__k", fill)
-    filled = few.crossJoin(F.broadcast(total)).where(F.col("__k") <= least - F.col("__passed")).drop("__k", "__passed")
+    filled = few.where(F.col("__k") <= least - total.scalar()).drop("__k")
     return passed.unionByName(filled).drop("__pass", "__fill")
 
 

@@ -308,7 +308,8 @@ def evergreen(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = snapshots(spark, sf_dir).where("owner_id < 100").select("snapshot_id")
     total = mine.agg(F.count_distinct("snapshot_id").alias("total"))
     k = keywords(spark, sf_dir).join(mine, "snapshot_id").groupBy("keyword_id").agg(F.count_distinct("snapshot_id").alias("snapshots"), F.round(F.avg(F.col("score") + F.col("discount") + F.col("tax")), 4).alias("mean"))
-    return k.crossJoin(F.broadcast(total)).select("keyword_id", "snapshots", "mean", (F.col("snapshots") >= F.greatest(F.lit(3), F.floor(F.lit(0.004) * F.col("total")))).alias("is_evergreen"))
+    threshold = F.greatest(F.lit(3), F.floor(F.lit(0.004) * total.scalar()))
+    return k.select("keyword_id", "snapshots", "mean", (F.col("snapshots") >= threshold).alias("is_evergreen"))
 
 
 @R.query(f"""{WITH}, g AS (SELECT source_id AS feed, keyword_id, sum(quantity) AS q, max(rank) AS r FROM keywords GROUP BY 1, 2)
