@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -17,5 +19,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parent.parent)
     yield session
     session.stop()
