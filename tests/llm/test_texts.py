@@ -100,6 +100,41 @@ def test_copies_are_found_and_others_are_not(spark):
     assert dc.contaminated(df, bench.where("false")).collect() == []
 
 
+def test_edited_and_half_copies_match_all_pairs(spark):
+    rng = random.Random(14)
+    common = ["the", "of", "and", "in", "to"]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else rng.choice(WORDS)
+    items = [(i, " ".join(word() for _ in range(rng.choice([9, 16, 30, 57])))) for i in range(40)]
+    docs = []
+    for i in range(400):
+        body = [word() for _ in range(rng.randint(0, 250))]
+        copy = items[i % 40][1].split()
+        if i % 4 == 3:  # half of the item
+            at = rng.randint(0, len(copy) // 2)
+            copy = copy[at : at + (len(copy) + 1) // 2]
+        elif i % 4 == 2:  # every third word
+            copy = [w if j % 3 else "edit" for j, w in enumerate(copy)]
+        else:
+            copy = [word() if rng.random() < (0.2, 0.3)[i % 2] else w for w in copy]
+        at = rng.randint(0, len(body))
+        body[at:at] = copy
+        docs.append((i, " ".join(body)))
+    docs += [(400 + i, t) for i, t in items] * 3  # verbatim copies elsewhere
+    numbers = {w: n for n, w in enumerate(sorted({w for _, t in docs + items for w in t.split()}))}
+    as_array = lambda t: np.array([numbers[w] for w in t.split()])
+    pairs = [(d, k) for d in docs for k in items]
+    want = {}
+    for at in range(0, len(pairs), 256):
+        some = pairs[at : at + 256]
+        scores = dc.align([as_array(k[1]) for _, k in some], [as_array(d[1]) for d, _ in some])
+        want |= {(d[0], k[0]): s / 2 / len(k[1].split()) for (d, k), s in zip(some, scores.tolist(), strict=True) if s >= len(k[1].split())}
+    assert sum(0.5 <= s < 0.75 for s in want.values()) > 150
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(df, bench).collect()}
+    assert got == pytest.approx(want)
+
+
 # --- passages ---------------------------------------------------------------------------------------------------------
 
 

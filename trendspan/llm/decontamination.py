@@ -1,20 +1,23 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training documents: a word count that no copy can fail, then Smith-Waterman alignment.
 
-Every n-gram of words of the test items is counted over all documents (in how many documents it is). An item's
-seeds are the rarer half of its n-grams, ties included, and never fewer than ``LEAST_SEEDS``: rarity is relative
-to the item, so an item that leaked into a third of the corpus keeps its seeds. A seed in a document names a
-candidate: the item and the diagonal where they would align. Near candidates of an item merge, and the item
-is aligned with the document's words around them by local alignment over words, which finds exact, edited and
-paraphrased copies. The score is the alignment's score over the most that the item could reach, so 1 means that
-the whole item is there unchanged.
+An alignment scores 2 for each word that matches and -1 for each other column, so one that reaches the threshold (half
+of the item's best score) matches at least half of the item's words, within a span of at most twice the item's length.
+Texts are cut into windows that overlap by such a span. Every window that holds that many of an item's words, in
+whatever order, is aligned with it, so no copy of that score is missed, however its edits lie and however often it or
+its item is in the corpus: nothing depends on counts over documents.
+
+To find these windows, each item lists its words by how few items have them, rarest first, up to ``MORE`` words beyond
+what a copy may lack; of these at least ``MORE`` are in any copy. Windows with as many of them have all the item's words
+looked up. Local alignment over words then finds exact, edited and paraphrased copies. The score is the alignment's
+score over the most that the item could reach, so 1 means that the whole item is there unchanged.
 
 The items are broadcast while their text has at most ``BLOCK_BYTES`` bytes; a larger benchmark is worked off in
 blocks of items of that size, each over all documents, so what is broadcast is bounded.
 
-Words are runs of word characters in lower case. Items with fewer words than a seed use their whole text as one
-seed; items without words are never found. Edge cases: null and empty texts are never contaminated; equal items
-are found each; of a null doc_id the row is kept with that id; rows equal in doc_id count apart in the counts and
-give their best alignment together; empty tables give an empty table; extra columns do not matter.
+Words are runs of word characters in lower case. Items with fewer than ``SHORT_ITEM`` words have to be there whole;
+items without words are never found. Edge cases: null and empty texts are never contaminated; equal items are found
+each; of a null doc_id the row is kept with that id; rows equal in doc_id give their best alignment together; empty
+tables give an empty table; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from trendspan.llm.shared import table
 
-N = 3
-LEAST_SEEDS = 6
+#: Rare words of an item that a window has to have at least before all are looked up.
+MORE = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated by an item from this score on.
 THRESHOLD = 0.5
@@ -39,6 +42,8 @@ SHORT_ITEM = 8
 BLOCK_BYTES = 16_000_000
 #: Alignments made side by side.
 BATCH = 256
+#: Words of texts, and entries of word lists, that are held at once.
+TEXT_WORDS, ENTRIES = 50_000, 2_000_000
 
 _WORD = re.compile(r"\w+")
 
@@ -48,31 +53,38 @@ def words(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of test items as arrays of word numbers, and their n-grams."""
+    """A block of test items as arrays of word numbers, and the windows of texts that may hold copies of them."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
+    def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD):
+        rows = [(i, w) for i, t in rows if (w := words(t))]
         self.ids = [i for i, _ in rows]
-        texts = [words(t) for _, t in rows]
-        self.vocabulary = {w: n for n, w in enumerate(sorted({w for t in texts for w in t}))}
-        self.words = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for t in texts]
-        grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
-            n = min(N, len(w))
-            for at in range(len(w) - n + 1 if n else 0):
-                grams.setdefault(tuple(w[at : at + n].tolist()), []).append((k, at))
-        self.grams = sorted(grams)
-        self.places = [grams[g] for g in self.grams]
-        base = len(self.vocabulary) + 1
-        if base**N >= 1 << 62:
-            raise ValueError("a block has too many different words")
-        self.base = base
-        self.keys = {n: (np.array([self._key(g) for g in of], dtype=np.int64), np.array([i for i, g in enumerate(self.grams) if len(g) == n], dtype=np.int64)) for n in range(1, N + 1) if (of := [g for g in self.grams if len(g) == n])}
-
-    def _key(self, gram: tuple[int, ...]) -> int:
-        out = 0
-        for w in gram:
-            out = out * self.base + w
-        return out
+        self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, t in rows for w in t}))}
+        self.base = len(self.vocabulary)
+        self.words = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for _, t in rows]
+        size = np.array([len(w) for w in self.words], dtype=np.int64)
+        #: The least score of each item, of 1.
+        self.least = np.where(size < SHORT_ITEM, 1.0, threshold)
+        # With M matches and X other columns, 2M - X is at least 2 * least * size: so M is at least this, and M + X at most that.
+        self.need = np.maximum(np.ceil(self.least * size - 1e-9).astype(np.int64), 1)
+        reach = np.ceil((3 - 2 * self.least) * size).astype(np.int64)
+        distinct = [np.unique(w, return_counts=True) for w in self.words]
+        #: Each item's different words and how often it has them; an item's begin at ``first``.
+        self.parts = np.concatenate([w for w, _ in distinct]) if distinct else np.empty(0, dtype=np.int64)
+        self.times = np.concatenate([n for _, n in distinct]) if distinct else np.empty(0, dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(w) for w, _ in distinct])]).astype(np.int64)
+        of_items = np.bincount(self.parts, minlength=self.base)
+        lists: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (w, n) in enumerate(distinct):
+            order = np.lexsort((w, of_items[w]))
+            listed = min(size[k], size[k] - self.need[k] + MORE)
+            some = order[: int(np.searchsorted(np.cumsum(n[order]), listed)) + 1]
+            block = 1 << int(reach[k] - 1).bit_length()
+            lists.setdefault(block, []).extend((w, k, n) for w, n in zip(w[some].tolist(), n[some].tolist(), strict=True))
+        #: By length of blocks: where each word's entries begin; the entries' items; how often these have the word.
+        self.lists = {}
+        for block, entries in sorted(lists.items()):
+            word, item, n = np.array(sorted(entries), dtype=np.int64).T
+            self.lists[block] = (np.searchsorted(word, np.arange(self.base + 1)), item, n)
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The numbers of a text's words; -1 for words that no item has."""
@@ -80,49 +92,57 @@ class Items:
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in found), dtype=np.int64, count=len(found))
 
-    def hits(self, numbers: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Which n-grams of the items a text has, and where."""
-        grams, places = [], []
-        for n, (keys, index) in self.keys.items():
-            if len(numbers) < n:
+    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item, first and last word of each window with enough of the item's words."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        numbers = np.concatenate(texts)
+        at = np.flatnonzero(numbers >= 0)
+        text = np.repeat(np.arange(len(texts)), sizes)[at]
+        for block, lists in self.lists.items():
+            # Window j of a text has its blocks j - 1 and j, so a span of one block's length is whole in some window.
+            count = sizes // block + 2
+            offset = np.cumsum(count) - count
+            held = (offset[text] + (at - starts[text]) // block) * self.base + numbers[at]
+            held = np.unique(np.concatenate([held, held + self.base]))
+            for window, item in self._windows(held, lists):
+                t = np.searchsorted(offset, window, side="right") - 1
+                a = (window - offset[t] - 1) * block
+                yield from zip(t.tolist(), item.tolist(), np.maximum(a, 0).tolist(), np.minimum(a + 2 * block, sizes[t]).tolist(), strict=True)
+
+    def _windows(self, held: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and items with enough words in common; ``held`` has the windows' different words in order."""
+        begin, items, times = lists
+        window, word = np.divmod(held, self.base)
+        n = begin[word + 1] - begin[word]
+        # Whole windows, with about as many entries at once as may be held.
+        new = np.flatnonzero(np.diff(window, prepend=-1))
+        part = (np.cumsum(n) - n)[new] // ENTRIES
+        cuts = [*new[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(held)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            entry = _ranges(begin[word[a:b]], n[a:b])
+            pair = np.repeat(window[a:b], n[a:b]) * len(self.ids) + items[entry]
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            if not len(first):
                 continue
-            known = np.lib.stride_tricks.sliding_window_view(numbers, n)
-            at = np.flatnonzero((known >= 0).all(axis=1))
-            key = np.zeros(len(at), dtype=np.int64)
-            for k in range(n):
-                key = key * self.base + numbers[at + k]
-            # The keys are in order, as the n-grams are.
-            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            same = keys[near] == key
-            grams.append(index[near[same]])
-            places.append(at[same])
-        g = np.concatenate(grams) if grams else np.empty(0, dtype=np.int64)
-        p = np.concatenate(places) if places else np.empty(0, dtype=np.int64)
-        if wanted is not None:
-            keep = wanted[g]
-            g, p = g[keep], p[keep]
-        return g, p
-
-    def candidates(self, numbers: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int, int]]:
-        """Item, first and last word of each stretch of the text that seeds point at."""
-        g, p = self.hits(numbers, seeds)
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for gram, at in zip(g.tolist(), p.tolist(), strict=True):
-            for k, inside in self.places[gram]:
-                size = len(self.words[k])
-                slack = size // 2 + 2
-                spans.setdefault(k, []).append((max(0, at - inside - slack), at - inside + size + slack))
-        out = []
-        for k, found in spans.items():
-            found.sort()
-            start, end = found[0]
-            for a, b in found[1:]:
-                if a > end:
-                    out.append((k, start, min(end, len(numbers))))
-                    start = a
-                end = max(end, b)
-            out.append((k, start, min(end, len(numbers))))
-        return out
+            pair, total = pair[first], np.add.reduceat(times[entry][order], first)
+            pair = pair[total >= np.minimum(MORE, self.need[pair % len(self.ids)])]
+            for c in range(0, len(pair), BATCH * BATCH):
+                w, k = np.divmod(pair[c : c + BATCH * BATCH], len(self.ids))
+                m = self.first[k + 1] - self.first[k]
+                place = _ranges(self.first[k], m)
+                wanted = np.repeat(w, m) * self.base + self.parts[place]
+                near = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                shared = np.add.reduceat(np.where(held[near] == wanted, self.times[place], 0), np.cumsum(m) - m)
+                keep = shared >= self.need[k]
+                yield w[keep], k[keep]
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``first`` on, ``n`` of them, one range behind the other."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
 def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
@@ -131,19 +151,21 @@ def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
     A row of the matrix is one array operation for all pairs: gaps along the target are a running maximum.
     """
     rows, width = max(map(len, queries)), max(map(len, targets))
-    q = np.full((len(queries), rows), -2, dtype=np.int64)
-    t = np.full((len(targets), width), -3, dtype=np.int64)
+    # The narrowest numbers that hold every value of the table.
+    kind = np.int16 if MATCH * rows + width < 1 << 15 else np.int32
+    q = np.full((len(queries), rows), -2, dtype=np.int32)
+    t = np.full((len(targets), width), -3, dtype=np.int32)
     for i, (a, b) in enumerate(zip(queries, targets, strict=True)):
         q[i, : len(a)] = a
         t[i, : len(b)] = np.where(b < 0, -3, b)
-    slope = (np.arange(width) * -GAP).astype(np.int32)
-    above = np.zeros((len(queries), width), dtype=np.int32)
-    best = np.zeros(len(queries), dtype=np.int32)
+    slope = (np.arange(width) * -GAP).astype(kind)
+    above = np.zeros((len(queries), width), dtype=kind)
+    best = np.zeros(len(queries), dtype=kind)
     for r in range(rows):
-        score = np.where(t == q[:, r : r + 1], np.int32(MATCH), np.int32(MISMATCH))
+        score = np.where(t == q[:, r : r + 1], kind(MATCH), kind(MISMATCH))
         now = score.copy()
         now[:, 1:] += above[:, :-1]
-        np.maximum(now, above + np.int32(GAP), out=now)
+        np.maximum(now, above + kind(GAP), out=now)
         np.maximum(now, 0, out=now)
         now = np.maximum.accumulate(now + slope, axis=1) - slope
         best = np.maximum(best, now.max(axis=1))
@@ -151,38 +173,6 @@ def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each n-gram of the items is, over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(items.grams), dtype=np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                counts[np.unique(items.hits(items.numbers(t.as_py()))[0])] += 1
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["gram", "n"])
-
-    out = np.zeros(len(items.grams), dtype=np.int64)
-    # One row for each n-gram of the block: bounded by the block's size.
-    for row in docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[row.gram] = row.n
-    return out
-
-
-def choose_seeds(items: Items, counts: np.ndarray) -> np.ndarray:
-    """Whether each n-gram is a seed: of some item the rarer half, ties included."""
-    seeds = np.zeros(len(items.grams), dtype=bool)
-    own: dict[int, list[int]] = {}
-    for gram, places in enumerate(items.places):
-        for k, _ in places:
-            own.setdefault(k, []).append(gram)
-    for grams in own.values():
-        of = counts[grams]
-        limit = np.sort(of)[min(len(of), max(LEAST_SEEDS, (len(of) + 1) // 2)) - 1]
-        seeds[np.array(grams)[of <= limit]] = True
-    return seeds
-
-
 SCORES = "doc_id long, item_id long, score double"
 
 
@@ -205,36 +195,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = docs.sparkSession.createDataFrame([], SCORES)
     for block in item_blocks(benchmark, item, item_text, block_bytes):
-        items = Items(block)
-        seeds = choose_seeds(items, document_counts(rows.select("text"), items))
-        found = found.unionByName(_scores(rows, items, seeds, threshold))
+        found = found.unionByName(_scores(rows, Items(block, threshold)))
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _scores(rows: DataFrame, items: Items, seeds: np.ndarray, threshold: float) -> DataFrame:
+def _scores(rows: DataFrame, items: Items) -> DataFrame:
     def scored(pairs: list) -> Iterator[pa.RecordBatch]:
-        scores = align([items.words[k] for _, k, _ in pairs], [w for *_, w in pairs])
-        most = np.array([MATCH * len(items.words[k]) for _, k, _ in pairs])
-        needed = np.where(most < MATCH * SHORT_ITEM, 1.0, threshold)
-        keep = np.flatnonzero(scores >= needed * most)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([pairs[i][0] for i in keep], pa.int64()), pa.array([items.ids[pairs[i][1]] for i in keep], pa.int64()), pa.array((scores / most)[keep])],
-            ["doc_id", "item_id", "score"],
-        )
+        # Windows of like length side by side.
+        pairs.sort(key=lambda p: (len(items.words[p[1]]), len(p[2])))
+        for at in range(0, len(pairs), BATCH):
+            some = pairs[at : at + BATCH]
+            scores = align([items.words[k] for _, k, _ in some], [w for *_, w in some])
+            most = np.array([MATCH * len(items.words[k]) for _, k, _ in some])
+            needed = np.array([items.least[k] for _, k, _ in some])
+            keep = np.flatnonzero(scores >= needed * most - 1e-6)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([some[i][0] for i in keep], pa.int64()), pa.array([items.ids[some[i][1]] for i in keep], pa.int64()), pa.array((scores / most)[keep])],
+                ["doc_id", "item_id", "score"],
+            )
+
+    def found(docs: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs, cells = [], 0
+        for t, k, a, b in items.candidates(texts):
+            pairs.append((docs[t], k, texts[t][a:b]))
+            cells += b - a
+            if cells > 1_000_000:
+                yield from scored(pairs)
+                pairs, cells = [], 0
+        yield from scored(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, cells = [], 0
+        docs, texts, held = [], [], 0
         for batch in batches:
             for doc, t in zip(batch.column(0), batch.column(1), strict=True):
-                numbers = items.numbers(t.as_py())
-                for k, a, b in items.candidates(numbers, seeds):
-                    pairs.append((doc.as_py(), k, numbers[a:b]))
-                    cells += b - a
-                    if len(pairs) == BATCH or cells > 1_000_000:
-                        yield from scored(pairs)
-                        pairs, cells = [], 0
-        if pairs:
-            yield from scored(pairs)
+                docs.append(doc.as_py())
+                texts.append(items.numbers(t.as_py()))
+                held += len(texts[-1])
+                if held > TEXT_WORDS or len(docs) > TEXT_WORDS:
+                    yield from found(docs, texts)
+                    docs, texts, held = [], [], 0
+        if docs:
+            yield from found(docs, texts)
 
     return rows.mapInArrow(run, SCORES)
 
