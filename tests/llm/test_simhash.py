@@ -90,3 +90,27 @@ def test_buckets_lose_no_link_between_components(spark):
         df = spark.createDataFrame(sorted(members) * 2, "bucket long, id long")
         found = bucket_components(Scratch(spark, "t"), df, ["bucket"], lambda pairs: pairs.join(F.broadcast(table), ["a", "b"], "left_semi"))
         assert {r.node: r.component for r in found.collect()} == slow_components({x for p in want for x in p}, want)
+
+
+def test_near_duplicate_stage_goes_by_the_similarity_of_five_words(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    docs, copies, others = [], set(), set()
+    for k in range(60):
+        words = ["w%d" % rng.randrange(5000) for _ in range(rng.randint(200, 400))]
+        docs.append((10 * k, " ".join(words)))
+        for j, share in enumerate((0.01, 0.02, 0.06), 1):  # of words changed
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), int(share * len(copy))):
+                copy[at] = "x%d" % rng.randrange(5000)
+            docs.append((10 * k + j, " ".join(copy)))
+            a, b = shingles(docs[-1 - j][1]), shingles(docs[-1][1])
+            (copies if len(a & b) / len(a | b) >= 0.8 else others).add(10 * k + j)
+    assert len(copies) > 100 and len(others) > 50
+    df = spark.createDataFrame([*docs, (None, docs[0][1]), (9000, ""), (9001, " ")], "doc_id long, text string")
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, df, "").collect()}
+    assert len(kept & copies) <= 0.02 * len(copies)
+    assert others <= kept and 9000 in kept and 9001 not in kept and None not in kept
+    assert cp.drop_near_duplicates(spark, df.where("false"), "").collect() == []
