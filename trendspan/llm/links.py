@@ -4,13 +4,18 @@ A bucket may hold a third of all rows, so no group is ever collected and no buck
 Each member is first compared with its bucket's smallest member. After the components of the links found so,
 only those pairs of a bucket matter that lie in different components; they are compared as well. A pair within
 one component adds nothing to the components, so every link that could join two of them is tested.
+
+For sets there is an exact second key (``set_components``): members of buckets that hold several components are
+compared only where they share one of their rarest elements, as two sets that are alike enough must do. An edit makes
+elements that hardly any other set has, so the many edited copies of one text, too far from each other to be linked,
+do not meet again, though every band throws them together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendspan.llm.shared import Scratch
@@ -84,3 +89,70 @@ def bucket_components(scratch: Scratch, members: DataFrame, bucket: list[str], v
         out = scratch.write(connected_components(scratch, links.unionByName(more)), "components")
     scratch.drop(placed, held, links, more)
     return out
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have at least this Jaccard similarity."""
+    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    # Sets whose sizes differ by more than the similarity allows cannot be alike.
+    sized = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
+    return pairs.join(a, "a").join(b, "b").where(sized).where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
+
+
+def rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """``id, component, n, element, i, short``: each set's elements that a set alike enough can have as its first in common.
+
+    A set's elements are ordered by how few sets have them. Sets of n and m elements with Jaccard similarity s share at
+    least s / (1 + s) * (n + m). So the first element in common is within the first n - s * n + 1 of either, and within
+    the first n - 2 * s / (1 + s) * n + 1 (``short``) of the one that is not the larger.
+    """
+    rows = sets.select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("element"))
+    often = rows.groupBy("element").agg(F.count("*").alias("c")).where("c > 1")
+    order = Window.partitionBy("id").orderBy("c", "element")
+    # An element that no other set has comes first, and cannot be the one in common.
+    placed = rows.join(often, "element", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.row_number().over(order))
+    n, i = F.col("n"), F.col("i")
+    first = placed.where((F.col("c") > 1) & (i <= n - F.ceil(n * similarity - 1e-9) + 1))
+    return first.select("id", "component", "n", "element", "i", (i <= n - F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9) + 1).alias("short"))
+
+
+def set_components(scratch: Scratch, members: DataFrame, bucket: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+    """Components over the links of Jaccard ``similarity`` between sets that share a bucket: ``node, component``.
+
+    ``members`` has the columns of ``bucket`` and ``id``, ``sets`` the sets as arrays: ``id, shingles``.
+    """
+    shared = members.groupBy(*bucket).agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
+    held = scratch.write(members.join(shared, bucket).distinct(), "members")
+    stars = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = scratch.write(alike(stars, sets, similarity), "stars")
+    first = scratch.write(connected_components(scratch, links), "components")
+
+    placed = held.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy(*bucket).agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select(*bucket)
+    apart = placed.join(mixed, bucket).select("id", "component").distinct()
+    keyed = scratch.write(rarest(sets.join(apart, "id"), similarity), "rarest")
+    sizes = keyed.groupBy("element", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("element").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    keyed = scratch.write(keyed.join(main, "element"), "mixed")
+    scratch.drop(held)
+    if keyed.isEmpty():
+        scratch.drop(links, keyed)
+        return first
+    # Of an element's pairs across components, at least one side is outside its main component.
+    x = keyed.where("component <> main").select("element", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "i", "short")))
+    y = keyed.select("element", "main", *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "i", "short")))
+    c = F.col
+    enough = F.ceil((c("n_x") + c("n_y")) * (similarity / (1 + similarity)) - 1e-9)
+    smaller = (c("short_x") & (c("n_x") <= c("n_y"))) | (c("short_y") & (c("n_y") <= c("n_x")))
+    reach = F.least(c("n_x") - c("i_x"), c("n_y") - c("i_y")) + 1 >= enough
+    across = (c("component_x") != c("component_y")) & ((c("component_y") == c("main")) | (c("id_x") < c("id_y")))
+    crossing = x.join(y, "element").where(smaller & reach & across)
+    pairs = crossing.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    more = scratch.write(alike(pairs, sets, similarity), "crossing")
+    out = first
+    if not more.isEmpty():
+        out = scratch.write(connected_components(scratch, links.unionByName(more)), "components")
+    scratch.drop(keyed, links, more)
+    return out

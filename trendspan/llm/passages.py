@@ -16,8 +16,10 @@ ones; a shorter repeat, such as a common short sentence, is no passage.
 
 Equal paragraphs are one member of every bucket, so copies add no pairs; see ``links`` for hot buckets.
 
-Edge cases: null and empty texts have no paragraphs; a null doc_id comes last; rows with equal doc_id count as copies
-like any others, ordered by place; extra columns do not matter; an empty table gives an empty table.
+Edge cases: null and empty texts have no paragraphs; a null doc_id comes last; rows with one doc_id, or none, are
+documents of their own, ordered by a hash of their texts, and rows equal in both too (which of these stays is open, as
+they cannot be told apart); texts are taken whole, whatever their length; extra columns do not matter; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendspan.llm.links import bucket_components
+from trendspan.llm.links import set_components
 from trendspan.llm.pieces import slices
 from trendspan.llm.shared import BROADCAST_IDS, Scratch, table
 
@@ -118,47 +120,55 @@ def band_keys(shingles: np.ndarray, first: np.ndarray, bands: int = BANDS, rows:
     return keys.view(np.int64)
 
 
-_PIECE = "doc_id long, n int, first int, last int, words int, uid long, keys array<long>"
+_PIECE = "doc_id long, h long, row long, n int, first int, last int, words int, uid long, keys array<long>"
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc_id, h, text``: rows are told apart by their text as well, so that rows without an id, or with one id, are."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
 
 
 def paragraph_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each paragraph: its place, its id (a hash of its words) and its bucket keys."""
+    """A row for each paragraph: its row and place, its id (a hash of its words) and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
-            for at, some in slices(batch.column(1), 2_000_000):
-                doc, n, first, last, uid, sizes, hashes = [], [], [], [], [], [], []
-                for d, t in zip(batch.column(0).slice(at, len(some)).to_pylist(), some, strict=True):
+            for at, some in slices(batch.column(3), 2_000_000):
+                place, n, first, last, uid, sizes, hashes = [], [], [], [], [], [], []
+                for d, t in enumerate(some, at):
                     for k, (a, b, words) in enumerate(paragraphs(t.as_py() or "")):
-                        doc.append(d)
+                        place.append(d)
                         n.append(k)
                         first.append(a)
                         last.append(b)
                         uid.append(xxhash.xxh64_intdigest(" ".join(words)))
                         sizes.append(len(words))
                         hashes.extend(map(cache.__getitem__, words))
-                if not doc:
+                if not place:
                     continue
                 counts = np.array(sizes, dtype=np.int64)
                 keys = band_keys(*shingle_hashes(np.array(hashes, dtype=np.uint64), counts))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                of_row = [batch.column(c).take(pa.array(place)) for c in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.array(uid, dtype=np.uint64).view(np.int64)), lists],
-                    ["doc_id", "n", "first", "last", "words", "uid", "keys"],
+                    [*of_row, pa.array(n, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.array(uid, dtype=np.uint64).view(np.int64)), lists],
+                    ["doc_id", "h", "row", "n", "first", "last", "words", "uid", "keys"],
                 )
 
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _PIECE)
+    # Rows are numbered so that those equal in id and text stay apart. The numbers hold once the table is written.
+    rows = _keyed(docs, key, text).select("doc_id", "h", F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, _PIECE)
 
 
 def shingle_sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``uid, shingles, fine`` of the paragraphs at ``wanted`` (``doc_id, first, last, uid``): their sets and fine bucket keys."""
-    places = scratch.write(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "uid")).alias("at")), "places")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).alias("text"))
-    ids = places.select("doc_id")
+    """``id, shingles, fine`` of the paragraphs at ``wanted`` (``doc_id, h, first, last, uid``): their sets and fine bucket keys."""
+    places = scratch.write(wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last", "uid")).alias("at")), "places")
+    rows = _keyed(docs, key, text)
+    ids = places.select("doc_id", "h")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then only those texts are moved
-        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = rows.join(places, "doc_id").select("text", "at")
+        rows = rows.join(F.broadcast(ids), ["doc_id", "h"], "left_semi")
+    rows = rows.join(places, ["doc_id", "h"]).select("text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
@@ -169,7 +179,7 @@ def shingle_sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame, key: str,
                     t = t.as_py() or ""
                     for span in spans.as_py():
                         words = _WORD.findall(t[span["first"] : span["last"]].lower())
-                        # Of rows with one doc_id only the right one has these words here.
+                        # Of texts with one hash only the right one has these words here.
                         if not words or xxhash.xxh64_intdigest(" ".join(words)) != span["uid"] & (2**64 - 1):
                             continue
                         h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -182,27 +192,21 @@ def shingle_sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame, key: str,
                     bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(uids, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(flat.view(np.int64))), pa.array(list(fine), pa.list_(pa.int64()))],
-                        ["uid", "shingles", "fine"],
+                        ["id", "shingles", "fine"],
                     )
 
-    return scratch.write(rows.mapInArrow(run, "uid long, shingles array<long>, fine array<long>").dropDuplicates(["uid"]), "shingles")
+    return scratch.write(rows.mapInArrow(run, "id long, shingles array<long>, fine array<long>").dropDuplicates(["id"]), "shingles")
 
 
-def classes(scratch: Scratch, docs: DataFrame, pieces: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(scratch: Scratch, docs: DataFrame, pieces: DataFrame, distinct: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``uid, class``: the classes of all paragraphs that are linked to a different one."""
     members = pieces.select(F.explode("keys").alias("key"), "uid")
     shared = members.groupBy("key").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least <> most").select("key")
     candidates = scratch.write(members.join(shared, "key").select("uid").distinct(), "candidates")
-    scratch.release()
-    places = pieces.join(candidates, "uid").groupBy("uid").agg(F.min(F.struct("doc_id", "first", "last")).alias("p")).select("uid", "p.*")
+    places = distinct.join(candidates, "uid").select("uid", "place.doc_id", "place.h", "place.first", "last")
     sets = shingle_sets(scratch, docs, places, key, text)
-    scratch.release()
-    fine = sets.select(F.explode("fine").alias("key"), F.col("uid").alias("id"))
-    a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    alike = same >= SIMILARITY * (F.size("x") + F.size("y") - same)
-    found = bucket_components(scratch, fine, ["key"], lambda pairs: pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
+    fine = sets.select(F.explode("fine").alias("key"), "id")
+    found = set_components(scratch, fine, ["key"], sets.select("id", "shingles"), SIMILARITY)
     return found.select(F.col("node").alias("uid"), F.col("component").alias("class"))
 
 
@@ -210,24 +214,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     """``doc_id, paragraph, first_char, last_char, n_words, class_id, first_doc_id, removed`` of repeated passages' paragraphs."""
     scratch = Scratch(spark, "passages")
     pieces = scratch.write(paragraph_table(docs, key, text), "paragraphs")
-    linked = scratch.write(classes(scratch, docs, pieces, key, text), "linked")
-    scratch.release()
+    place = F.struct("doc_id", "h", "row", "first")
+    # Counts and first places of equal paragraphs, so that a common one is a single row in what follows.
+    distinct = scratch.write(pieces.groupBy("uid").agg(F.min(place).alias("place"), F.min_by("last", place).alias("last"), F.count("*").alias("c")), "distinct")
+    linked = scratch.write(classes(scratch, docs, pieces, distinct, key, text), "linked")
     # Equal paragraphs repeat without a link.
-    twice = pieces.groupBy("uid").agg(F.count("*").alias("c")).where("c > 1").select("uid")
-    repeated = twice.join(linked, "uid", "full_outer").select("uid", F.coalesce("class", "uid").alias("class"))
-    held = scratch.write(pieces.join(repeated, "uid").select("doc_id", "n", "first", "last", "words", "class"), "repeated")
-    scratch.drop(pieces)
-    scratch.release()
-    place = F.struct("doc_id", "first")
-    least = held.groupBy("class").agg(F.min(place).alias("least"))
-    # Repeated paragraphs of a document that follow each other, with one changed one between them at most, are one stretch.
-    by_doc = Window.partitionBy("doc_id").orderBy("n", "first")
-    begins = F.coalesce(F.col("n") - F.lag("n").over(by_doc) > 2, F.lit(False)).cast("int")
-    stretch = Window.partitionBy("doc_id", "stretch")
-    rows = held.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(by_doc))
-    rows = rows.withColumn("span", F.sum("words").over(stretch)).where(F.col("span") >= MIN_SPAN)
-    out = rows.join(least, "class")
-    return out.select(
+    repeated = distinct.join(linked, "uid", "left").where("c > 1 or class is not null").select("uid", "place", F.coalesce("class", "uid").alias("class"))
+    least = repeated.groupBy("class").agg(F.min("place").alias("least"))
+    repeated = scratch.write(repeated.join(least, "class").select("uid", "class", "least"), "classes")
+    few = repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = pieces.drop("keys").join(F.broadcast(repeated) if few else repeated, "uid")
+    # Repeated paragraphs of a row that follow each other, with one changed one between them at most, are one stretch.
+    by_row = Window.partitionBy("doc_id", "h", "row").orderBy("n")
+    begins = F.coalesce(F.col("n") - F.lag("n").over(by_row) > 2, F.lit(False)).cast("int")
+    rows = rows.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(by_row))
+    rows = rows.withColumn("span", F.sum("words").over(Window.partitionBy("doc_id", "h", "row", "stretch"))).where(F.col("span") >= MIN_SPAN)
+    return rows.select(
         F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("paragraph"),
         F.col("first").alias("first_char"),
