@@ -263,6 +263,69 @@ def test_main_text():
         assert ht.main_text(page, {}) == text
 
 
+WRAPPERS = ["content no-sidebar", "post has-comments", "with-banner", "layout sidebar-right", "shareReport", "newsletter"]
+
+
+@pytest.mark.parametrize("wrapper", [f'<div class="{w}">' for w in WRAPPERS] + ['<div id="share-price-report">', '<section class="with-banner">', '<div class=x><table><tr><td>'])
+def test_no_article_is_lost_to_a_name(wrapper):
+    lines = [" ".join("word%d" % (20 * k + i) for i in range(20)) for k in range(4)]
+    page = "<body><ul class=menu><li>Home<li>About</ul>" + wrapper + "".join(f"<p>{x}</p>" for x in lines)
+    page += '<div class="related-articles"><p>other things</div><div class="ad-slot">Buy</div><div class="post-comments"><p>I like it</div><div class=sidebarRight>more</div></div>'
+    assert ht.main_text(page, {}) == "\n".join(lines)
+
+
+def test_names_that_labelled_pages_know(spark):
+    body = "<p>" + "some words of the text " * 10 + "</p>"
+    page = f'<div class="strip">{"nothing to read here " * 8}</div><article class="nav-story">{body}</article>'
+    df = spark.createDataFrame([(i, "u", page) for i in range(20)], "page_id long, url string, html string")
+    weights = ht.learn_weights(df)
+    assert weights[".strip"] < ht.NAME_ODDS
+    plain = f'<body><div class="strip">{"nothing to read here " * 8}</div><div class=y>{body}</div>'
+    assert ht.main_text(plain, weights) == " ".join(("some words of the text " * 10).split())
+    # Comments that outnumber the article's words stay out.
+    talk = f'<div class=y>{body}</div><div class="comments-area">{"<p>I think so as well</p>" * 40}</div>'
+    assert ht.main_text(talk, {}) == " ".join(("some words of the text " * 10).split())
+
+
+def test_inline_pictures_and_choices_end_where_they_end():
+    assert ht.main_text("<p>one <svg viewBox='0'/>two <svg><title>x</title><path d=''/></svg>three <noscript>no</noscript>four</p><p><select><option>a<option>b</select>five and some more</p>", {}) == "one two three four\nfive and some more"
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    pages = ["<div>word " * 100_000, "<b>x" * 60_000 + "</i>y" * 60_000, "<p>" * 300_000, "<a '" * 250_000, "<b \">" * 200_001, "<!--" * 250_000, "&" * 1_000_000]
+    for page in pages:
+        start = time.process_time()
+        ht.main_text(page, {})
+        assert time.process_time() - start < 6  # quadratic time would take minutes
+    assert ht.main_text(pages[0], {}).count("word") == 100_000
+
+
+def slow_region(scores):
+    best = (0.0, 0, 0)
+    for i in range(len(scores)):
+        for j in range(i + 1, len(scores) + 1):
+            if sum(scores[i:j]) > best[0] + 1e-9:
+                best = (sum(scores[i:j]), i, j)
+    return best
+
+
+def test_whole_pages_by_the_best_region_of_all():
+    rng = random.Random(12)
+    weights = {"p": 0.9, "li": -0.4, "div": 0.2, "<p": -0.3, "<li": -0.3, "<div": -0.3}
+    for _ in range(60):
+        page = "".join(rng.choice([f"<p>{'w ' * rng.randint(0, 4)}</p>", f"<li>{'v ' * rng.randint(0, 4)}", "<nav>x y</nav>", "<div>u</div>", "<hr>"]) for _ in range(rng.randint(0, 12)))
+        found = ht.page_tokens(page, weights)
+        scores = [ht.weight(kind, weights, t is None, bad) * (1 if t is None else n) for t, kind, n, bad, *_ in found]
+        total, i, j = slow_region(scores)
+        want = " ".join(t.strip() for t, _, n, bad, *_ in found[i:j] if n and not bad)
+        a, b = ht.best_region(scores)
+        assert abs(sum(scores[a:b]) - total) < 1e-6
+        if (a, b) == (i, j):
+            assert ht.main_text(page, weights).split() == want.split()
+
+
 def test_best_region_matches_brute_force():
     rng = random.Random(8)
     for _ in range(200):
