@@ -375,7 +375,7 @@ def test_recall_and_edges(spark):
     rows += [(3000, None), (3050, [0.0] * 32), (3100, [None] * 32), (3150, [float("nan")] * 32), (3200, [float("inf")] * 32), (3250, []), (3300, [1.0, 2.0]), (3301, [2.0, 1.0]), (None, [1.0] * 32)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, v array<double>, rank string").select("id", "v", "rank")
     got: dict = {}
-    for r in curves.nearest(spark, df.select("id", "v"), F.col("id") % 50 == 0, block_rows=128, window_rows=256).collect():
+    for r in curves.nearest(spark, df.select("id", "v"), F.col("id") % 50 == 0).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     want = brute(rows, [r[0] for r in rows if r[0] is not None and r[0] % 50 == 0], 5)
     assert set(got) == set(want)
@@ -385,6 +385,27 @@ def test_recall_and_edges(spark):
     assert found >= 0.9 * sum(map(len, want.values()))
 
 
+def test_narrow_windows_on_many_vectors(spark):
+    """20,000 vectors with planted neighbours: each window holds a fiftieth of all, so the curves decide."""
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal((20_000, 24))
+    for q in range(0, 20_000, 50):  # five rows near each query, spread over all ids
+        for j in range(1, 6):
+            base[(q + 3 + 3571 * j) % 20_000 // 50 * 50 + 7 * j] = base[q] + 0.35 * rng.standard_normal(24)
+    df = spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(base)), "id long, v array<double>")
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    q = np.arange(0, 20_000, 50)
+    s = unit[q] @ unit.T
+    s[np.arange(len(q)), q] = -2
+    want = np.argsort(-s, axis=1)[:, :5]
+    got: dict = {}
+    for r in curves.nearest(spark, df, F.col("id") % 50 == 0, curves=12, window_share=0.02).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert abs(r.score - s[r.query_id // 50, r.vec_id]) < 1e-9
+    recall = np.mean([len(got[i] & set(w.tolist())) / 5 for i, w in zip(q.tolist(), want, strict=True)])
+    assert recall >= 0.9
+
+
 def test_recall_on_the_given_vectors(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
     vectors = [(r.vec_id, r.embedding) for r in rows]
