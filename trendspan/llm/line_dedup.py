@@ -5,16 +5,19 @@ document's end. A line that occurs once can't be in a repeated run, so it only e
 Suffixes are ranked by their first line, then by prefix doubling: the rank by 2h lines is that of the pair of
 the ranks by h lines here and h lines on. A rank is the number of suffixes before its class, so it needs only
 the classes' sizes, and a class of suffixes with equal ranks is an interval of the array whose longest common
-prefix has at least that many lines. Doubling stops at the depth that the decision needs: a run of ``min_lines``
-lines or more is the union of its windows of ``min_lines`` lines, and a window is a later copy where its
-interval holds an earlier place, by doc_id and then by line.
+prefix has at least that many lines. Doubling goes on until no class of two or more is left, so the depth at which
+a suffix leaves bounds its longest common prefix with any other from both sides.
 
-A line is deleted if it lies in a run of at least ``min_lines`` lines that occurs earlier, or if it has at least
-``min_chars`` characters and occurs earlier. Adjacent deletions are the maximal repeated runs. Earlier and later
-copies may overlap, so of a line repeated many times in a row its first occurrence stays.
+A suffix is a later copy to some depth where its interval of that depth holds an earlier place, by doc_id and then by
+line; its deepest such interval gives the run that it begins. A line is deleted if it lies in a run of at least
+``min_lines`` lines that occurs earlier, or if it has at least ``min_chars`` characters and occurs earlier. Adjacent
+deletions are the maximal repeated runs, which ``repeated_runs`` lists with their lengths and first places. Earlier and
+later copies may overlap, so of a line repeated many times in a row its first occurrence stays.
 
-Everything is DataFrame operations; no Python runs on the executors. Hot lines: counts and first places are
-aggregated before the shuffle, and joins by line are equi-joins whose large partitions adaptive execution splits.
+Everything is DataFrame operations; no Python runs on the executors. Hot lines: counts and first places are aggregated
+before the shuffle; the hottest classes, which cannot
+be many, are joined by broadcast (see ``shared.join_counted``), so no task gets all suffixes of one class; and where a class has very many continuations,
+these are numbered by ranges.
 
 Edge cases: a null text stays null and a text without a later copy stays as it is; a document that loses all its
 lines goes, unless ``keep_emptied``; a null doc_id comes after all others; rows equal in doc_id and text are one
@@ -27,13 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendspan.llm.shared import Scratch, table
+from trendspan.llm.shared import Scratch, join_counted, table
 
 MIN_LINES = 4
 MIN_CHARS = 40
-#: Ranges of ids whose sizes are summed on their own, so that no sum over all ids runs in one task.
+#: Ranges of ids or ranks whose sizes are summed on their own, so that no sum over all of them runs in one task.
 RANGES = 4096
-
 _LAST = (1 << 63) - 1
 _KEY = ["d", "h"]
 
@@ -48,58 +50,84 @@ def line_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return lines.select("d", "h", "n", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").alias("size"))
 
 
-def _offsets(sizes: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Add ``rank``: the sum of ``c`` over all rows before, by ``group`` and then by ``order``."""
-    groups = sizes.groupBy(group).agg(F.sum("c").alias("c"))
-    before = groups.select(group, (F.sum("c").over(Window.orderBy(group)) - F.col("c")).alias("before"))
-    inside = F.sum("c").over(Window.partitionBy(group).orderBy(*order)) - F.col("c")
-    return sizes.withColumn("inside", inside).join(F.broadcast(before), group).withColumn("rank", F.col("before") + F.col("inside")).drop("before", "inside", group)
+def _before(sizes: DataFrame, within: list[str], group: str, order: list[str]) -> DataFrame:
+    """Add ``before``: the sum of ``c`` over all earlier rows with equal ``within``, by ``group`` and then by ``order``."""
+    groups = sizes.groupBy(*within, group).agg(F.sum("c").alias("c"))
+    # A row for each range: few, within whatever.
+    earlier = groups.select(*within, group, (F.sum("c").over(Window.partitionBy(*within, F.lit(0)).orderBy(group)) - F.col("c")).alias("earlier"))
+    inside = F.sum("c").over(Window.partitionBy(*within, group).orderBy(*order)) - F.col("c")
+    held = sizes.withColumn("inside", inside)
+    earlier = earlier if within else F.broadcast(earlier)  # RANGES rows then
+    return held.join(earlier, [*within, group]).withColumn("before", F.col("earlier") + F.col("inside")).drop("earlier", "inside", group)
 
 
-def suffix_array(scratch: Scratch, lines: DataFrame, depth: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """The suffixes at lines that occur twice or more, ranked by one line and by ``depth`` lines.
+def suffix_array(scratch: Scratch, lines: DataFrame, depth: int = MIN_LINES) -> dict[int, DataFrame]:
+    """The suffixes in intervals of two or more, by the least length of the interval's common prefix.
 
-    Returns ``d, h, n, size, rank`` and ``d, h, n, rank``. The second has the suffixes with ``depth`` such lines.
+    The lengths are 1, its doubles below ``depth``, and ``depth`` and its doubles. Each table has ``d, h, n, rank``, the
+    first one ``size`` as well.
     """
+    total = max(lines.count(), 1)
     repeated = lines.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1")
     # Ids are hashes, so ranges of them are even; a hot line is one row here.
     spread = repeated.withColumn("g", F.shiftright("a", 64 - RANGES.bit_length() + 1))
-    ranked = _offsets(spread, "g", ["a", "b"]).select("a", "b", "rank")
-    first = scratch.write(lines.join(ranked, ["a", "b"]).select("d", "h", "n", "size", "rank"), "by-line")
-    scratch.release()
-    now, known = first.select("d", "h", "n", "rank"), 1
-    while known < depth:
-        # At the last step the two windows overlap, so that together they have ``depth`` lines.
-        step = min(known, depth - known)
+    ranked = _before(spread, [], "g", ["a", "b"]).select("a", "b", "c", F.col("before").alias("rank"))
+    now = scratch.write(join_counted(lines, ranked, ["a", "b"], total).select("d", "h", "n", "size", "rank"), "by-line")
+    levels, known = {1: now}, 1
+    while True:
+        # Up to ``depth`` the last two windows may overlap, so that together they have ``depth`` lines.
+        step = min(known, depth - known) if known < depth else known
         ahead = F.max("rank").over(Window.partitionBy(*_KEY).orderBy("n").rangeBetween(step, step))
-        pairs = now.withColumn("next", ahead).where("next is not null")
-        classes = pairs.groupBy("rank", "next").agg(F.count("*").alias("c"))
-        # Order inside a class of suffixes by what follows; a hot class has been reduced to a row for each follower.
-        within = F.sum("c").over(Window.partitionBy("rank").orderBy("next")) - F.col("c")
-        named = classes.select("rank", "next", "c", (F.col("rank") + within).alias("finer"))
-        if known + step >= depth:
-            named = named.where("c > 1")
-        after = scratch.write(pairs.join(named, ["rank", "next"]).select("d", "h", "n", F.col("finer").alias("rank")), "deeper")
-        if known > 1:
-            scratch.drop(now)
-        now, known = after, known + step
-    return first, now
+        pairs = now.select("d", "h", "n", "rank").withColumn("next", ahead)
+        # What ends within the next lines, or goes on as no other does, comes first in its interval.
+        classes = pairs.groupBy("rank", F.coalesce("next", F.lit(-1).cast("long")).alias("next")).agg(F.count("*").alias("c"))
+        spread = classes.withColumn("g", F.floor(F.col("next") * RANGES / total).cast("long"))
+        named = _before(spread, ["rank"], "g", ["next"]).where("next >= 0 and c > 1")
+        named = named.select("rank", "next", "c", (F.col("rank") + F.col("before")).alias("finer"))
+        after = join_counted(pairs.where("next is not null"), named, ["rank", "next"], total).select("d", "h", "n", F.col("finer").alias("rank"))
+        now, known = scratch.write(after, "deeper"), known + step
+        if now.isEmpty():
+            return levels
+        levels[known] = now
 
 
 def later_copies(suffixes: DataFrame) -> DataFrame:
-    """The suffixes of each interval but its earliest."""
+    """The suffixes of each interval but its earliest, with that place as ``least``."""
     place = F.struct("d", "h", "n")
-    earliest = suffixes.groupBy("rank").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return suffixes.join(earliest, "rank").where(place > F.col("least"))
+    earliest = suffixes.groupBy("rank").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1")
+    return join_counted(suffixes, earliest, ["rank"], max(suffixes.count(), 1)).where(place > F.col("least")).drop("c")
+
+
+def later_runs(scratch: Scratch, lines: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``d, h, n, depth, least``: each place that begins an earlier run, and the depth of its deepest interval."""
+    levels = suffix_array(scratch, lines, min_lines)
+    found = later_copies(levels[1].where(F.col("size") >= min_chars)).select("d", "h", "n", F.lit(1).alias("depth"), "least")
+    for depth in sorted(levels):
+        if depth >= max(min_lines, 2):
+            found = found.unionByName(later_copies(levels[depth]).select("d", "h", "n", F.lit(depth).alias("depth"), "least"))
+    return found.groupBy("d", "h", "n").agg(F.max("depth").alias("depth"), F.max_by("least", "depth").alias("least"))
 
 
-def deleted_lines(scratch: Scratch, lines: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def deleted_lines(runs: DataFrame) -> DataFrame:
     """``d, h, dead``: the numbers of each document's lines that go, in order."""
-    first, deep = suffix_array(scratch, lines, min_lines)
-    single = later_copies(first.where(F.col("size") >= min_chars)).select("d", "h", "n")
-    runs = later_copies(deep).select("d", "h", F.explode(F.sequence("n", F.col("n") + (min_lines - 1))).alias("n"))
-    both = single.unionByName(runs) if min_lines > 1 else single
-    return both.groupBy(*_KEY).agg(F.array_sort(F.collect_set("n")).alias("dead"))
+    lines = runs.select("d", "h", F.explode(F.sequence("n", F.col("n") + F.col("depth") - 1)).alias("n"))
+    return lines.groupBy(*_KEY).agg(F.array_sort(F.collect_set("n")).alias("dead"))
+
+
+def repeated_runs(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, line, n_lines, first_doc_id, first_line`` of the maximal runs of deleted lines.
+
+    The first place is that of the run's first line at its deepest interval; a run may go on with lines of other places.
+    """
+    scratch = Scratch(spark, "runs")
+    runs = scratch.write(later_runs(scratch, scratch.write(line_table(df, key, text).distinct(), "lines"), min_lines, min_chars), "found")
+    by_doc = Window.partitionBy(*_KEY).orderBy("n")
+    reach = F.max(F.col("n") + F.col("depth")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("n") > reach, F.lit(True)).cast("int")
+    grouped = runs.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by_doc)).groupBy(*_KEY, "run")
+    out = grouped.agg(F.min("n").alias("line"), F.max(F.col("n") + F.col("depth")).alias("end"), F.min_by("least", "n").alias("least"))
+    real = lambda c: F.when(c != _LAST, c)
+    return out.select(real(F.col("d")).alias("doc_id"), "line", (F.col("end") - F.col("line")).alias("n_lines"), real(F.col("least.d")).alias("first_doc_id"), F.col("least.n").alias("first_line"))
 
 
 def _without(lines: Column, dead: Column) -> Column:
@@ -111,7 +139,7 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     """``df`` without the later copies of repeated runs of lines; ``removed`` names a column to count them in."""
     scratch = Scratch(spark, "lines")
     lines = scratch.write(line_table(df, key, text), "lines")
-    dead = scratch.write(deleted_lines(scratch, lines, min_lines, min_chars), "dead")
+    dead = scratch.write(deleted_lines(later_runs(scratch, lines, min_lines, min_chars)), "dead")
     scratch.drop(lines)
     scratch.release()
     columns = df.columns

@@ -18,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in a local test, a temporary
-    folder of this machine stands in for it.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session is local, as in a test, a
+    temporary folder of this machine stands in for it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="trendspan-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -43,6 +45,21 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
+#: A key with more than this part of all rows is hot.
+HOT_SHARE = 2048
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with a row for each key, which has the number of the key's rows in ``c``.
+
+    Of ``total`` rows no more than ``HOT_SHARE`` keys can have more than that part each. These few are broadcast, so that
+    no task gets all rows of a hot key; all other keys are joined by a shuffle.
+    """
+    hot = F.broadcast(keyed.where(F.col("c") > total // HOT_SHARE))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(keyed.where(F.col("c") <= total // HOT_SHARE), keys))
+
+
 class Scratch:
     """Parquet tables in the shared folder, which cut lineage and survive the loss of any executor."""
 
