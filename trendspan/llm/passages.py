@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from trendspan.llm.links import set_components
 from trendspan.llm.pieces import slices
-from trendspan.llm.shared import BROADCAST_IDS, Scratch, table
+from trendspan.llm.shared import BROADCAST_IDS, Scratch, join_counted, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -219,11 +219,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     distinct = scratch.write(pieces.groupBy("uid").agg(F.min(place).alias("place"), F.min_by("last", place).alias("last"), F.count("*").alias("c")), "distinct")
     linked = scratch.write(classes(scratch, docs, pieces, distinct, key, text), "linked")
     # Equal paragraphs repeat without a link.
-    repeated = distinct.join(linked, "uid", "left").where("c > 1 or class is not null").select("uid", "place", F.coalesce("class", "uid").alias("class"))
+    repeated = distinct.join(linked, "uid", "left").where("c > 1 or class is not null").select("uid", "c", "place", F.coalesce("class", "uid").alias("class"))
     least = repeated.groupBy("class").agg(F.min("place").alias("least"))
-    repeated = scratch.write(repeated.join(least, "class").select("uid", "class", "least"), "classes")
-    few = repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = pieces.drop("keys").join(F.broadcast(repeated) if few else repeated, "uid")
+    repeated = scratch.write(repeated.join(least, "class").select("uid", "c", "class", "least"), "classes")
+    rows = join_counted(pieces.drop("keys"), repeated, ["uid"], max(pieces.count(), 1)).drop("c")
     # Repeated paragraphs of a row that follow each other, with one changed one between them at most, are one stretch.
     by_row = Window.partitionBy("doc_id", "h", "row").orderBy("n")
     begins = F.coalesce(F.col("n") - F.lag("n").over(by_row) > 2, F.lit(False)).cast("int")
