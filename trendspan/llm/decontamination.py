@@ -16,8 +16,10 @@ blocks of items of that size, each over all documents, so what is broadcast is b
 
 Words are runs of word characters in lower case. Items with fewer than ``SHORT_ITEM`` words have to be there whole;
 items without words are never found. Edge cases: null and empty texts are never contaminated; equal items are found
-each; of a null doc_id the row is kept with that id; rows equal in doc_id give their best alignment together; empty
-tables give an empty table; extra columns do not matter.
+each; of a null doc_id the row is kept with that id; rows equal in doc_id give their best alignment together; texts
+are searched whole, whatever their length, and windows of like width are aligned together, so a long one doesn't widen
+the others' tables; equal scores are one row each, as every item found is listed; empty tables give an empty table;
+extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ THRESHOLD = 0.5
 #: Items with fewer words than this have to be there whole.
 SHORT_ITEM = 8
 BLOCK_BYTES = 16_000_000
-#: Alignments made side by side.
-BATCH = 256
+#: Alignments made side by side, and the most cells that a row of their tables has together.
+BATCH, CELLS = 256, 1_000_000
 #: Words of texts, and entries of word lists, that are held at once.
 TEXT_WORDS, ENTRIES = 50_000, 2_000_000
 
@@ -173,6 +175,18 @@ def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def batches_of(pairs: list) -> Iterator[list]:
+    """Consecutive pairs, of which the widest times their number is bounded unless one alone is wider."""
+    at = 0
+    while at < len(pairs):
+        widest, upto = len(pairs[at][2]), at + 1
+        while upto < min(len(pairs), at + BATCH) and max(widest, len(pairs[upto][2])) * (upto + 1 - at) <= CELLS:
+            widest = max(widest, len(pairs[upto][2]))
+            upto += 1
+        yield pairs[at:upto]
+        at = upto
+
+
 SCORES = "doc_id long, item_id long, score double"
 
 
@@ -203,8 +217,7 @@ def _scores(rows: DataFrame, items: Items) -> DataFrame:
     def scored(pairs: list) -> Iterator[pa.RecordBatch]:
         # Windows of like length side by side.
         pairs.sort(key=lambda p: (len(items.words[p[1]]), len(p[2])))
-        for at in range(0, len(pairs), BATCH):
-            some = pairs[at : at + BATCH]
+        for some in batches_of(pairs):
             scores = align([items.words[k] for _, k, _ in some], [w for *_, w in some])
             most = np.array([MATCH * len(items.words[k]) for _, k, _ in some])
             needed = np.array([items.least[k] for _, k, _ in some])
@@ -219,7 +232,7 @@ def _scores(rows: DataFrame, items: Items) -> DataFrame:
         for t, k, a, b in items.candidates(texts):
             pairs.append((docs[t], k, texts[t][a:b]))
             cells += b - a
-            if cells > 1_000_000:
+            if cells > CELLS:
                 yield from scored(pairs)
                 pairs, cells = [], 0
         yield from scored(pairs)

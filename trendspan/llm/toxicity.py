@@ -10,7 +10,9 @@ models are fitted on a sample of at most ``SAMPLE`` labelled rows, the first by
 corpus doesn't make the fit larger; every document is then scored over its whole text.
 
 Edge cases: a null or empty text has no features and gets the base rate; labels with a null are not used; a
-document with several label rows is used with each; without labelled rows nothing is known and every probability
+document with several label rows is used with each; of documents with one id one text, the first by its hash, stands for
+the id in training, and all are scored; ties in the order of the sample go by id; texts are read whole, whatever their
+length; without labelled rows nothing is known and every probability
 is zero; with one class only the probability is that class's smoothed rate; extra columns are kept, and columns
 with the names of the outputs are replaced.
 """
@@ -207,8 +209,10 @@ def labelled_features(docs: DataFrame, labels: DataFrame, categories: tuple[str,
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.binary())], ["k", *categories, "features"])
 
     schema = "k long, " + "".join(f"{c} int, " for c in categories) + "features binary"
-    # The sample has at most ``sample`` rows of a few numbers.
-    joined = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("k", "text", *categories)
+    # The sample has at most ``sample`` rows of a few numbers. Of documents that share an id one is used, so no more come back.
+    named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen.select("k").distinct()), "k", "left_semi")
+    once = named.groupBy("k").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    joined = once.join(F.broadcast(chosen), "k").select("k", "text", *categories)
     rows = joined.mapInArrow(run, schema).toArrow().to_pandas().sort_values(["k", *categories], kind="stable")
     sets = [np.frombuffer(f, dtype=np.int32) for f in rows["features"]]
     folds = np.array([zlib.crc32(b"%d" % k) % FOLDS for k in rows["k"]], dtype=np.int64)
