@@ -77,9 +77,57 @@ def test_damage_is_noticed():
 
 def test_a_block_decodes_alone():
     ids = np.random.default_rng(1).integers(0, 300, 5000).astype(np.uint16)
-    coded = ts.encode_blocks(ids, 1000)
-    words = np.concatenate([np.frombuffer(coded[3], "<u2"), np.zeros(4, "<u2")])
-    assert (ts.decode_blocks(words, np.array([0]), 1000) == ids[3000:4000]).all()
+    order0 = ts._Order0.of(ids)
+    coded = ts.encode_blocks(ids, order0, 1000)
+    words = np.concatenate([np.frombuffer(coded[3], "<u4"), np.zeros(2, "<u4")])
+    assert (ts.decode_blocks(words, np.array([0]), order0, 1000) == ids[3000:4000]).all()
+
+
+def plain_mixture(ids, order0):
+    """Each id's part of the mixture, by the models written out for one block."""
+    tables, shares, out = [{}, {}], {}, []
+    last = hashed = 0
+    for x in ids.tolist():
+        slots = [last * 40503 >> 5 & ts._SLOT, last * 40503 + hashed >> 5 & ts._SLOT]
+        hashed = last * 30341
+        (g1, c1), (g2, c2) = (tables[k].get(slots[k], (0, 0)) for k in (0, 1))
+        w1, w2 = shares.get((c1, c2), (int(ts._FIRST1[c2 * 4 + c1]), int(ts._FIRST2[c2 * 4 + c1])))
+        m1, m2 = w1 >> 5, w2 >> 5
+        rest = (1 << ts._SHARE_BITS) - m1 - m2
+        part = 1 << ts._PART_BITS
+        start = rest * int(order0.starts[x]) + (m1 * (g1 < x) + m2 * (g2 < x)) * part
+        size = rest * int(order0.sizes[x]) + (m1 * (g1 == x) + m2 * (g2 == x)) * part
+        out.append((start, size))
+        most = int(ts._MOST)
+        shares[(c1, c2)] = (w1 + ((most * (g1 == x and g2 != x) - w1) >> 5), w2 + ((most * (g2 == x) - w2) >> 5))
+        tables[0][slots[0]] = (x, min(c1 + 1, 3) * (g1 == x))
+        tables[1][slots[1]] = (x, min(c2 + 1, 3) * (g2 == x))
+        last = x
+    return out
+
+
+def test_parts_are_those_of_the_three_orders_mixed():
+    rng = np.random.default_rng(5)
+    phrases = [rng.integers(0, 400, 12) for _ in range(9)]
+    ids = np.concatenate([phrases[k] if rng.random() < 0.8 else rng.integers(0, 400, 5) for k in rng.integers(0, 9, 60)])
+    order0 = ts._Order0.of(ids)
+    lanes = ts._Lanes(1, order0)
+    want = plain_mixture(ids, order0)
+    total = 1 << ts._TOTAL_BITS
+    bits = 0.0
+    for x, (start, size) in zip(ids, want, strict=True):
+        lanes.predict()
+        one = np.array([x])
+        a, b = lanes.span(one)
+        assert (int(a[0]), int(b[0])) == (start, size) and 0 <= start and start + size <= total
+        # Every number of the part leads back to the id.
+        for v in (start, start + size // 2, start + size - 1):
+            assert lanes.ids(np.array([v]))[0] == x
+        lanes.update(one)
+        bits -= np.log2(size / total)
+    coded = ts.encode_blocks(ids, order0, len(ids))
+    assert 8 * len(coded[0]) <= bits + 100
+    assert bits < 0.6 * len(ids) * np.log2(400)
 
 
 def test_library_pieces(texts, library):

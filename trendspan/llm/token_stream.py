@@ -1,23 +1,26 @@
 """Token ids as compressed files: a context-mixing range coder in independently reset, checksummed blocks.
 
 A stream of ids, each document's followed by the end id, is cut into blocks of ``BLOCK`` ids. Every block starts
-from empty models, so any block can be decoded alone. For each id an order-2 and an order-1 context, hashed into
-tables of the block, predict the id seen there last. Two adaptive models, one that knows the order-2
-prediction's confidence and one that knows the order-1 prediction's, give distributions over "order-2 right",
-"order-1 right" and "neither"; an adaptive weight mixes them. An id that neither predicts is coded by an
-adaptive order-0 model of its high and low byte. A 48-bit range coder writes 16-bit words. All arithmetic is on
-integers, so every machine decodes what another wrote. The blocks of a file run side by side, as the lanes of
-arrays.
+from the same state, so any block can be decoded alone with the file's header. For each id an order-2 and an order-1
+context, hashed into tables of the block, predict the id seen there last; an order-0 table of the file, in its header,
+gives every id a part. The three are mixed into one distribution: the two predicted ids get shares, which adapt to how
+often they were right at their confidences, and the order-0 table gets the rest. So each id is coded in one step, by the
+sum of its parts in all three. The range coder has 64 bits and writes 32-bit words. All arithmetic is on integers, or on
+quotients of doubles that are corrected by integers, so every machine decodes what another wrote. The blocks of a file
+run side by side, as the lanes of arrays.
 
 A file is one binary value, and files are rows of Parquet that Spark writes and reads, so that any store will do:
 
-    magic "TSC1", then little-endian 32-bit: documents, ids of a block, blocks; 64-bit: all ids
+    magic "TSC2", then little-endian 32-bit: documents, ids of a block, blocks, bytes of the order-0 table; 64-bit: all ids
     per document: 64-bit id (smallest value: null), 64-bit number of ids with the end id
     per block: 32-bit number of coded words, 32-bit CRC-32 of its ids as 32-bit little-endian integers
-    the coded 16-bit words of all blocks; 32-bit CRC-32 of everything before
+    the order-0 table: 32-bit parts of the ids 0 to 65535 of 2^19, deflated
+    the coded 32-bit words of all blocks; 32-bit CRC-32 of everything before
 
 Edge cases: a null text is empty and has the end id alone; a null doc_id sorts first; equal doc_ids keep one
-place each, in the order of their texts; extra columns do not matter; an empty table has no files.
+place each, in the order of their texts; texts are encoded whole, whatever their length, and a file ends after the
+document that fills it; extra columns do not matter; an empty table has no files. A document with the smallest possible
+id reads back as one with a null id.
 """
 
 from __future__ import annotations
@@ -36,25 +39,30 @@ from tokenizers import Tokenizer
 from trendspan.llm.pieces import PieceTable, slices
 from trendspan.llm.shared import Scratch, table
 
-MAGIC = b"TSC1"
+MAGIC = b"TSC2"
 BLOCK = 2048
 #: Ids after which a file is closed at the end of a document.
 FILE_IDS = 4_000_000
 END_ID = 0
 NULL_ID = -(1 << 63)
 
-_TABLE_BITS = 11
-_TOP = np.int64((1 << 48) - 1)
-_LOW = np.int64(1 << 32)
-_UP, _DOWN = np.int32(16000), np.int32(384)
+#: Slots of a context table, bits of the shares and of the order-0 parts.
+_TABLE_BITS, _SHARE_BITS, _PART_BITS = 10, 11, 19
 _SLOT = (1 << _TABLE_BITS) - 1
-#: Sizes of a byte's symbols add up to this.
-_PART = 1 << 12
-_STEPS = np.arange(1, 257, dtype=np.int32)
-_REBUILD = 256
-#: Where the two bounds between the three outcomes move to after each outcome.
-_TARGET_P = np.array([65536 - 512, 256, 256], dtype=np.int32)
-_TARGET_Q = np.array([65536 - 256, 65536 - 256, 512], dtype=np.int32)
+_TOTAL_BITS = _SHARE_BITS + _PART_BITS
+#: What a share of 16 bits moves to where its prediction was right; the rest is always left to order 0.
+_MOST = np.int32(64_000)
+#: Shares of the order-1 and order-2 predictions to start with, by both confidences.
+_FIRST1 = np.tile([1000, 9000, 16000, 24000], 4)
+_FIRST2 = np.repeat([1000, 16000, 28000, 38000], 4)
+
+U = np.uint64
+_WORD = U(32)
+
+#: Pieces that are encoded as one text; the library is slower on longer texts.
+JOINED = 256
+#: First bytes of characters outside ASCII some of which are white space.
+_MAYBE_BLANK = b"\xc2\xe1\xe2\xe3"
 
 
 class LibraryPieces:
@@ -76,23 +84,27 @@ class LibraryPieces:
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that begin with a blank before a visible character are encoded as one text, which is faster.
 
-        No word crosses their bounds, so the ids fall to the pieces by their numbers of bytes.
+        No word crosses their bounds, so the ids fall to the pieces by their numbers of bytes. A character outside ASCII
+        that might be white space does not count as visible.
         """
+        joined = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and p[1] > 32 and p[1] not in _MAYBE_BLANK and p[-1] > 32 and p.find(b"<|") < 0]
+        apart = np.setdiff1d(np.arange(len(pieces)), joined)
+        texts = [b"".join(map(pieces.__getitem__, joined[at : at + JOINED])).decode() for at in range(0, len(joined), JOINED)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], dtype=np.uint16)
+        ends = np.cumsum(self.width[ids])
+        cuts = np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in joined])) + 1
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode() for i in apart.tolist()], add_special_tokens=False)]
         counts = np.zeros(len(pieces), dtype=np.int64)
-        joined = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and 32 < p[1] < 127 and 32 < p[-1] < 127 and p.find(b"<|") < 0]
-        apart = np.setdiff1d(np.arange(len(pieces)), joined).tolist()
-        found: list[list[int]] = [[]] * len(pieces)
-        for e, i in zip(self.tokenizer.encode_batch_fast([pieces[i].decode() for i in apart], add_special_tokens=False), apart, strict=True):
-            found[i] = e.ids
-        for at in range(0, len(joined), 4096):
-            some = joined[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(b"".join(pieces[i] for i in some).decode(), add_special_tokens=False).ids, dtype=np.int64)
-            ends = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in some])) + 1
-            for i, part in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                found[i] = part
-        counts[:] = [len(f) for f in found]
-        return np.concatenate([np.asarray(f, dtype=np.uint16) for f in found] or [np.empty(0, np.uint16)]), counts
+        counts[joined] = np.diff(cuts, prepend=0)
+        counts[apart] = [len(o) for o in others]
+        # All ids stand in the order joined, apart; each piece's are gathered from there.
+        flat = np.concatenate([ids, np.array([i for o in others for i in o], dtype=np.uint16)])
+        begin = np.zeros(len(pieces), dtype=np.int64)
+        begin[joined] = cuts - counts[joined]
+        begin[apart] = len(ids) + np.cumsum(counts[apart]) - counts[apart]
+        upto = np.cumsum(counts)
+        return flat[np.repeat(begin - (upto - counts), counts) + np.arange(int(counts.sum()))], counts
 
 
 _LIBRARY: dict[str, LibraryPieces] = {}
@@ -104,224 +116,204 @@ def library(path: str) -> LibraryPieces:
     return _LIBRARY[path]
 
 
+class _Order0:
+    """The parts of all ids, where each part starts, and whose part each number lies in."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.sizes = sizes.astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.ids = np.repeat(np.arange(len(sizes), dtype=np.int64), self.sizes)
+
+    @staticmethod
+    def of(ids: np.ndarray) -> _Order0:
+        """Parts in proportion to the ids' counts; every id that occurs has one."""
+        counts = np.bincount(ids, minlength=1 << 16)
+        have = counts > 0
+        sizes = have + counts * ((1 << _PART_BITS) - int(have.sum())) // max(len(ids), 1)
+        sizes[int(counts.argmax())] += (1 << _PART_BITS) - int(sizes.sum())
+        return _Order0(sizes)
+
+
 class _Lanes:
-    """The models of all blocks, one lane a block; coder and decoder move them alike."""
-
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.base, self.state = lane << _TABLE_BITS, lane * 4
-        self.first = np.zeros(lanes << _TABLE_BITS, dtype=np.int32)
-        self.second = np.zeros(lanes << _TABLE_BITS, dtype=np.int32)
-        # Bounds a, b between the outcomes, by confidence: order-2 right, order-1 right, neither.
-        self.a2, self.b2 = (np.tile(np.array(x, dtype=np.int32), lanes) for x in ((2000, 26000, 44000, 56000), (4000, 28000, 46000, 57000)))
-        self.a1, self.b1 = (np.tile(np.array(x, dtype=np.int32), lanes) for x in ((2000, 2000, 2000, 2000), (4000, 16000, 26000, 40000)))
-        self.weight = np.full(lanes, 10000, dtype=np.int32)
-        # Order 0: the high byte, and the low byte given the smaller high bytes.
-        self.counts = np.ones((lanes * 5, 256), dtype=np.float32)
-        self.bounds = np.zeros((lanes * 5, 257), dtype=np.int32)
-        self.rebuild()
-        # Rows of what lies before, between and after the two bounds; and the models' differences there.
-        self.lane = lane
-        self.edges, self.apart = np.zeros((4, lanes), dtype=np.int64), np.zeros((4, lanes), dtype=np.int32)
-        self.edges[3] = 65536
+    """The models of all blocks, one lane a block; coder and decoder move them alike. Rows: order 1, order 2."""
+
+    def __init__(self, lanes: int, order0: _Order0):
+        self.order0 = order0
+        rows = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.base, self.state = rows << _TABLE_BITS, rows << 4
+        #: The id that followed a context last, and above how often in a row it did, up to three.
+        self.entries = np.zeros((2 * lanes) << _TABLE_BITS, dtype=np.int32)
+        self.shares = np.concatenate([np.tile(_FIRST1, lanes), np.tile(_FIRST2, lanes)]).astype(np.int32)
         self.last, self.hash = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-
-    def rebuild(self) -> None:
-        # Whole numbers far below 2^24 are exact in these floats, and so is their order of summation.
-        total = np.cumsum(self.counts, axis=1)
-        total *= np.float32(_PART - 256) / total[:, -1:]
-        self.bounds[:, 1:] = total
-        self.bounds[:, 1:] += _STEPS
+        self.at = np.empty((2, lanes), dtype=np.int64)
 
     def predict(self) -> None:
         mixed = self.last * 40503
-        self.at1 = (mixed >> 5 & _SLOT) + self.base
-        self.at2 = (mixed + self.hash >> 5 & _SLOT) + self.base
+        self.at[0] = mixed
+        self.at[1] = mixed + self.hash
+        self.at >>= 5
+        self.at &= _SLOT
+        self.at += self.base
         self.hash = self.last * 30341
-        self.e1, self.e2 = self.first.take(self.at1), self.second.take(self.at2)
-        self.c1, self.c2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.s1, self.s2 = (self.e1 >> 16) + self.state, (self.e2 >> 16) + self.state
-        self.p1, self.q1 = self.a1.take(self.s1), self.b1.take(self.s1)
-        self.p2, self.q2 = self.a2.take(self.s2), self.b2.take(self.s2)
-        # Bounds have 16 bits and the weight 14, so the products fit into 32 bits.
-        dp, dq = np.subtract(self.p2, self.p1, out=self.apart[1]), np.subtract(self.q2, self.q1, out=self.apart[2])
-        self.p = np.add(dp * self.weight >> 14, self.p1, out=self.edges[1])
-        self.q = np.add(dq * self.weight >> 14, self.q1, out=self.edges[2])
-
-    def span(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.below = outcome * len(self.lane) + self.lane
-        self.above = self.below + len(self.lane)
-        low = self.edges.take(self.below)
-        return low, self.edges.take(self.above) - low
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        # The model that gave the outcome more room gains weight.
-        gain = self.apart.take(self.above) > self.apart.take(self.below)
-        self.weight += (np.where(gain, _UP, _DOWN) - self.weight) >> 5
-        p, q = _TARGET_P.take(outcome), _TARGET_Q.take(outcome)
-        self.a2[self.s2], self.b2[self.s2] = (p - self.p2 >> 4) + self.p2, (q - self.q2 >> 4) + self.q2
-        self.a1[self.s1], self.b1[self.s1] = (p - self.p1 >> 4) + self.p1, (q - self.q1 >> 4) + self.q1
-        ids32 = ids.astype(np.int32)
-        for entries, at, e, c in ((self.first, self.at1, self.e1, self.c1), (self.second, self.at2, self.e2, self.c2)):
-            # One more where the prediction held, up to three; else none.
-            entries[at] = (np.minimum((e >> 16) + 1, 3) * (c == ids32) << 16) + ids32
+        entry = self.entries.take(self.at)
+        self.confidence, self.guess = entry & 3, entry >> 2
+        self.slot = self.state + (self.confidence[1] * 4 + self.confidence[0])
+        self.share = self.shares.take(self.slot)
+        mass = (self.share >> (16 - _SHARE_BITS)).astype(np.int64)
+        self.rest = (1 << _SHARE_BITS) - mass[0] - mass[1]
+        self.mass = np.left_shift(mass, _PART_BITS, out=mass)
+
+    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' parts of the mixture start, and their sizes: a guess's mass lies before its order-0 part."""
+        narrow = ids.astype(np.int32)
+        self.right = self.guess == narrow
+        before, own = self.mass * (self.guess < narrow), self.mass * self.right
+        start, size = self.rest * self.order0.starts.take(ids), self.rest * self.order0.sizes.take(ids)
+        start += before[0]
+        start += before[1]
+        size += own[0]
+        size += own[1]
+        return start, size
+
+    def ids(self, v: np.ndarray) -> np.ndarray:
+        """The ids in whose parts the numbers lie."""
+        low, high = self.guess.min(axis=0), self.guess.max(axis=0)
+        mass_low = np.where(self.guess[0] <= self.guess[1], self.mass[0], self.mass[1])
+        mass_high = self.mass[0] + self.mass[1] - mass_low
+        into = v - self.rest * self.order0.starts.take(low)
+        is_low = (into >= 0) & (into < mass_low)
+        v = v - mass_low * (into >= 0)
+        into = v - self.rest * self.order0.starts.take(high)
+        is_high = (into >= 0) & (into < mass_high)
+        v -= mass_high * (into >= 0)
+        # Both are below 2^30, so the whole part of the quotient of doubles is right. Where a guess is right it isn't used.
+        part = (v / self.rest).astype(np.int64)
+        np.clip(part, 0, (1 << _PART_BITS) - 1, out=part)
+        out = np.where(is_high, high, self.order0.ids.take(part))
+        return np.where(is_low, low, out).astype(np.int64)
+
+    def update(self, ids: np.ndarray) -> None:
+        # Order 1 has to be right where order 2 isn't, so that both shares together stay below one.
+        goal = self.right * _MOST
+        goal[0] *= ~self.right[1]
+        goal -= self.share
+        goal >>= 5
+        goal += self.share
+        self.shares[self.slot] = goal
+        # One more where the prediction held, up to three; else none.
+        entry = np.minimum(self.confidence + 1, 3)
+        entry *= self.right
+        entry += (ids << 2).astype(np.int32)
+        self.entries[self.at] = entry
         self.last = ids
 
 
 class _Encoder:
+    """Notes of every step what a lane would write, whether it does, and whether a carry goes to what it wrote before."""
+
     def __init__(self, lanes: int, steps: int):
-        self.low = np.zeros(lanes, dtype=np.int64)
-        self.range = np.full(lanes, _TOP)
-        self.words = np.zeros((lanes, 3 * steps + 4), dtype=np.uint32)
-        self.n = np.zeros(lanes, dtype=np.int64)
-
-    def put(self, lanes: np.ndarray | slice, bits: int, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range[lanes] >> bits
-        low, left = self.low[lanes] + unit * start, unit * size
-        over = low > _TOP
-        if over.any():
-            where = np.flatnonzero(over) if isinstance(lanes, slice) else lanes[over]
-            low &= _TOP
-            at = self.n[where] - 1
-            while len(where):  # the carry goes up through words that are full
-                self.words[where, at] += np.uint32(1)
-                full = self.words[where, at] > 0xFFFF
-                where, at = where[full], at[full]
-                self.words[where, at] = 0
-                at = at - 1
-        out = np.flatnonzero(left < _LOW)
-        while len(out):
-            where = out if isinstance(lanes, slice) else lanes[out]
-            some, n = low[out], self.n[where]
-            self.words[where, n] = some >> 32
-            self.n[where] = n + 1
-            low[out] = (some << 16) & _TOP
-            left[out] <<= 16
-            out = out[left[out] < _LOW]
-        self.low[lanes], self.range[lanes] = low, left
+        self.low, self.range = np.zeros(lanes, dtype=U), np.full(lanes, (1 << 64) - 1, dtype=U)
+        self.tops, self.full, self.carry = np.empty((steps, lanes), dtype=np.uint32), np.empty((steps, lanes), dtype=bool), np.empty((steps, lanes), dtype=bool)
+
+    def put(self, t: int, start: np.ndarray, size: np.ndarray) -> None:
+        unit = self.range >> U(_TOTAL_BITS)
+        step = start.view(U) * unit
+        self.low += step
+        unit *= size.view(U)
+        np.less(self.low, step, out=self.carry[t])
+        full = np.less(unit, U(1 << 32), out=self.full[t])
+        np.right_shift(self.low, _WORD, out=self.tops[t], casting="unsafe")
+        # At least 2^2 parts of each step are left, so one word at a time is enough.
+        by = full.astype(U)
+        by <<= U(5)
+        self.low <<= by
+        unit <<= by
+        self.range = unit
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.words[every, self.n] = (self.low >> shift) & 0xFFFF
-            self.n += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.words, self.n.tolist(), strict=True)]
+        full = self.full.T
+        n = full.sum(axis=1)
+        size = n + 2
+        begin = np.cumsum(size) - size
+        words = np.zeros(int(size.sum()), dtype=U)
+        lane = np.nonzero(full)[0]
+        words[np.arange(len(lane)) + 2 * lane] = self.tops.T[full]
+        words[begin + n], words[begin + n + 1] = self.low >> _WORD, self.low & U(0xFFFFFFFF)
+        lane, t = np.nonzero(self.carry.T)
+        written = np.cumsum(full, axis=1, dtype=np.int32)[lane, t] - full[lane, t]
+        np.add.at(words, begin[lane] + written - 1, U(1))
+        while len(over := np.flatnonzero(words >> _WORD)):  # a carry goes up through words that are full
+            words[over] &= U(0xFFFFFFFF)
+            np.add.at(words, over - 1, U(1))
+        coded = words.astype("<u4")
+        return [coded[b : b + k].tobytes() for b, k in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
 class _Decoder:
     def __init__(self, words: np.ndarray, starts: np.ndarray):
-        self.words, self.at = words, starts + 3
-        w = words.astype(np.int64)
-        self.code = (w[starts] << 32) | (w[starts + 1] << 16) | w[starts + 2]
-        self.range = np.full(len(starts), _TOP)
-
-    def value(self, lanes: np.ndarray | slice, bits: int) -> np.ndarray:
-        self.unit = self.range[lanes] >> bits
-        # Below 2^53, so the quotient of doubles is out by one at most, where it is whole.
-        v = (self.code[lanes] / self.unit).astype(np.int64)
-        v -= v * self.unit > self.code[lanes]
-        return np.minimum(v, (1 << bits) - 1)
-
-    def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        code, left = self.code[lanes] - self.unit * start, self.unit * size
-        out = np.flatnonzero(left < _LOW)
-        while len(out):
-            where = out if isinstance(lanes, slice) else lanes[out]
-            at = self.at[where]
-            code[out] = (code[out] << 16) | self.words[at]
-            self.at[where] = at + 1
-            left[out] <<= 16
-            out = out[left[out] < _LOW]
-        self.code[lanes], self.range[lanes] = code, left
-
-
-_ALL = slice(None)
-_GAIN = np.float32(24)
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded words of each block of ``block`` ids; the last block is filled up with zeros."""
+        self.words, self.at = words.astype(U), starts + 2
+        self.code = (self.words[starts] << _WORD) | self.words[starts + 1]
+        self.range = np.full(len(starts), (1 << 64) - 1, dtype=U)
+
+    def value(self) -> np.ndarray:
+        self.unit = self.range >> U(_TOTAL_BITS)
+        # The quotient of doubles may be out by one where it is nearly whole.
+        v = (self.code / self.unit).astype(U)
+        v -= v * self.unit > self.code
+        v += (v + U(1)) * self.unit <= self.code
+        return np.minimum(v, U((1 << _TOTAL_BITS) - 1)).view(np.int64)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        self.code -= start.view(U) * self.unit
+        self.unit *= size.view(U)
+        self.range = self.unit
+        out = np.flatnonzero(self.range < U(1 << 32))
+        at = self.at[out]
+        self.code[out] = (self.code[out] << _WORD) | self.words[at]
+        self.at[out] = at + 1
+        self.range[out] <<= _WORD
+
+
+def encode_blocks(ids: np.ndarray, order0: _Order0, block: int = BLOCK) -> list[bytes]:
+    """The coded words of each block of ``block`` ids; the last block is filled up with an id of its own."""
     lanes = -(-len(ids) // block)
-    filled = np.zeros(lanes * block, dtype=np.int64)
+    filled = np.full(lanes * block, ids[-1] if len(ids) else 0, dtype=np.int64)
     filled[: len(ids)] = ids
     steps = np.ascontiguousarray(filled.reshape(lanes, block).T)
-    model, coder = _Lanes(lanes), _Encoder(lanes, block)
-    bounds, counts = model.bounds.reshape(-1), model.counts.reshape(-1)
+    model, coder = _Lanes(lanes, order0), _Encoder(lanes, block)
     for t in range(block):
-        x = steps[t]
         model.predict()
-        outcome = (model.c2 != x).astype(np.int64)
-        outcome += outcome & (model.c1 != x)
-        coder.put(_ALL, 16, *model.span(outcome))
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            symbols = x[rest]
-            high, low = symbols >> 8, symbols & 255
-            row = rest * 5
-            at1 = row * 257 + high
-            at2 = (row + 1 + np.minimum(high, 3)) * 257 + low
-            start1, start2 = bounds.take(at1), bounds.take(at2)
-            size1, size2 = bounds.take(at1 + 1) - start1, bounds.take(at2 + 1) - start2
-            coder.put(rest, 24, start1 * _PART + size1 * start2, size1 * size2)
-            counts[row * 256 + high] += _GAIN
-            counts[(at2 - low) // 257 * 256 + low] += _GAIN
-        model.update(x, outcome)
-        if t % _REBUILD == _REBUILD - 1:
-            model.rebuild()
+        coder.put(t, *model.span(steps[t]))
+        model.update(steps[t])
     return coder.finish()
 
 
-def decode_blocks(words: np.ndarray, starts: np.ndarray, block: int) -> np.ndarray:
+def decode_blocks(words: np.ndarray, starts: np.ndarray, order0: _Order0, block: int) -> np.ndarray:
     """The ids of all blocks, fill included, from their words and where each block's begin."""
-    lanes = len(starts)
-    model, coder = _Lanes(lanes), _Decoder(words, starts)
-    bounds, counts = model.bounds.reshape(-1), model.counts.reshape(-1)
-    steps = np.empty((block, lanes), dtype=np.int64)
+    model, coder = _Lanes(len(starts), order0), _Decoder(words, starts)
+    steps = np.empty((block, len(starts)), dtype=np.int64)
     for t in range(block):
         model.predict()
-        v = coder.value(_ALL, 16)
-        outcome = (v >= model.p).astype(np.int64) + (v >= model.q)
-        coder.take(_ALL, *model.span(outcome))
-        x = np.where(outcome == 0, model.c2, model.c1).astype(np.int64)
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            v = coder.value(rest, 24)
-            row = rest * 5
-            high, start1 = _symbol(bounds, row * 257, v >> 12)
-            size1 = bounds.take(row * 257 + high + 1) - start1
-            at = (row + 1 + np.minimum(high, 3)) * 257
-            low, start2 = _symbol(bounds, at, (v - start1 * _PART) // size1)
-            size2 = bounds.take(at + low + 1) - start2
-            coder.take(rest, start1 * _PART + size1 * start2, size1 * size2)
-            counts[row * 256 + high] += _GAIN
-            counts[at // 257 * 256 + low] += _GAIN
-            x[rest] = high << 8 | low
-        model.update(x, outcome)
-        steps[t] = x
-        if t % _REBUILD == _REBUILD - 1:
-            model.rebuild()
+        steps[t] = model.ids(coder.value())
+        coder.take(*model.span(steps[t]))
+        model.update(steps[t])
     return np.ascontiguousarray(steps.T).reshape(-1)
 
 
-def _symbol(bounds: np.ndarray, row: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol of each row whose part of the row's sizes holds v, and where that part starts."""
-    at = row.copy()
-    for half in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += half * (bounds.take(at + half) <= v)
-    return at - row, bounds.take(at)
-
-
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A file of the documents' ids."""
-    coded = encode_blocks(ids, block)
+    order0 = _Order0.of(ids)
+    coded = encode_blocks(ids, order0, block)
+    parts = zlib.compress(order0.sizes.astype("<u4").tobytes())
     check = [zlib.crc32(ids[at : at + block].astype("<u4").tobytes()) for at in range(0, len(ids), block)]
     body = b"".join(
         [
             MAGIC,
-            struct.pack("<IIIQ", len(doc_ids), block, len(coded), len(ids)),
+            struct.pack("<IIIIQ", len(doc_ids), block, len(coded), len(parts), len(ids)),
             doc_ids.astype("<i8").tobytes(),
             counts.astype("<i8").tobytes(),
-            np.array([[len(c) // 2 for c in coded], check], dtype="<u4").tobytes(),
+            np.array([[len(c) // 4 for c in coded], check], dtype="<u4").tobytes(),
+            parts,
             *coded,
         ]
     )
@@ -332,15 +324,17 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, counts and ids of a file; raises ValueError where a checksum doesn't hold."""
     if data[:4] != MAGIC or struct.unpack("<I", data[-4:])[0] != zlib.crc32(data[:-4]):
         raise ValueError("not a whole file of token ids")
-    docs, block, blocks, total = struct.unpack("<IIIQ", data[4:24])
-    at = 24
+    docs, block, blocks, held, total = struct.unpack("<IIIIQ", data[4:28])
+    at = 28
     doc_ids = np.frombuffer(data, "<i8", docs, at)
     counts = np.frombuffer(data, "<i8", docs, at + 8 * docs)
     at += 16 * docs
     sizes, check = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(2, -1).astype(np.int64)
-    words = np.frombuffer(data, "<u2", int(sizes.sum()), at + 8 * blocks)
-    # A decoder looks at most two words beyond its block.
-    ids = decode_blocks(np.concatenate([words, np.zeros(4, dtype=words.dtype)]), np.cumsum(sizes) - sizes, block)[:total].astype("<u4")
+    at += 8 * blocks
+    order0 = _Order0(np.frombuffer(zlib.decompress(data[at : at + held]), "<u4"))
+    words = np.frombuffer(data, "<u4", int(sizes.sum()), at + held)
+    # A decoder looks at most a word beyond its block.
+    ids = decode_blocks(np.concatenate([words, np.zeros(2, dtype=words.dtype)]), np.cumsum(sizes) - sizes, order0, block)[:total].astype("<u4")
     for i in range(blocks):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != check[i]:
             raise ValueError(f"block {i} is damaged")
