@@ -59,7 +59,8 @@ def test_intervals_at_every_depth(spark):
     texts = ["\n".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(12)] + ["x\n" * 40, "\n".join(str(k) for k in range(50)), "\n".join(str(k) for k in range(50)) + "\nend"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     scratch = Scratch(spark, "t")
-    levels = ld.suffix_array(scratch, scratch.write(ld.line_table(df), "lines"), 3)
+    found = ld.suffix_array(scratch, scratch.write(ld.line_table(df), "lines"), 3)
+    levels = {depth: rows.collect() for depth, rows, _ in found}
     assert sorted(levels) == [1, 2, 3, 6, 12, 24, 48]
     lines = [t.split("\n") for t in texts]
     for depth, rows in levels.items():
@@ -68,7 +69,7 @@ def test_intervals_at_every_depth(spark):
             for n in range(len(ls) - depth + 1):
                 want[tuple(ls[n : n + depth])].add((d, n))
         got = defaultdict(set)
-        for r in rows.collect():
+        for r in rows:
             got[r.rank].add((r.d, r.n))
         assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
         # A rank is the first place of an interval in the array, so intervals don't overlap.

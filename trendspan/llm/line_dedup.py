@@ -27,10 +27,12 @@ there is such a column, follows the text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendspan.llm.shared import Scratch, join_counted, table
+from trendspan.llm.shared import HOT_SHARE, Scratch, join_counted, table
 
 MIN_LINES = 4
 MIN_CHARS = 40
@@ -61,50 +63,65 @@ def _before(sizes: DataFrame, within: list[str], group: str, order: list[str]) -
     return held.join(earlier, [*within, group]).withColumn("before", F.col("earlier") + F.col("inside")).drop("earlier", "inside", group)
 
 
-def suffix_array(scratch: Scratch, lines: DataFrame, depth: int = MIN_LINES) -> dict[int, DataFrame]:
+def suffix_array(scratch: Scratch, lines: DataFrame, depth: int = MIN_LINES) -> Iterator[tuple[int, DataFrame, bool]]:
     """The suffixes in intervals of two or more, by the least length of the interval's common prefix.
 
-    The lengths are 1, its doubles below ``depth``, and ``depth`` and its doubles. Each table has ``d, h, n, rank``, the
-    first one ``size`` as well.
+    The lengths are 1, its doubles below ``depth``, and ``depth`` and its doubles. With each comes a table of
+    ``d, h, n, rank, c``, ``c`` being the interval's size, the first one with ``size`` as well; and whether it has hot
+    intervals. A table is dropped when the next one is asked for.
     """
     total = max(lines.count(), 1)
     repeated = lines.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1")
     # Ids are hashes, so ranges of them are even; a hot line is one row here.
     spread = repeated.withColumn("g", F.shiftright("a", 64 - RANGES.bit_length() + 1))
     ranked = _before(spread, [], "g", ["a", "b"]).select("a", "b", "c", F.col("before").alias("rank"))
-    now = scratch.write(join_counted(lines, ranked, ["a", "b"], total).select("d", "h", "n", "size", "rank"), "by-line")
-    levels, known = {1: now}, 1
+    now, known = scratch.write(join_counted(lines, ranked, ["a", "b"], total).select("d", "h", "n", "size", "rank", "c"), "by-line"), 1
     while True:
+        rows, most = now.agg(F.count("*"), F.max("c")).first()
+        if not rows:
+            scratch.drop(now)
+            return
+        hot = most > total // HOT_SHARE
+        yield known, now, hot
         # Up to ``depth`` the last two windows may overlap, so that together they have ``depth`` lines.
         step = min(known, depth - known) if known < depth else known
         ahead = F.max("rank").over(Window.partitionBy(*_KEY).orderBy("n").rangeBetween(step, step))
         pairs = now.select("d", "h", "n", "rank").withColumn("next", ahead)
         # What ends within the next lines, or goes on as no other does, comes first in its interval.
         classes = pairs.groupBy("rank", F.coalesce("next", F.lit(-1).cast("long")).alias("next")).agg(F.count("*").alias("c"))
-        spread = classes.withColumn("g", F.floor(F.col("next") * RANGES / total).cast("long"))
-        named = _before(spread, ["rank"], "g", ["next"]).where("next >= 0 and c > 1")
-        named = named.select("rank", "next", "c", (F.col("rank") + F.col("before")).alias("finer"))
-        after = join_counted(pairs.where("next is not null"), named, ["rank", "next"], total).select("d", "h", "n", F.col("finer").alias("rank"))
-        now, known = scratch.write(after, "deeper"), known + step
-        if now.isEmpty():
-            return levels
-        levels[known] = now
-
-
-def later_copies(suffixes: DataFrame) -> DataFrame:
+        if hot:  # then one interval may have very many continuations
+            named = _before(classes.withColumn("g", F.floor(F.col("next") * RANGES / total).cast("long")), ["rank"], "g", ["next"])
+        else:
+            named = classes.withColumn("before", F.sum("c").over(Window.partitionBy("rank").orderBy("next")) - F.col("c"))
+        named = named.where("next >= 0 and c > 1").select("rank", "next", "c", (F.col("rank") + F.col("before")).alias("finer"))
+        pairs = pairs.where("next is not null")
+        held = join_counted(pairs, named, ["rank", "next"], total) if hot else pairs.join(named, ["rank", "next"])
+        after = scratch.write(held.select("d", "h", "n", F.col("finer").alias("rank"), "c"), "deeper")
+        scratch.drop(now)
+        now, known = after, known + step
+
+
+def later_copies(suffixes: DataFrame, hot: bool, total: int) -> DataFrame:
     """The suffixes of each interval but its earliest, with that place as ``least``."""
     place = F.struct("d", "h", "n")
     earliest = suffixes.groupBy("rank").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1")
-    return join_counted(suffixes, earliest, ["rank"], max(suffixes.count(), 1)).where(place > F.col("least")).drop("c")
+    rows = suffixes.drop("c")
+    both = join_counted(rows, earliest, ["rank"], total) if hot else rows.join(earliest, "rank")
+    return both.where(place > F.col("least")).drop("c")
 
 
 def later_runs(scratch: Scratch, lines: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``d, h, n, depth, least``: each place that begins an earlier run, and the depth of its deepest interval."""
-    levels = suffix_array(scratch, lines, min_lines)
-    found = later_copies(levels[1].where(F.col("size") >= min_chars)).select("d", "h", "n", F.lit(1).alias("depth"), "least")
-    for depth in sorted(levels):
-        if depth >= max(min_lines, 2):
-            found = found.unionByName(later_copies(levels[depth]).select("d", "h", "n", F.lit(depth).alias("depth"), "least"))
+    total = max(lines.count(), 1)
+    path, schema = scratch.path("later"), "d long, h long, n int, depth int, least struct<d: long, h: long, n: int>"
+    found = lines.sparkSession.createDataFrame([], schema)  # where no line repeats
+    for depth, suffixes, hot in suffix_array(scratch, lines, min_lines):
+        if depth == 1:
+            suffixes = suffixes.where(F.col("size") >= min_chars)
+        if depth == 1 or depth >= min_lines:
+            later = later_copies(suffixes, hot, total).select("d", "h", "n", F.lit(depth).alias("depth"), "least")
+            later.write.mode("append").parquet(path)
+            found = lines.sparkSession.read.schema(schema).parquet(path)
     return found.groupBy("d", "h", "n").agg(F.max("depth").alias("depth"), F.max_by("least", "depth").alias("least"))
 
 

@@ -46,7 +46,7 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 #: A key with more than this part of all rows is hot.
-HOT_SHARE = 2048
+HOT_SHARE = 256
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
