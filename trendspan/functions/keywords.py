@@ -14,8 +14,13 @@ from trendspan.functions import scoring as sc
 from trendspan.functions import text as tx
 from trendspan.functions import urls as ur
 
-# Words that a phrase may have between generic ones.
-FUNCTION_WORDS = ["the", "a", "an", "of", "for", "and", "in", "on", "to", "with"]
+# Fixed value: particles that don't count when a keyword's words are counted.
+PARTICLES = ["의", "에", "를", "을", "이", "가", "와", "과", "및", "for", "the", "a", "an", "of", "in", "to"]
+# What makes a phrase about AI generic if only generic words follow.
+AI_AGENT_PREFIX = r"(?i)^ai[\s-](?:agent[s]?|에이전트)\s*"
+AI_PREFIX = r"(?i)^ai[\s-](?:기반|모델|투자|학습용|활용|powered|based|driven|enabled|어시스턴트|오케스트레이션|문서|다중|기사|처리|헬스케어|효율성|지식|document|healthcare|voice|orchestration|article|workflow|productivity|efficiency|automation|management|monitoring|optimization)\s*"
+# Fixed value: words of an action at a keyword's end.
+TRAILING_ACTION_WORDS = ["도입", "채택", "활용", "공개", "출시", "발표", "확대", "추진", "적용", "업데이트", "통합", "지원", "강화", "개선", "launch", "launched", "release", "released", "update", "updated", "adoption", "adopted", "integration", "integrated"]
 #: Rules that a caller gives none of: what is too general, who publishes, what is another topic.
 DEFAULT_RULES = {
     "excluded": [],
@@ -34,42 +39,49 @@ def drop_reason(keyword: Column, matches: Column, domains: Column, rules: dict[s
     that are another matter.
     """
     r = {**DEFAULT_RULES, **rules}
-    surface = tx.policy_surface(keyword)
-    words = F.filter(F.split(F.replace(F.lower(F.trim(keyword)), F.lit("-"), F.lit(" ")), r"\s+"), lambda w: (w != "") & ~w.isin(*FUNCTION_WORDS))
+    surface, low = tx.policy_surface(keyword), F.lower(keyword)
+    split = lambda x: F.split(F.replace(F.lower(x), F.lit("-"), F.lit(" ")), r"\s+")
+    words = F.filter(split(keyword), lambda w: (w != "") & ~w.isin(*tx.FUNCTION_WORDS))
     generic = lambda w: w.isin(*r["generic"]) if r["generic"] else F.lit(False)
-    tail = F.regexp_extract(surface, r"^ai (?:agent |\w+ )?(\w+)$", 1)
+    counted = F.filter(F.split(keyword, r"\s+"), lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*PARTICLES))
+
+    def generic_after(prefix: str) -> Column:
+        rest = F.trim(F.regexp_replace(keyword, prefix, ""))
+        return keyword.rlike(prefix) & ((rest == "") | F.forall(F.filter(split(rest), lambda w: F.length(w) >= 2), generic))
+
     some = lambda xs, f: F.exists(F.array(*map(F.lit, xs)), f) if xs else F.lit(False)
     excluded = some(r["excluded"], lambda x: (surface == x) | (F.replace(surface, F.lit(" "), F.lit("")) == F.replace(x, F.lit(" "), F.lit(""))))
     excluded = excluded | some(r["prefixes"], lambda x: F.startswith(surface, x))
     for p in r["patterns"]:
         excluded = excluded | surface.rlike(p)
-    outlet = some(r["outlets"], lambda x: (surface == x) | F.startswith(surface, F.concat(x, F.lit(" "))) | F.endswith(surface, F.concat(F.lit(" "), x)))
+    outlet = some(r["outlets"], lambda x: (low == x) | F.startswith(low, F.concat(x, F.lit(" "))) | F.endswith(low, F.concat(F.lit(" "), x)))
     return (
         F.when(matches == 0, "no_match")
         .when(excluded, "excluded")
         .when(generic(surface), "generic")
         .when((F.size(words) >= 2) & F.forall(words, generic), "all_generic")
-        .when((tail != "") & generic(tail), "generic_ai_phrase")
-        .when(F.size(words) > 4, "verbose")
+        .when(generic_after(AI_AGENT_PREFIX), "generic_ai_agent")
+        .when(generic_after(AI_PREFIX), "generic_ai_phrase")
+        .when(F.size(counted) > 4, "verbose")
         .when(tx.headline(keyword), "headline")
         .when(outlet, "outlet")
-        .when(some(r["other_topics"], lambda x: F.contains(surface, x)), "other_topic")
+        .when(some(r["other_topics"], lambda x: F.contains(low, x)), "other_topic")
         .when(tx.repo_slug(keyword), "repo_slug")
         .when(tx.mixed_script_hyphen(keyword), "transliteration")
     )
 
 
 def fallback_terms(title: Column) -> Column:
-    """Terms of a title where no model gave any: camelCase words, and names with a version behind them."""
-    found = F.concat(F.regexp_extract_all(title, F.lit(r"(\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\b)"), 1), F.regexp_extract_all(title, F.lit(r"(\b[A-Z][A-Za-z]+[ -]v?\d+(?:\.\d+)*\b)"), 1))
-    return F.array_distinct(found)
+    """Words of a title that stand for keywords where no model gave any: camelCase words, and names with a version in them."""
+    word = lambda w: w.rlike(r"^[A-Z][a-z]+[A-Z]") | (w.rlike(r"^[A-Za-z]+-?\d+(?:\.\d+)?$") & (F.length(w) >= 4))
+    return F.array_distinct(F.filter(F.split(title, r"\s+"), word))
 
 
 def core_key(keyword: Column) -> Column:
-    """What duplicates of a keyword share: its compact surface without a trailing action word or variant words."""
+    """What duplicates of a keyword share: its compact surface without a trailing action word, or else without variant words."""
     surface = tx.keyword_surface(keyword)
-    acted = F.regexp_replace(surface, r" (?:released?|launch(?:ed|es)?|updated?|announced?|announcement|support)$", "")
-    return F.replace(F.when(acted != surface, acted).otherwise(tx.trim_minor_suffix(surface)), F.lit(" "), F.lit(""))
+    acted = F.regexp_replace(surface, "^(.+) (?:" + "|".join(TRAILING_ACTION_WORDS) + ")$", "$1")
+    return tx.compacted(F.when(acted != surface, acted).otherwise(tx.trim_minor_suffix(surface)))
 
 
 def should_merge(jaccard: Column, same_form: Column, version: Column, ascii_word: Column, cross_script: Column) -> Column:
@@ -82,18 +94,18 @@ def should_merge(jaccard: Column, same_form: Column, version: Column, ascii_word
     )
 
 
-def canonical_score(keyword: Column, matches: Column, tier: Column, context_dependent: Column) -> Column:
-    """How well a keyword names its cluster."""
-    anchors = F.size(tx.ascii_core_tokens(keyword))
+def canonical_score(keyword: Column, aliases: Column, matches: Column, tier: Column, generic: Sequence[str] = ()) -> Column:
+    """How well a keyword names its cluster; scripts count over its aliases too."""
+    surface, every = tx.keyword_surface(keyword), F.concat(F.array(keyword), F.coalesce(aliases, F.array().cast("array<string>")))
     points = [
-        F.when(keyword.rlike(r"^[\x00-\x7F]+$"), 40).otherwise(0),
-        F.when(~keyword.rlike(tx.HANGUL), 10).otherwise(0),
-        F.when(keyword.rlike(r"[A-Za-z]\d|\d[A-Za-z]"), 8).otherwise(0),
-        F.least(anchors, F.lit(4)) * 5,
-        F.least(matches, F.lit(20)),
+        F.when(F.exists(every, lambda x: x.rlike("[A-Za-z]")), 40).otherwise(0),
+        F.when(~F.exists(every, lambda x: x.rlike(tx.ANY_HANGUL)), 10).otherwise(0),
+        F.when(surface.rlike(r"[a-z]\s+\d+(?:\.\d+)?"), 8).otherwise(0),
+        F.least(F.size(tx.anchor_tokens(keyword, list(generic))), F.lit(4)) * 5,
+        F.least(matches, F.lit(20)).cast("int"),
         F.when(tier == "P0_CURATED", 4).otherwise(0),
-        F.when(context_dependent, -14).otherwise(0),
-        F.when(tx.trim_minor_suffix(tx.keyword_surface(keyword)) != tx.keyword_surface(keyword), -6).otherwise(0),
+        F.when(tx.context_dependent(keyword, list(generic)), -14).otherwise(0),
+        F.when(F.element_at(F.split(surface, " "), -1).isin(*tx.KEYWORD_VARIANT_WORDS), -6).otherwise(0),
     ]
     out = points[0]
     for p in points[1:]:
@@ -144,8 +156,8 @@ def viewer_hash(secret: str, viewer: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two normal titles; Spark has no function for it. Nulls are empty."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """Ratcliff-Obershelp similarity of two normal titles; Spark has no function for it. A null or empty one is like none."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
 def valid_image(url: Column) -> Column:

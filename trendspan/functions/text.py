@@ -6,6 +6,8 @@ compatibility forms (full-width letters, ligatures) are folded beforehand by ``f
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +19,15 @@ FRAMEWORK_SUFFIXES = ["react", "vue", "svelte", "angular", "solid", "next", "nux
 FAMILY_TRAILING_NOISE = ["release", "releases", "released", "version", "versions", "update", "updates", "updated", "announcement", "announcements", "launch", "launched", "support", "integration", "integrations"] + MINOR_VARIANT_WORDS
 INCIDENT_HINTS = ["outage", "incident", "degraded", "downtime", "server down", "down", "latency", "error", "errors", "bug", "bugs", "issue", "issues", "broken", "failure", "failed", "rollback", "revert", "security", "vulnerability", "cve", "장애", "오류", "먹통", "다운", "보안"]
 FEATURE_HINTS = ["memory", "import", "teams", "workflow", "workflows", "mode", "modes", "plugin", "plugins", "extension", "extensions", "integration", "integrations", "voice", "audio", "search", "sync", "tool calling", "filesystem", "browser", "desktop", "mobile", "studio", "feature", "features", "support", "memory import", "기능", "지원", "연동", "통합", "음성", "보이스"]
-STOP_WORDS = ["the", "and", "for", "with", "from", "this", "that", "are", "was", "has", "have", "not", "but", "you", "your", "its", "into", "over", "new", "how", "why", "what"]
+# Fixed value: words that need not occur for a term to match.
+STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "are", "was", "has", "new", "how", "via", "its", "into", "over", "under", "using", "based", "의", "에", "을", "를", "이", "가", "와", "과"]
+# Fixed value: variant words at the end of a keyword.
+KEYWORD_VARIANT_WORDS = ["small", "mini", "micro", "lite", "base", "core", "pro", "plus", "max", "large", "turbo", "스몰", "미니", "라이트", "베이스", "프로", "플러스", "맥스", "라지"]
+# Words that only head a phrase about something else.
+CONTEXT_HEAD_HINTS = ["mode", "modes", "feature", "features", "assistant", "assistants", "workflow", "workflows", "plugin", "plugins", "extension", "extensions", "integration", "integrations", "capability", "capabilities", "voice", "audio", "chat", "agent", "agents", "모드", "기능", "업데이트", "연동", "통합", "보이스", "음성", "도우미"]
+CONTEXT_HEAD_SUFFIX = "(?i)(?:mode|feature|assistant|workflow|plugin|extension|integration|capability|voice|audio|chat|agent|모드|기능|업데이트|연동|통합|보이스|음성)$"
+# Fixed value: function words, which carry no meaning in a phrase.
+FUNCTION_WORDS = ["a", "an", "in", "of", "at", "to", "by", "on", "as", "or"]
 # Fixed value: signs that a surface turns into blanks.
 SIGNS = "[“”\"'`~!@#$%^&*()+=\\[\\]{}|\\\\:;<>?,]"
 
@@ -25,6 +35,8 @@ SIGNS = "[“”\"'`~!@#$%^&*()+=\\[\\]{}|\\\\:;<>?,]"
 SOURCE_SIGNS = "[“”\"'`~!#$%^&*()+=\\[\\]{}|\\\\;<>?,.]"
 
 HANGUL = "[가-힣]"
+#: Syllables and both blocks of letters.
+ANY_HANGUL = "[\\x{AC00}-\\x{D7AF}\\x{3130}-\\x{318F}\\x{1100}-\\x{11FF}]"
 COMPATIBILITY = "[\\x{FF01}-\\x{FFEE}\\x{FB00}-\\x{FB06}\\x{2460}-\\x{24FF}\\x{3300}-\\x{33FF}]"
 
 
@@ -59,8 +71,18 @@ def source_surface(text: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(t, r"[_\-·/@:]+", " "), SOURCE_SIGNS, " "))
 
 
+def broad_surface(text: Column) -> Column:
+    """The surface that broad topics and generic keywords are looked up by: letters and numbers stay together."""
+    return collapse(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[_\-·/@:]+", " "), SOURCE_SIGNS, " "))
+
+
 def compact(text: Column) -> Column:
-    return F.regexp_replace(keyword_surface(text), " ", "")
+    return compacted(keyword_surface(text))
+
+
+def compacted(surface: Column) -> Column:
+    """A surface without blanks and dots."""
+    return F.regexp_replace(surface, r"[.\s]+", "")
 
 
 def tokens(surface: Column) -> Column:
@@ -76,15 +98,43 @@ def lookup_keys(keyword: Column, aliases: Column) -> Column:
 
 def trim_minor_suffix(surface: Column) -> Column:
     """Without trailing variant words such as mini or pro; a word at least stays."""
-    return F.regexp_replace(surface, "(?: (?:" + "|".join(MINOR_VARIANT_WORDS) + "))+$", "")
+    return F.regexp_replace(surface, "(?: (?:" + "|".join(KEYWORD_VARIANT_WORDS) + "))+$", "")
 
 
 def version_tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\d+(?:\.\d+)+|v\d+)"), 1))
+    """The numbers in a keyword's surface."""
+    return F.array_distinct(F.regexp_extract_all(keyword_surface(text), F.lit(r"(\d+(?:\.\d+){0,2})"), 1))
 
 
 def ascii_core_tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(keyword_surface(text)), lambda x: x.rlike("^[a-z]{3,}$")))
+    """The words of three ASCII letters or digits and more, with a letter, that are no variant words."""
+    plain = F.transform(tokens(keyword_surface(text)), lambda x: F.regexp_replace(x, "[^a-z0-9]", ""))
+    return F.array_distinct(F.filter(plain, lambda x: x.rlike("[a-z]") & (F.length(x) >= 3) & ~x.isin(*KEYWORD_VARIANT_WORDS)))
+
+
+def context_head(token: Column) -> Column:
+    """Whether a word only heads a phrase, as mode or plugin does."""
+    return token.isin(*CONTEXT_HEAD_HINTS) | token.rlike(CONTEXT_HEAD_SUFFIX)
+
+
+def anchor_tokens(text: Column, generic: list[str]) -> Column:
+    """The words of a keyword that name something: not generic, no function, stop or head word."""
+    named = lambda x: (F.length(x) >= 2) & ~x.isin(*generic, *FUNCTION_WORDS, *STOP_WORDS) & ~context_head(x) & x.rlike("[a-z0-9\\x{AC00}-\\x{D7AF}]")
+    return F.filter(tokens(keyword_surface(text)), named)
+
+
+def context_dependent(text: Column, generic: list[str]) -> Column:
+    """Whether a keyword says nothing on its own: head words only, or a generic word before one."""
+    t = tokens(keyword_surface(text))
+    pair = (F.size(t) == 2) & F.get(t, F.lit(0)).isin(*generic) & context_head(F.get(t, F.lit(1)))
+    return (F.size(t) > 0) & (F.size(anchor_tokens(text, generic)) == 0) & (F.forall(t, context_head) | F.coalesce(pair, F.lit(False)))
+
+
+def ascii_variant(text: Column) -> Column:
+    """A Hangul-bearing text without its Hangul and the signs left beside it; null where there is none, or hardly anything left."""
+    t = F.regexp_replace(text, ANY_HANGUL + "+", " ")
+    t = collapse(F.regexp_replace(F.regexp_replace(t, r"[-·]\s", " "), r"\s[-·]", " "))
+    return F.when(text.rlike(ANY_HANGUL) & (F.length(t) >= 3), t)
 
 
 def base36_hash(text: Column) -> Column:
@@ -124,8 +174,8 @@ def is_version_token(token: Column) -> Column:
 
 
 def contains_any(text: Column, hints: list[str]) -> Column:
-    """Whether the text holds one of the hints, as a substring."""
-    return F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(text, h))
+    """Whether the text holds one of the hints, as a substring: one pattern, in one pass over the text."""
+    return text.rlike("|".join(re.escape(h) for h in sorted(hints, key=len)))
 
 
 def keyword_kind(text: Column, version: Column) -> Column:
@@ -207,14 +257,16 @@ def significant_words(keyword: Column) -> Column:
 
 
 def term_matches(text: Column, term: Column) -> Column:
-    """A term of up to two letters as a whole word, one significant word as a substring, more all of them."""
+    """A term of up to two letters as a whole word; with at most one significant word the term as it stands; else all of these."""
     words = significant_words(term)
-    whole = F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9_])"), F.lower(term), F.lit("(?![a-z0-9_])")))
-    return F.when(F.length(term) <= 2, whole).when(F.size(words) == 0, F.contains(text, F.lower(term))).otherwise(F.forall(words, lambda w: F.contains(text, w)))
+    quoted = F.regexp_replace(F.lower(term), r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    whole = F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9_])"), quoted, F.lit("(?![a-z0-9_])")))
+    return F.when(F.length(term) <= 2, whole).when(F.size(words) <= 1, F.contains(text, F.lower(term))).otherwise(F.forall(words, lambda w: F.contains(text, w)))
 
 
 def title_key(title: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(title), r"[^\w\s]", " "))
+    """A title in lower case without common punctuation, of whatever script."""
+    return collapse(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[.,!?;:()\[\]{}\"—–-]", " "))
 
 
 def headline(text: Column) -> Column:

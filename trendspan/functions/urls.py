@@ -6,12 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query parameters that only track, and of them those that a URL key drops.
-TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid", "source", "mc_cid"]
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "source", "fbclid", "gclid", "msclkid"]
 KEY_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid"]
 # Sites that are social, and sites that hold data.
 SOCIAL_DOMAINS = ["x.com", "twitter.com", "t.co", "tweetdeck.twitter.com", "mobile.twitter.com", "linkedin.com", "lnkd.in", "threads.net", "reddit.com", "redd.it", "old.reddit.com", "news.ycombinator.com", "hn.algolia.com", "dev.to", "clien.net", "facebook.com", "fb.com", "instagram.com", "instagr.am", "tiktok.com", "vm.tiktok.com", "news.hada.io", "geeksforgeeks.org", "geeks.kr", "geeks.co.kr", "mastodon.social", "velog.io", "hashnode.com", "discord.com", "discord.gg", "blog.naver.com", "cafe.naver.com", "m.blog.naver.com", "m.cafe.naver.com", "tistory.com", "brunch.co.kr"]
 DATA_DOMAINS = ["youtube.com", "youtu.be", "m.youtube.com", "vimeo.com", "dailymotion.com", "twitch.tv", "loom.com", "docs.google.com", "drive.google.com", "colab.research.google.com", "slideshare.net", "speakerdeck.com", "figshare.com", "zenodo.org", "kaggle.com", "huggingface.co", "osf.io", "dropbox.com", "onedrive.live.com", "unsplash.com", "images.unsplash.com", "pexels.com", "pixabay.com", "imgur.com", "flickr.com", "giphy.com", "tenor.com", "media.githubusercontent.com", "raw.githubusercontent.com", "arxiv.org", "openreview.net", "aclanthology.org", "dblp.org", "ieeexplore.ieee.org", "springer.com", "link.springer.com", "sciencedirect.com", "dl.acm.org", "semanticscholar.org", "researchgate.net", "paperswithcode.com", "doi.org", "biorxiv.org", "medrxiv.org", "jmlr.org", "nature.com", "science.org"]
-DATA_FILE = r"(?i)\.(?:pdf|csv|tsv|json|jsonl|xml|yaml|yml|parquet|xls|xlsx|doc|docx|ppt|pptx|zip|tar|gz|7z|png|jpe?g|gif|webp|mp4)(?:$|[?#])"
+# What in a URL (and the last one, in a title) tells of data.
+HOSTED_VIDEO = r"(?i)(?:youtube\.com|youtu\.be|vimeo\.com|dailymotion\.com|twitch\.tv|loom\.com)"
+HOSTED_DOCUMENT = r"(?i)(?:docs\.google\.com|drive\.google\.com|colab\.research\.google\.com|slideshare\.net|speakerdeck\.com|notion\.(?:so|site))"
+IMAGE_OR_VIDEO = r"(?i)\.(?:png|jpe?g|gif|webp|bmp|svg|tiff|avif|mp4|mov|avi|mkv|webm|flv|m3u8)(?:$|[?#])"
+DATA_FILE = r"(?i)\.(?:pdf|csv|tsv|json|jsonl|xml|yaml|yml|parquet|xls|xlsx|doc|docx|ppt|pptx|zip|tar|gz|7z)(?:$|[?#])"
+FILE_TYPE = r"(?i)(?:filetype=pdf|format=pdf|download=1|output=1)"
+ACADEMIC = r"(?i)(?:arxiv|openreview|aclanthology|semanticscholar|researchgate|paperswithcode|preprint|doi\.org|whitepaper|technical\s*report|benchmark|leaderboard|supplementary)"
 
 
 def host(url: Column) -> Column:
@@ -55,12 +61,15 @@ def url_key(url: Column, dropped: list[str] = KEY_TRACKING) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, tracking parameters gone, the rest sorted, each name once, no fragment."""
-    kept = F.filter(_query_parts(url), lambda p: ~F.lower(_name(p)).isin(*TRACKING))
+    """Scheme and host in lower case, tracking parameters and empty ones gone, each name once, sorted by name, no fragment."""
+    kept = F.filter(_query_parts(url), lambda p: p.rlike("=.") & ~F.lower(_name(p)).isin(*TRACKING))
     first = F.filter(kept, lambda p, i: F.size(F.filter(F.slice(kept, F.lit(1), i), lambda q: _name(q) == _name(p))) == 0)
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pairs = F.array_sort(F.transform(first, lambda p: F.struct(plain(_name(p)).alias("k"), plain(F.regexp_extract(p, "=(.*)$", 1)).alias("v"))))
     head = F.regexp_extract(url, r"^([^/]*//[^/?#]*)", 1)
-    path = F.regexp_replace(F.regexp_extract(url, r"^[^/]*//[^/?#]*([^?#]*)", 1), "/+$", "")
-    return F.concat(F.lower(head), path, F.when(F.size(first) > 0, F.concat(F.lit("?"), F.array_join(F.sort_array(first), "&"))).otherwise(""))
+    path = F.regexp_extract(url, r"^[^/]*//[^/?#]*([^?#]*)", 1)
+    query = F.array_join(F.transform(pairs, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
+    return F.concat(F.lower(head), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def github_repo(url: Column) -> Column:
@@ -74,10 +83,28 @@ def youtube_id(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, f, 1), F.lit("")) for f in forms))
 
 
-def source_category(kind: Column, domain: Column, url: Column) -> Column:
-    """social, data or news: by a given type, then by site, then by the kind of file."""
-    d = normalize_host(domain)
-    return F.when(kind.isin("social", "data"), kind).when(in_domains(d, SOCIAL_DOMAINS), "social").when(in_domains(d, DATA_DOMAINS) | url.rlike(DATA_FILE), "data").otherwise("news")
+def source_category(kind: Column, domain: Column, url: Column, title: Column | None = None) -> Column:
+    """social, data or news: by a given type, then by site, then by what URL and title tell of data."""
+    stored = F.lower(F.coalesce(kind, F.lit("")))
+    d = F.coalesce(F.nullif(normalize_host(F.coalesce(domain, F.lit(""))), F.lit("")), normalize_host(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))))
+    u, t = F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")) if title is not None else F.lit("")
+    told = u.rlike(HOSTED_VIDEO) | u.rlike(HOSTED_DOCUMENT) | u.rlike(IMAGE_OR_VIDEO) | u.rlike(DATA_FILE) | u.rlike(FILE_TYPE) | u.rlike(ACADEMIC) | t.rlike(ACADEMIC)
+    return (
+        F.when(stored.isin("social", "data"), stored)
+        .when(stored.isin("video", "image"), "data")
+        .when(in_domains(d, SOCIAL_DOMAINS), "social")
+        .when(in_domains(d, DATA_DOMAINS) | told, "data")
+        .otherwise("news")
+    )
+
+
+def primary_type(news: Column, social: Column, data: Column, first: Column) -> Column:
+    """The category most sources are of; ties go to the first source's, then social, data, news. Social leads only alone."""
+    tie = lambda c, n: F.when(first == c, 0).otherwise(n)
+    row = lambda n, c, t: F.struct((-n).alias("n"), tie(c, t).alias("t"), F.lit(c).alias("c"))
+    best = F.least(row(news, "news", 3), row(social, "social", 1), row(data, "data", 2))["c"]
+    trusted = F.least(row(news, "news", 3), row(data, "data", 2))["c"]
+    return F.when((best == "social") & (news + data > 0), trusted).when(news + social + data == 0, "news").otherwise(best)
 
 
 def absolute(link: Column, base: Column) -> Column:

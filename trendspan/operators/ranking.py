@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,19 +18,29 @@ Keyword = tuple[str, str, Sequence[str]]
 MOST_KEYWORDS = 1000
 
 
-def match_bridge(items: DataFrame, keywords: Sequence[Keyword]) -> DataFrame:
-    """``keyword_id, item_idx`` of the items that hold the keyword or one of its aliases.
+def match_bridge(items: DataFrame, keywords: Sequence[Keyword], carried: Sequence[str] = ()) -> DataFrame:
+    """``keyword_id, item_idx`` of the items whose body holds the keyword, an alias or an ASCII variant; ``carried`` come along.
 
     Containment is no equality, so no equi-join can find it. The catalogue is small by contract and is part of the
     plan: each item is read once, tested against it in place and exploded, and nothing is shuffled.
     """
     if len(keywords) > MOST_KEYWORDS:
         raise ValueError(f"at most {MOST_KEYWORDS} keywords at a time")
-    body = F.lower(F.concat_ws(" ", "title", "summary"))
-    rows = items.select("item_idx", body.alias("body"))
-    hits = [F.when(_any_term(F.col("body"), [k, *aliases]), F.lit(i)) for i, k, aliases in keywords]
+    rows = items.select("item_idx", F.lower("body").alias("body"), *carried)
+    hits = [F.when(_any_term(F.col("body"), search_terms(k, aliases)), F.lit(i)) for i, k, aliases in keywords]
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return rows.select("item_idx", F.explode(found).alias("keyword_id"))
+    return rows.select("item_idx", *carried, F.explode(found).alias("keyword_id"))
+
+
+def search_terms(keyword: str, aliases: Sequence[str]) -> list[str]:
+    """A keyword's terms: itself, its aliases, and what is left of those with Hangul once that is off (``text.ascii_variant``)."""
+    terms = [keyword, *aliases]
+    for t in (keyword, *aliases):
+        plain = re.sub("[\uac00-\ud7af\u3130-\u318f\u1100-\u11ff]+", " ", t)
+        if plain != t:
+            plain = " ".join(re.sub(r"\s[-·]", " ", re.sub(r"[-·]\s", " ", plain)).split())
+            terms += [plain] if len(plain) >= 3 else []
+    return terms
 
 
 def _any_term(body: Column, terms: Sequence[str]) -> Column:
@@ -41,13 +52,11 @@ def _any_term(body: Column, terms: Sequence[str]) -> Column:
 
 def _term(body: Column, term: str) -> Column:
     """``functions.text.term_matches`` for a term that is known while planning."""
-    import re
-
     low = term.lower()
     words = [w for w in low.split() if len(w) >= 3 and w not in tx.STOP_WORDS]
     if len(term) <= 2:
         return body.rlike(f"(?<![a-z0-9_]){re.escape(low)}(?![a-z0-9_])")
-    if not words:
+    if len(words) <= 1:
         return F.contains(body, F.lit(low))
     out = F.lit(True)
     for w in words:
@@ -55,14 +64,20 @@ def _term(body: Column, term: str) -> Column:
     return out
 
 
-def candidate_rollup(bridge: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
-    """Each keyword's counts, domains, latest time, best tier, engagement and its items of two windows before ``as_of``."""
+#: What the roll-up needs of the items.
+ROLLED = ("domain", "published_at", "tier", "points", "comments")
+
+
+def candidate_rollup(bridge: DataFrame, as_of: str) -> DataFrame:
+    """Each keyword's counts, domains, latest time, best tier, engagement and its items of two windows before ``as_of``.
+
+    The bridge carries the columns ``ROLLED``, so items are read once.
+    """
     now = F.lit(as_of).cast("timestamp_ntz")
     age = tm.age_hours(now, F.col("published_at"))
     order = F.when(F.col("tier") == "P0_CURATED", 0).when(F.col("tier") == "P1_CONTEXT", 1).otherwise(2)
-    rows = bridge.join(items.select("item_idx", "domain", "published_at", "tier", "points", "comments"), "item_idx")
     best = F.min(order)
-    return rows.groupBy("keyword_id").agg(
+    return bridge.groupBy("keyword_id").agg(
         F.count("*").alias("matches"),
         F.count_distinct("domain").alias("domains"),
         F.max("published_at").alias("latest_at"),
@@ -117,7 +132,9 @@ def diversity_quotas(df: DataFrame, topic: str, order: Sequence[Column], least:
         low = F.when(F.col(topic) == t, n).otherwise(low)
     for t, n in most.items():
         high = F.when(F.col(topic) == t, n).otherwise(high)
-    placed = df.withColumns({"__n": F.row_number().over(by_topic), "__low": low, "__high": high})
+    # No topic can give more than this, a literal, so Spark drops the rest before rows are moved.
+    bound = max([target, *least.values()])
+    placed = df.withColumn("__n", F.row_number().over(by_topic)).where(F.col("__n") <= bound).withColumns({"__low": low, "__high": high})
     placed = placed.where(F.col("__high").isNull() | (F.col("__n") <= F.greatest("__high", "__low")))
     first = F.col("__n") <= F.col("__low")
     # No topic can give more than the target, so what is ranked over all topics is small.
@@ -190,14 +207,14 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round is a reliable checkpoint, so a lost executor costs no more than a round.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = edges.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
         import tempfile
 
-        if spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-            spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-        else:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trendspan-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="trendspan-"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
     for _ in range(most_rounds):

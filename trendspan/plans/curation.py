@@ -19,10 +19,11 @@ R = Registry()
 RULES = {"excluded": ["red widget", "hot gear"], "prefixes": ["tiny"], "patterns": [r"^blue \w+ 2\.0$"], "generic": ["small", "ring", "big", "bolt"], "outlets": ["green"], "other_topics": ["outage"]}
 
 
-@R.query(f"""{SUFFIXED}, p AS (SELECT keyword_id, keyword, size, {surface_sql("keyword")} AS p, list_filter(string_split(regexp_replace(replace(lower(trim(keyword)), '-', ' '), '\\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains(['the', 'a', 'an', 'of', 'for', 'and', 'in', 'on', 'to', 'with'], w)) AS ws FROM s),
+@R.query(f"""{SUFFIXED}, p AS (SELECT keyword_id, keyword, size, {surface_sql("keyword")} AS p, list_filter(string_split(regexp_replace(replace(lower(trim(keyword)), '-', ' '), '\\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({tx.FUNCTION_WORDS!r}, w)) AS ws,
+ list_filter(string_split(regexp_replace(keyword, '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 2 AND NOT list_contains({kw.PARTICLES!r}, lower(w))) AS counted FROM s),
 r AS (SELECT CASE WHEN size % 4 = 0 THEN 'no_match' WHEN p IN ('red widget', 'hot gear') OR starts_with(p, 'tiny') OR regexp_matches(p, '^blue \\w+ 2\\.0$') THEN 'excluded' WHEN p IN ('small', 'ring', 'big', 'bolt') THEN 'generic'
- WHEN len(ws) >= 2 AND len(list_filter(ws, lambda w: w NOT IN ('small', 'ring', 'big', 'bolt'))) = 0 THEN 'all_generic' WHEN len(ws) > 4 THEN 'verbose' WHEN regexp_matches(keyword, '["“”‘’]|\\d+종|(?:다|요|까)$|[.!?]$') THEN 'headline'
- WHEN p = 'green' OR starts_with(p, 'green ') OR ends_with(p, ' green') THEN 'outlet' WHEN contains(p, 'outage') THEN 'other_topic' ELSE 'kept' END AS reason FROM p)
+ WHEN len(ws) >= 2 AND len(list_filter(ws, lambda w: w NOT IN ('small', 'ring', 'big', 'bolt'))) = 0 THEN 'all_generic' WHEN len(counted) > 4 THEN 'verbose' WHEN regexp_matches(keyword, '["“”‘’]|\\d+종|(?:다|요|까)$|[.!?]$') THEN 'headline'
+ WHEN lower(keyword) = 'green' OR starts_with(lower(keyword), 'green ') OR ends_with(lower(keyword), ' green') THEN 'outlet' WHEN contains(lower(keyword), 'outage') THEN 'other_topic' ELSE 'kept' END AS reason FROM p)
 SELECT reason, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1""")
 def keyword_drop_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many keywords each rule of the drop chain takes; the first that holds counts."""
@@ -30,7 +31,7 @@ def keyword_drop_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixed(spark, sf_dir).select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@R.query(f"""{SUFFIXED}, t AS (SELECT keyword_id, list_distinct(list_concat(regexp_extract_all(keyword, '(\\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\\b)', 1), regexp_extract_all(keyword, '(\\b[A-Z][A-Za-z]+[ -]v?\\d+(?:\\.\\d+)*\\b)', 1))) AS t FROM s)
+@R.query(f"""{SUFFIXED}, t AS (SELECT keyword_id, list_distinct(list_filter(string_split(regexp_replace(keyword, '\\s+', ' ', 'g'), ' '), lambda w: regexp_matches(w, '^[A-Z][a-z]+[A-Z]') OR (length(w) >= 4 AND regexp_matches(w, '^[A-Za-z]+-?\\d+(?:\\.\\d+)?$')))) AS t FROM s)
 SELECT term, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(t) AS term FROM t) GROUP BY 1""")
 def fallback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that patterns find where no model gave any, counted."""
@@ -40,15 +41,15 @@ def fallback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAMEL = "regexp_replace(trim(keyword), '([a-z])([A-Z])', '\\1 \\2', 'g')"
 
 
-@R.query(f"""{SUFFIXED}, c AS (SELECT keyword_id, keyword, {surface_sql(_CAMEL)} AS p FROM s), a AS (SELECT *, regexp_replace(p, ' (?:released?|launch(?:ed|es)?|updated?|announced?|announcement|support)$', '') AS q FROM c),
-k AS (SELECT keyword_id, keyword, replace(CASE WHEN q <> p THEN q ELSE regexp_replace(p, '(?: (?:{"|".join(tx.MINOR_VARIANT_WORDS)}))+$', '') END, ' ', '') AS core FROM a)
+@R.query(f"""{SUFFIXED}, c AS (SELECT keyword_id, keyword, {surface_sql(_CAMEL)} AS p FROM s), a AS (SELECT *, regexp_replace(p, '^(.+) (?:{"|".join(kw.TRAILING_ACTION_WORDS)})$', '\\1') AS q FROM c),
+k AS (SELECT keyword_id, keyword, regexp_replace(CASE WHEN q <> p THEN q ELSE regexp_replace(p, '(?: (?:{"|".join(tx.KEYWORD_VARIANT_WORDS)}))+$', '') END, '[. ]+', '', 'g') AS core FROM a)
 SELECT core, min(keyword_id) AS keyword_id, CAST(count(DISTINCT keyword) AS BIGINT) AS aliases FROM k GROUP BY 1""")
 def core_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords with one core are one: the first stays, the others are its aliases."""
     return suffixed(spark, sf_dir).groupBy(kw.core_key(F.col("keyword")).alias("core")).agg(F.min("keyword_id").alias("keyword_id"), F.count_distinct("keyword").alias("aliases"))
 
 
-@R.query("""WITH i AS (SELECT l_partkey AS keyword_id, 'own' || (l_suppkey % 7) || '/repo' AS repo, l_orderkey AS idx FROM lineitem WHERE l_suppkey % 3 = 0),
+@R.query("""WITH i AS (SELECT l_partkey AS keyword_id, 'own' || (l_suppkey % 7) || '/repo' AS repo, l_orderkey AS idx FROM lineitem),
 v AS (SELECT keyword_id, repo, count(*) AS n, min(idx) AS first FROM i GROUP BY 1, 2) SELECT keyword_id, 'repo:' || repo AS family, CAST(n AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY n DESC, first, repo) AS k FROM v) WHERE k = 1""")
 def repo_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repository that most of a keyword's items are from names its family; ties go to the first seen."""
@@ -56,7 +57,7 @@ def repo_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trendspan.sources.tables import keywords
 
     url = F.concat(F.lit("https://github.com/Own"), (F.col("source_id") % 7).cast("string"), F.lit("/Repo/releases"))
-    rows = keywords(spark, sf_dir).where("source_id % 3 = 0").select("keyword_id", github_repo(url).alias("repo"), F.col("snapshot_id").alias("idx"))
+    rows = keywords(spark, sf_dir).select("keyword_id", github_repo(url).alias("repo"), F.col("snapshot_id").alias("idx"))
     votes = rows.groupBy("keyword_id", "repo").agg(F.count("*").alias("votes"), F.min("idx").alias("first"))
     best = first_per(votes, ["keyword_id"], [F.desc("votes"), F.asc("first"), F.asc("repo")])
     return best.select("keyword_id", F.concat(F.lit("repo:"), "repo").alias("family"), "votes")
@@ -66,7 +67,7 @@ def repo_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT keyword_id, item_idx, CAST(n AS INTEGER) AS position FROM t WHERE n <= 2""")
 def title_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two titles of each keyword, best tier first."""
-    rows = rp.bridge(spark, sf_dir).join(items(spark, sf_dir).select("item_idx", "tier"), "item_idx")
+    rows = rp.bridge(spark, sf_dir)
     order = F.when(F.col("tier") == "P0_CURATED", 0).when(F.col("tier") == "P1_CONTEXT", 1).when(F.col("tier") == "P2_RAW", 2).otherwise(3)
     position = F.row_number().over(Window.partitionBy("keyword_id").orderBy(order, "item_idx"))
     return rows.withColumn("position", position).where("position <= 2").select("keyword_id", "item_idx", "position")
@@ -83,25 +84,25 @@ def source_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per(rows, ["domain"], [F.desc("priority"), F.asc("item_idx")], 4).select("item_idx", "domain", "priority")
 
 
-@R.query("""WITH m AS (SELECT 0 AS p, page_id AS id, 'v' || (page_id % 100) AS video, CAST(CASE WHEN page_id % 3 = 0 THEN 'unknown' WHEN page_id % 3 = 1 THEN 'shorts' ELSE 'longform' END AS VARCHAR) AS kind FROM pages WHERE page_id % 5 = 0
- UNION ALL SELECT 1, event_id, 'v' || (event_id % 300), CASE WHEN event_id % 2 = 0 THEN 'shorts' ELSE 'longform' END FROM events WHERE event_id < 5000)
+@R.query("""WITH m AS (SELECT 0 AS p, page_id AS id, 'v' || (page_id % 100) AS video, CAST(CASE WHEN page_id % 3 = 0 THEN 'unknown' WHEN page_id % 3 = 1 THEN 'shorts' ELSE 'longform' END AS VARCHAR) AS kind FROM pages
+ UNION ALL SELECT 1, event_id, 'v' || (event_id % 300), CASE WHEN event_id % 2 = 0 THEN 'shorts' ELSE 'longform' END FROM events)
 SELECT video, p AS origin, kind FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY p, id) AS n FROM m) WHERE n = 1 AND kind IN ('longform', 'unknown')""")
 def video_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual and automatic videos, manual ones first, each once; long ones and those of unknown length are shown."""
     k, e = F.col("page_id"), F.col("event_id")
-    manual = pages(spark, sf_dir).where("page_id % 5 = 0").select(F.lit(0).alias("origin"), k.alias("id"), F.concat(F.lit("v"), (k % 100).cast("string")).alias("video"), F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "shorts").otherwise("longform").alias("kind"))
-    auto = table(spark, sf_dir, "events").where("event_id < 5000").select(F.lit(1).alias("origin"), e.alias("id"), F.concat(F.lit("v"), (e % 300).cast("string")).alias("video"), F.when(e % 2 == 0, "shorts").otherwise("longform").alias("kind"))
+    manual = pages(spark, sf_dir).select(F.lit(0).alias("origin"), k.alias("id"), F.concat(F.lit("v"), (k % 100).cast("string")).alias("video"), F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "shorts").otherwise("longform").alias("kind"))
+    auto = table(spark, sf_dir, "events").select(F.lit(1).alias("origin"), e.alias("id"), F.concat(F.lit("v"), (e % 300).cast("string")).alias("video"), F.when(e % 2 == 0, "shorts").otherwise("longform").alias("kind"))
     first = first_per(manual.unionByName(auto), ["video"], [F.asc("origin"), F.asc("id")])
     return first.where(F.col("kind").isin("longform", "unknown")).select("video", "origin", "kind")
 
 
 @R.query(f"""{store.WITH}, v AS (SELECT keyword_id, count(*) AS n FROM views GROUP BY 1), t AS (SELECT keyword_id, row_number() OVER (ORDER BY n DESC, keyword_id) AS r FROM v),
-g AS (SELECT keyword_id FROM names WHERE size % 2 = 0) SELECT keyword_id, CASE WHEN r <= 20 THEN 'evergreen' ELSE 'replacement' END AS role FROM t WHERE (r <= 20 AND keyword_id IN (SELECT keyword_id FROM g)) OR (r BETWEEN 21 AND 40 AND keyword_id NOT IN (SELECT keyword_id FROM g))""")
+g AS (SELECT keyword_id FROM names WHERE size % 2 = 0) SELECT keyword_id, CASE WHEN r <= 20 THEN 'evergreen' ELSE 'replacement' END AS role FROM t WHERE (r <= 20 AND keyword_id IN (SELECT keyword_id FROM g)) OR (r BETWEEN 21 AND 50 AND keyword_id NOT IN (SELECT keyword_id FROM g))""")
 def evergreen_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the top twenty those that are evergreen, and what could stand in for them."""
     from trendspan.sources.tables import names, views
 
-    top = views(spark, sf_dir).groupBy("keyword_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword_id").limit(40)
+    top = views(spark, sf_dir).groupBy("keyword_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword_id").limit(50)
     placed = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "keyword_id")))
     green = names(spark, sf_dir).where("size % 2 = 0").select("keyword_id")
     old = placed.where("r <= 20").join(green, "keyword_id", "left_semi").select("keyword_id", F.lit("evergreen").alias("role"))
@@ -117,7 +118,7 @@ def quality_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("after") <= F.col("before") + 2).alias("retained"), F.count_if(F.col("after").isNull()).alias("hidden"), F.count_if(F.col("after") > F.col("before") + 2).alias("demoted"))
 
 
-@R.query(f"""{store.RANKED_SQL}, last3 AS (SELECT mode, snapshot_id FROM (SELECT *, max(seq) OVER (PARTITION BY mode) - seq AS age FROM ordered) WHERE age < 300),
+@R.query(f"""{store.RANKED_SQL}, last3 AS (SELECT mode, snapshot_id FROM (SELECT *, max(seq) OVER (PARTITION BY mode) - seq AS age FROM ordered) WHERE age < 3),
 w AS (SELECT DISTINCT l.mode, p.snapshot_id, unnest(string_split(n.keyword, ' ')) AS term FROM placed p JOIN last3 l USING (snapshot_id) JOIN names n USING (keyword_id)),
 c AS (SELECT mode, term, count(DISTINCT snapshot_id) AS n FROM w WHERE length(term) BETWEEN 3 AND 30 AND term NOT IN ('red', 'blue') GROUP BY 1, 2)
 SELECT mode, term, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY n DESC, term) AS r FROM c WHERE n >= 2) WHERE r <= 20""")
@@ -125,8 +126,7 @@ def dynamic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that recur in a mode's recent snapshots, twenty at most."""
     from trendspan.sources.tables import keywords, names
 
-    seq = store.sequence(spark, sf_dir)
-    recent = seq.withColumn("age", F.max("seq").over(Window.partitionBy("mode")) - F.col("seq")).where("age < 300").select("snapshot_id", "mode")
+    recent = store.newest(spark, sf_dir, 3).select("snapshot_id", "mode")
     rows = keywords(spark, sf_dir).select("snapshot_id", "keyword_id").join(recent, "snapshot_id").join(names(spark, sf_dir).select("keyword_id", "keyword"), "keyword_id")
     terms = rows.select("mode", "snapshot_id", F.explode(F.split("keyword", " ")).alias("term")).where(F.length("term").between(3, 30) & ~F.col("term").isin("red", "blue"))
     counts = terms.groupBy("mode", "term").agg(F.count_distinct("snapshot_id").alias("n")).where("n >= 2")
@@ -141,15 +141,23 @@ def pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), kw.should_merge(k % 26 / 25.0, k % 101 == 0, s % 2 == 0, s % 3 == 0, s % 5 == 0).alias("merged"))
 
 
-@R.query(f"""{SUFFIXED}, p AS (SELECT *, {surface_sql(_CAMEL)} AS p FROM s), q AS (SELECT keyword_id, family, 40 + 10 + CASE WHEN regexp_matches(keyword, '[A-Za-z]\\d|\\d[A-Za-z]') THEN 8 ELSE 0 END
- + 5 * least(4, len(list_distinct(list_filter(string_split(p, ' '), lambda t: regexp_matches(t, '^[a-z]{{3,}}$'))))) + least(size, 20) + CASE WHEN size % 4 = 0 THEN 4 ELSE 0 END - CASE WHEN size % 7 = 0 THEN 14 ELSE 0 END
- - CASE WHEN regexp_replace(p, '(?: (?:{"|".join(tx.MINOR_VARIANT_WORDS)}))+$', '') <> p THEN 6 ELSE 0 END AS score FROM p)
-SELECT family, keyword_id, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, keyword_id) AS n FROM q) WHERE n = 1""")
+GENERIC = ["small", "ring", "big", "bolt"]
+HEAD_SQL = f"(list_contains({tx.CONTEXT_HEAD_HINTS!r}, t) OR regexp_matches(t, '{tx.CONTEXT_HEAD_SUFFIX}'))"
+ANCHOR_SQL = f"length(t) >= 2 AND NOT list_contains({[*GENERIC, *tx.FUNCTION_WORDS, *tx.STOP_WORDS]!r}, t) AND NOT {HEAD_SQL} AND regexp_matches(t, '[a-z0-9]')"
+
+
+@R.query(f"""{SUFFIXED}, p AS (SELECT *, {surface_sql(_CAMEL)} AS p FROM s), w AS (SELECT *, list_filter(string_split(p, ' '), lambda t: t <> '') AS ts FROM p),
+a AS (SELECT *, len(list_filter(ts, lambda t: {ANCHOR_SQL})) AS anchors FROM w),
+q AS (SELECT *, 40 + 10 + CASE WHEN regexp_matches(p, '[a-z]\\s+\\d+(?:\\.\\d+)?') THEN 8 ELSE 0 END + 5 * least(4, anchors) + least(size, 20) + CASE WHEN size % 4 = 0 THEN 4 ELSE 0 END
+ - CASE WHEN anchors = 0 AND (len(list_filter(ts, lambda t: NOT {HEAD_SQL})) = 0 OR (len(ts) = 2 AND list_contains({GENERIC!r}, ts[1]) AND len(list_filter(ts[2:2], lambda t: {HEAD_SQL})) = 1)) THEN 14 ELSE 0 END
+ - CASE WHEN list_contains({tx.KEYWORD_VARIANT_WORDS!r}, ts[len(ts)]) THEN 6 ELSE 0 END AS score FROM a)
+SELECT family, keyword_id, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, anchors DESC, length(p), keyword, keyword_id) AS n FROM q) WHERE n = 1""")
 def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyword that names each cluster."""
-    tier = F.when(F.col("size") % 4 == 0, "P0_CURATED").otherwise("P2_RAW")
-    s = suffixed(spark, sf_dir).withColumn("score", kw.canonical_score(F.col("keyword"), F.col("size"), tier, F.col("size") % 7 == 0))
-    return first_per(s, ["family"], [F.desc("score"), F.asc("keyword_id")]).select("family", "keyword_id", "score")
+    k, tier = F.col("keyword"), F.when(F.col("size") % 4 == 0, "P0_CURATED").otherwise("P2_RAW")
+    s = suffixed(spark, sf_dir).withColumn("score", kw.canonical_score(k, F.array().cast("array<string>"), F.col("size"), tier, GENERIC))
+    order = [F.desc("score"), F.size(tx.anchor_tokens(k, GENERIC)).desc(), F.length(tx.keyword_surface(k)).asc(), k.asc(), F.asc("keyword_id")]
+    return first_per(s, ["family"], order).select("family", "keyword_id", "score")
 
 
 @R.query(f"""{rp.BRIDGE_SQL}, n AS (SELECT keyword_id, count(*) AS n FROM bridge GROUP BY 1), o AS (SELECT a.keyword_id AS head, b.keyword_id AS companion, count(*) AS shared FROM bridge a JOIN bridge b USING (item_idx) WHERE a.keyword_id <> b.keyword_id GROUP BY 1, 2),
@@ -176,10 +184,10 @@ def display_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("keyword_id", shown.alias("shown"), kw.applied_delta(F.col("price"), delta).alias("total"))
 
 
-@R.query("""SELECT doc_id, CAST(2 * ((contains(lower(text), 'the'))::INT + (contains(lower(text), 'with'))::INT) - 2 * (contains(lower(text), 'der'))::INT AS INTEGER) AS focus, CASE WHEN contains(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 15), ' ') THEN '"' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 15) || '"' ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 15) END AS query FROM documents""")
+@R.query("""SELECT doc_id, CAST(2 * ((contains(lower(text), 'the'))::INT + (contains(lower(text), 'with'))::INT) - 2 * (contains(lower(text), 'der'))::INT AS INTEGER) AS focus, CASE WHEN contains(h, ' ') AND NOT starts_with(h, '"') THEN '"' || h || '"' ELSE h END AS query FROM (SELECT *, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')) AS h FROM documents)""")
 def focus_and_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Focus scores by words contained, and searches for a phrase."""
-    head = F.substring(tx.collapse(F.col("text")), 1, 15)
+    head = tx.collapse(F.substring_index("text", "\n", 1))
     return table(spark, sf_dir, "documents").select("doc_id", kw.focus_score(F.lower("text"), ["the", "with"], ["der"]).alias("focus"), kw.exact_query(head).alias("query"))
 
 

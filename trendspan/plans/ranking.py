@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendspan.functions import scoring as sc
 from trendspan.functions import text as tx
+from trendspan.functions.urls import primary_type
 from trendspan.operators import ranking as rk
 from trendspan.operators.relational import first_per
 from trendspan.plans.registry import Registry
@@ -29,6 +30,10 @@ CATALOGUE = [
     ("k10", "tion", ["ment"]),
     ("k11", "example.com", []),
     ("k12", "be", []),
+    ("k13", "mit license", ["MIT-License"]),
+    ("k14", "license mit", []),
+    ("k15", "idiot 모델 moron", []),
+    ("k16", "the der", ["que 기능"]),
 ]
 
 
@@ -37,11 +42,11 @@ def _term_sql(term: str) -> str:
     words = [w for w in low.split() if len(w) >= 3 and w not in tx.STOP_WORDS]
     if len(term) <= 2:
         return f"regexp_matches(body, '\\b{low}\\b')"
-    return " AND ".join(f"contains(body, '{w}')" for w in words) if words else f"contains(body, '{low}')"
+    return " AND ".join(f"contains(body, '{w}')" for w in words) if len(words) > 1 else f"contains(body, '{low}')"
 
 
-BRIDGE_SQL = f"WITH {ITEMS_SQL}, bodies AS (SELECT item_idx, lower(title || ' ' || summary) AS body FROM items), bridge AS (" + " UNION ALL ".join(
-    f"SELECT '{i}' AS keyword_id, item_idx FROM bodies WHERE " + " OR ".join(f"({_term_sql(t)})" for t in [k, *a]) for i, k, a in CATALOGUE
+BRIDGE_SQL = f"WITH {ITEMS_SQL}, bodies AS (SELECT item_idx, lower(body) AS body FROM items), bridge AS (" + " UNION ALL ".join(
+    f"SELECT '{i}' AS keyword_id, item_idx FROM bodies WHERE " + " OR ".join(f"({_term_sql(t)})" for t in rk.search_terms(k, a)) for i, k, a in CATALOGUE
 ) + ")"
 ROLLUP_SQL = f"""{BRIDGE_SQL}, rollup AS (SELECT keyword_id, count(*) AS matches, count(DISTINCT domain) AS domains, max(published_at) AS latest_at,
  CASE min(CASE tier WHEN 'P0_CURATED' THEN 0 WHEN 'P1_CONTEXT' THEN 1 ELSE 2 END) WHEN 0 THEN 'P0_CURATED' WHEN 1 THEN 'P1_CONTEXT' ELSE 'P2_RAW' END AS tier,
@@ -58,11 +63,11 @@ scored AS (SELECT keyword_id, matches, domains, CAST(round(recency, 4) AS DOUBLE
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.match_bridge(items(spark, sf_dir), CATALOGUE)
+    return rk.match_bridge(items(spark, sf_dir), CATALOGUE, rk.ROLLED)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.score(rk.candidate_rollup(bridge(spark, sf_dir), items(spark, sf_dir), AS_OF_ITEMS), AS_OF_ITEMS)
+    return rk.score(rk.candidate_rollup(bridge(spark, sf_dir), AS_OF_ITEMS), AS_OF_ITEMS)
 
 
 @R.query(f"{BRIDGE_SQL} SELECT keyword_id, item_idx FROM bridge")
@@ -74,7 +79,7 @@ def match_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"{ROLLUP_SQL} SELECT * FROM rollup")
 def candidate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each keyword's items add up to."""
-    return rk.candidate_rollup(bridge(spark, sf_dir), items(spark, sf_dir), AS_OF_ITEMS)
+    return rk.candidate_rollup(bridge(spark, sf_dir), AS_OF_ITEMS)
 
 
 @R.query(f"{SCORE_SQL} SELECT keyword_id, matches, domains, recency, frequency, authority, velocity, engagement, total, CAST(row_number() OVER (ORDER BY total DESC, keyword_id) AS INTEGER) AS rank FROM scored")
@@ -129,7 +134,7 @@ def keyword_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT keyword_id, string_agg(CAST(item_idx AS VARCHAR), ',' ORDER BY n) AS items FROM ranked WHERE n <= 5 GROUP BY 1""")
 def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five items of each keyword, best tier first."""
-    rows = bridge(spark, sf_dir).join(items(spark, sf_dir).select("item_idx", "tier"), "item_idx")
+    rows = bridge(spark, sf_dir)
     order = F.when(F.col("tier") == "P0_CURATED", 0).when(F.col("tier") == "P1_CONTEXT", 1).when(F.col("tier") == "P2_RAW", 2).otherwise(3)
     top = first_per(rows.withColumn("o", order), ["keyword_id"], [F.asc("o"), F.asc("item_idx")], 5)
     listed = F.array_sort(F.collect_list(F.struct("o", "item_idx")))
@@ -140,7 +145,7 @@ def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT keyword_id, CAST(count(*) AS BIGINT) AS domains, max(heat) >= 300000 AS is_hot FROM c JOIN hot USING (keyword_id) GROUP BY 1""")
 def high_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords whose items' points and comments reach a threshold."""
-    rows = bridge(spark, sf_dir).join(items(spark, sf_dir), "item_idx")
+    rows = bridge(spark, sf_dir)
     return rows.groupBy("keyword_id").agg(F.count_distinct("domain").alias("domains"), (F.sum(F.col("points") + 2 * F.col("comments")) >= 300000).alias("is_hot"))
 
 
@@ -304,16 +309,20 @@ def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("item_idx", sc.source_quality(F.lit("the that"), t, t, F.lit(""), F.lit("none")).alias("quality"))
 
 
-@R.query(f"""WITH {ITEMS_SQL}, c AS (SELECT domain, CASE item_idx % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'social' ELSE 'data' END AS category, item_idx, points FROM items WHERE item_idx % 10 < 6),
-n AS (SELECT domain, category, count(*) AS n, min(item_idx) AS first FROM c GROUP BY 1, 2), best AS (SELECT domain, category, row_number() OVER (PARTITION BY domain ORDER BY n DESC, first) AS r FROM n),
-pr AS (SELECT domain, category FROM best WHERE r = 1)
+@R.query(f"""WITH {ITEMS_SQL}, c AS (SELECT domain, CASE item_idx % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'social' ELSE 'data' END AS category, item_idx, points FROM items),
+f AS (SELECT domain, arg_min(category, item_idx) AS first, count(*) FILTER (WHERE category <> 'social') AS trusted FROM c GROUP BY 1),
+n AS (SELECT domain, category, count(*) AS n FROM c GROUP BY 1, 2),
+best AS (SELECT domain, category, trusted, row_number() OVER (PARTITION BY domain ORDER BY n DESC, CASE WHEN category = first THEN 0 WHEN category = 'social' THEN 1 WHEN category = 'data' THEN 2 ELSE 3 END) AS r FROM n JOIN f USING (domain)),
+trusted AS (SELECT domain, category, row_number() OVER (PARTITION BY domain ORDER BY n DESC, CASE WHEN category = first THEN 0 WHEN category = 'data' THEN 2 ELSE 3 END) AS r FROM n JOIN f USING (domain) WHERE category <> 'social'),
+pr AS (SELECT b.domain, CASE WHEN b.category = 'social' AND b.trusted > 0 THEN t.category ELSE b.category END AS category FROM best b LEFT JOIN trusted t ON t.domain = b.domain AND t.r = 1 WHERE b.r = 1)
 SELECT domain, category AS primary_type, item_idx AS primary_source FROM (SELECT pr.domain, pr.category, c.item_idx, row_number() OVER (PARTITION BY pr.domain ORDER BY points DESC, c.item_idx) AS k FROM pr JOIN c USING (domain, category)) WHERE k = 1""")
 def primary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each domain's main category, ties by its first item, and the best source in it."""
+    """Each domain's main category, ties by its first item, social only where nothing else is; and the best source in it."""
     k = F.col("item_idx") % 3
-    c = items(spark, sf_dir).where("item_idx % 10 < 6").select("domain", "item_idx", "points", F.when(k == 0, "news").when(k == 1, "social").otherwise("data").alias("category"))
-    n = c.groupBy("domain", "category").agg(F.count("*").alias("n"), F.min("item_idx").alias("first"))
-    primary = first_per(n, ["domain"], [F.desc("n"), F.asc("first")]).select("domain", "category")
+    c = items(spark, sf_dir).select("domain", "item_idx", "points", F.when(k == 0, "news").when(k == 1, "social").otherwise("data").alias("category"))
+    of = lambda name: F.count_if(F.col("category") == name).alias(name)
+    n = c.groupBy("domain").agg(of("news"), of("social"), of("data"), F.min_by("category", "item_idx").alias("first"))
+    primary = n.select("domain", primary_type(F.col("news"), F.col("social"), F.col("data"), F.col("first")).alias("category"))
     best = first_per(c.join(primary, ["domain", "category"]), ["domain"], [F.desc("points"), F.asc("item_idx")])
     return best.select("domain", F.col("category").alias("primary_type"), F.col("item_idx").alias("primary_source"))
 

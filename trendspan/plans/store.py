@@ -85,13 +85,13 @@ def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""SELECT source, lang, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'fr' THEN 0 ELSE 1 END, doc_id) AS INTEGER) AS position,
-  coalesce(nullif(CASE WHEN lang = 'en' THEN substr(text, 1, 40) ELSE '' END, ''), substr(text, 1, 20)) AS label FROM documents""")
+  coalesce(nullif(CASE WHEN lang = 'en' THEN text ELSE '' END, ''), lower(text)) AS label FROM documents""")
 def sources_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by type, one language first, then id, with a localised label (empty counts as missing)."""
     d = table(spark, sf_dir, "documents")
     order = Window.partitionBy("source").orderBy(F.when(F.col("lang") == "fr", 0).otherwise(1), "doc_id")
-    english = F.when(F.col("lang") == "en", F.substring("text", 1, 40)).otherwise("")
-    return d.select("source", "lang", "doc_id", F.row_number().over(order).alias("position"), F.coalesce(F.nullif(english, F.lit("")), F.substring("text", 1, 20)).alias("label"))
+    english = F.when(F.col("lang") == "en", F.col("text")).otherwise("")
+    return d.select("source", "lang", "doc_id", F.row_number().over(order).alias("position"), F.coalesce(F.nullif(english, F.lit("")), F.lower("text")).alias("label"))
 
 
 @R.query(f"""{WITH}, days AS (SELECT keyword_id, CAST(ts AS DATE) AS day, count(*) AS n FROM views GROUP BY 1, 2),
@@ -116,10 +116,21 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumn("rank", F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.desc("total"), "keyword_id")))
 
 
+def newest(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The newest snapshots of each mode with their ``age`` from 0; only these few are moved."""
+    order = Window.partitionBy("mode").orderBy(F.desc("created_at"), F.desc("snapshot_id"))
+    placed = snapshots(spark, sf_dir).select("snapshot_id", "mode", F.row_number().over(order).alias("n")).where(F.col("n") <= most)
+    return placed.select("snapshot_id", "mode", (F.col("n") - 1).alias("age"))
+
+
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each mode's snapshots numbered in time."""
-    s = snapshots(spark, sf_dir)
-    return s.select("snapshot_id", "mode", F.row_number().over(Window.partitionBy("mode").orderBy("created_at", "snapshot_id")).alias("seq"))
+    """Each mode's snapshots numbered in time: days are numbered apart, and start at the sizes of the days before."""
+    s = snapshots(spark, sf_dir).select("snapshot_id", "mode", "created_at", F.to_date("created_at").alias("day"))
+    sizes = s.groupBy("mode", "day").agg(F.count("*").alias("n"))
+    # A row for each mode and day, however many snapshots there are.
+    before = sizes.select("mode", "day", (F.sum("n").over(Window.partitionBy("mode").orderBy("day")) - F.col("n")).alias("before"))
+    n = F.row_number().over(Window.partitionBy("mode", "day").orderBy("created_at", "snapshot_id"))
+    return s.withColumn("n", n).join(before, ["mode", "day"]).select("snapshot_id", "mode", (F.col("before") + F.col("n")).cast("int").alias("seq"))
 
 
 @R.query(f"""{RANKED_SQL}, p AS (SELECT mode, seq, keyword_id, rank FROM placed JOIN ordered USING (snapshot_id))
@@ -128,8 +139,10 @@ FROM p a LEFT JOIN p b ON a.mode = b.mode AND a.seq = b.seq + 1 AND a.keyword_id
 def prev_rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank change against the snapshot before; new where that one hadn't the keyword."""
     p = ranked(spark, sf_dir).join(sequence(spark, sf_dir), "snapshot_id").select("mode", "seq", "keyword_id", "rank")
-    before = p.select("mode", (F.col("seq") + 1).alias("seq"), "keyword_id", F.col("rank").alias("prev"))
-    return p.join(before, ["mode", "seq", "keyword_id"], "left").select("mode", "seq", "keyword_id", "rank", (F.col("prev") - F.col("rank")).alias("delta_rank"), F.col("prev").isNull().alias("is_new"))
+    # The keyword's row before is the snapshot before's only if that one is next to it.
+    w = Window.partitionBy("mode", "keyword_id").orderBy("seq")
+    p = p.withColumn("prev", F.when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag("rank").over(w)))
+    return p.select("mode", "seq", "keyword_id", "rank", (F.col("prev") - F.col("rank")).alias("delta_rank"), F.col("prev").isNull().alias("is_new"))
 
 
 @R.query(f"""{RANKED_SQL}, newest AS (SELECT *, max(seq) OVER (PARTITION BY mode) - seq AS age FROM ordered),
@@ -137,9 +150,10 @@ h AS (SELECT mode, age, keyword_id, rank FROM placed JOIN newest USING (snapshot
 SELECT mode, keyword_id, CAST(count(*) AS BIGINT) AS appearances, CAST(max(rank) FILTER (WHERE age = 0) AS INTEGER) AS previous_rank FROM h GROUP BY 1, 2""")
 def appearances_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a keyword was in the top ten of the last 16 snapshots, and its rank in the newest."""
-    s = sequence(spark, sf_dir)
-    newest = s.withColumn("age", F.max("seq").over(Window.partitionBy("mode")) - F.col("seq")).where("age < 16")
-    h = ranked(spark, sf_dir).where("rank <= 10").join(newest, "snapshot_id")
+    last = newest(spark, sf_dir, 16)
+    # Only the keywords of these few snapshots are ranked.
+    totals = keywords(spark, sf_dir).join(F.broadcast(last), "snapshot_id").groupBy("snapshot_id", "mode", "age", "keyword_id").agg(F.sum("score").alias("total"))
+    h = totals.withColumn("rank", F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.desc("total"), "keyword_id"))).where("rank <= 10")
     return h.groupBy("mode", "keyword_id").agg(F.count("*").alias("appearances"), F.max(F.when(F.col("age") == 0, F.col("rank"))).alias("previous_rank"))
 
 
@@ -280,10 +294,10 @@ def active_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(f"""{WITH} SELECT k.snapshot_id, k.keyword_id, k.rank FROM keywords k LEFT JOIN (SELECT DISTINCT keyword_id FROM names WHERE size > 25) a USING (keyword_id)
-WHERE k.snapshot_id < 500 AND NOT (regexp_matches('manual_realtime_' || CAST(k.keyword_id AS VARCHAR), '^manual_realtime_[a-z0-9]+$') AND k.type = 'R' AND a.keyword_id IS NULL)""")
+WHERE NOT (regexp_matches('manual_realtime_' || CAST(k.keyword_id AS VARCHAR), '^manual_realtime_[a-z0-9]+$') AND k.type = 'R' AND a.keyword_id IS NULL)""")
 def hide_expired_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored snapshot without its manual rows that are no longer active."""
-    k = keywords(spark, sf_dir).where("snapshot_id < 500")
+    k = keywords(spark, sf_dir)
     active = names(spark, sf_dir).where("size > 25").select("keyword_id", F.lit(True).alias("active"))
     manual = F.concat(F.lit("manual_realtime_"), F.col("keyword_id").cast("string")).rlike("^manual_realtime_[a-z0-9]+$") & (F.col("type") == "R")
     return k.join(active, "keyword_id", "left").where(~(manual & F.col("active").isNull())).select("snapshot_id", "keyword_id", "rank")
@@ -300,15 +314,14 @@ def snapshot_cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("keyword_id", F.when(F.col("quantity") >= 10, F.col("snapshot_id")).alias("reused_from"))
 
 
-@R.query(f"""{WITH}, s AS (SELECT count(DISTINCT snapshot_id) AS n FROM snapshots WHERE owner_id < 100),
- k AS (SELECT keyword_id, count(DISTINCT snapshot_id) AS snapshots, round(avg(score + discount + tax), 4) AS mean FROM keywords JOIN snapshots USING (snapshot_id) WHERE owner_id < 100 GROUP BY 1)
-SELECT keyword_id, CAST(snapshots AS BIGINT) AS snapshots, mean, snapshots >= greatest(3, floor(0.004 * s.n)) AS is_evergreen FROM k, s""")
+@R.query(f"""{WITH}, s AS (SELECT count(DISTINCT snapshot_id) AS n FROM snapshots),
+ k AS (SELECT keyword_id, count(DISTINCT snapshot_id) AS snapshots, round(avg(score + discount + tax), 4) AS mean FROM keywords GROUP BY 1)
+SELECT keyword_id, CAST(snapshots AS BIGINT) AS snapshots, mean, snapshots >= greatest(3, floor(0.4 * s.n)) AS is_evergreen FROM k, s""")
 def evergreen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords that are in many snapshots: their number against a threshold that grows with all snapshots."""
-    mine = snapshots(spark, sf_dir).where("owner_id < 100").select("snapshot_id")
-    total = mine.agg(F.count_distinct("snapshot_id").alias("total"))
-    k = keywords(spark, sf_dir).join(mine, "snapshot_id").groupBy("keyword_id").agg(F.count_distinct("snapshot_id").alias("snapshots"), F.round(F.avg(F.col("score") + F.col("discount") + F.col("tax")), 4).alias("mean"))
-    threshold = F.greatest(F.lit(3), F.floor(F.lit(0.004) * total.scalar()))
+    total = snapshots(spark, sf_dir).agg(F.count_distinct("snapshot_id").alias("total"))
+    k = keywords(spark, sf_dir).groupBy("keyword_id").agg(F.count_distinct("snapshot_id").alias("snapshots"), F.round(F.avg(F.col("score") + F.col("discount") + F.col("tax")), 4).alias("mean"))
+    threshold = F.greatest(F.lit(3), F.floor(F.lit(0.4) * total.scalar()))
     return k.select("keyword_id", "snapshots", "mean", (F.col("snapshots") >= threshold).alias("is_evergreen"))
 
 

@@ -33,7 +33,7 @@ def surface_sql(x: str) -> str:
 CAMEL = "regexp_replace(trim(keyword), '([a-z])([A-Z])', '\\1 \\2', 'g')"
 
 
-@R.query(f"{SUFFIXED} SELECT keyword_id, {surface_sql('keyword')} AS policy, {surface_sql(CAMEL)} AS surface, replace({surface_sql(CAMEL)}, ' ', '') AS compact FROM s")
+@R.query(f"{SUFFIXED} SELECT keyword_id, {surface_sql('keyword')} AS policy, {surface_sql(CAMEL)} AS surface, regexp_replace({surface_sql(CAMEL)}, '[. ]+', '', 'g') AS compact FROM s")
 def keyword_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normal forms that keywords are compared by."""
     k = F.col("keyword")
@@ -89,16 +89,16 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(f"""{SUFFIXED}, x AS (SELECT keyword_id, {surface_sql(CAMEL)} AS a, {surface_sql("family")} AS b FROM s)
-SELECT keyword_id, unnest(list_distinct(list_filter([a, replace(a, ' ', ''), b, replace(b, ' ', '')], lambda v: length(v) >= 2))) AS lookup_key FROM x""")
+SELECT keyword_id, unnest(list_distinct(list_filter([a, regexp_replace(a, '[. ]+', '', 'g'), b, regexp_replace(b, '[. ]+', '', 'g')], lambda v: length(v) >= 2))) AS lookup_key FROM x""")
 def alias_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each key that a keyword is looked up by, sixty at most by contract."""
     keys = F.slice(tx.lookup_keys(F.col("keyword"), F.array("family")), 1, 60)
     return suffixed(spark, sf_dir).select("keyword_id", F.explode(keys).alias("lookup_key"))
 
 
-@R.query(f"""{SUFFIXED} SELECT keyword_id, regexp_replace({surface_sql(CAMEL)}, '(?: (?:{"|".join(tx.MINOR_VARIANT_WORDS)}))+$', '') AS core,
- array_to_string(list_sort(list_distinct(regexp_extract_all(lower(keyword), '(\\d+(?:\\.\\d+)+|v\\d+)', 1))), ',') AS versions,
- array_to_string(list_sort(list_distinct(list_filter(string_split({surface_sql(CAMEL)}, ' '), lambda t: regexp_matches(t, '^[a-z]{{3,}}$')))), ',') AS words FROM s""")
+@R.query(f"""{SUFFIXED} SELECT keyword_id, regexp_replace({surface_sql(CAMEL)}, '(?: (?:{"|".join(tx.KEYWORD_VARIANT_WORDS)}))+$', '') AS core,
+ array_to_string(list_sort(list_distinct(regexp_extract_all({surface_sql(CAMEL)}, '(\\d+(?:\\.\\d+){{0,2}})', 1))), ',') AS versions,
+ array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split({surface_sql(CAMEL)}, ' '), lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: regexp_matches(t, '[a-z]') AND length(t) >= 3 AND NOT list_contains({tx.KEYWORD_VARIANT_WORDS!r}, t)))), ',') AS words FROM s""")
 def keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pair test of clustering compares: core surface, version tokens, ASCII words."""
     k = F.col("keyword")
@@ -125,9 +125,9 @@ def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", ur.host(u).alias("host"), ur.sanitize(u).alias("sanitized"), ur.url_key(u).alias("url_key"))
 
 
-@R.query(f"""SELECT page_id, lower(regexp_extract(url, '^([^/]*//[^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1), '/+$', '')
+@R.query(f"""SELECT page_id, lower(regexp_extract(url, '^([^/]*//[^/?#]*)', 1)) || regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1)
  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS canonical
-FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains({ur.TRACKING!r}, lower(string_split(p, '=')[1]))) AS kept FROM pages)""")
+FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '=.') AND NOT list_contains({ur.TRACKING!r}, lower(string_split(p, '=')[1]))) AS kept FROM pages)""")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical URLs."""
     return pages(spark, sf_dir).select("page_id", ur.canonical(F.col("url")).alias("canonical"))
@@ -208,8 +208,8 @@ def keyword_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixed(spark, sf_dir).select("keyword_id", tx.headline(k).alias("is_headline"), tx.repo_slug(F.concat("family", F.lit("/"), F.replace(k, F.lit(" "), F.lit("-")))).alias("is_repo"), (F.size(tx.significant_words(k)) > 4).alias("is_verbose"))
 
 
-@R.query("SELECT item_id, 'https://x.com/search?q=' || replace(url_encode(substr(text, 1, 40)), '+', '%20') AS link, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM benchmark")
+@R.query("SELECT item_id, 'https://x.com/search?q=' || replace(url_encode(text), '+', '%20') AS link, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM benchmark")
 def deep_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search links of social sites for a text."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.concat(F.lit("https://x.com/search?q="), tx.uri_component(F.substring("text", 1, 40))).alias("link"), F.size(F.split("text", "\n")).alias("lines"))
+    return b.select("item_id", F.concat(F.lit("https://x.com/search?q="), tx.uri_component(F.col("text"))).alias("link"), F.size(F.split("text", "\n")).alias("lines"))

@@ -29,9 +29,12 @@ ITEM = T.StructType(
 )
 
 # Companies that the link-blog filter looks for, sites whose links a digest skips.
-BIG_TECH = ["openai", "anthropic", "google", "microsoft", "meta", "apple", "amazon", "nvidia", "deepseek", "mistral", "xai", "gemini", "claude", "chatgpt", "copilot", "llama", "hugging face", "perplexity", "cursor"]
+BIG_TECH = ["google", "deepmind", "alphabet", "microsoft", "openai", "anthropic", "apple", "meta", "facebook", "instagram", "whatsapp", "amazon", "aws", "nvidia", "tesla", "xai", "x.ai", "bytedance", "tiktok"]
 SKIPPED_LINKS = ["x.com", "twitter.com", "linkedin.com", "facebook.com"]
-DEV_HINT = r"(?i)(?<![A-Za-z0-9_])(?:ai|llm|gpt|agent|agents|api|sdk|open source|model|models|claude|openai|gemini|mcp)(?![A-Za-z0-9_])"
+# Words of developers and AI in short posts, in product launches, and what marks a copy of a model.
+POST_HINT = r"(?i)(?<![A-Za-z0-9_])(?:ai|llm|gpt|claude|gemini|qwen|deepseek|mistral|llama|openai|anthropic|cursor|copilot|codex|agent|agents|mcp|model|models|inference|coding|devtool|sdk|api|open[- ]?source|rag|prompt)(?![A-Za-z0-9_])"
+LAUNCH_HINT = r"(?i)(?<![A-Za-z0-9_])(?:ai|artificial intelligence|llm|gpt|claude|gemini|openai|anthropic|cursor|copilot|agent|agents|assistant|assistants|prompt|prompts|rag|model|models|mcp|api|apis|sdk|developer|developers|devtool|devtools|coding|code|workflow|automation|automated)(?![A-Za-z0-9_])"
+MODEL_NOISE = r"(?i)(?:uncensor|abliterat|obliterat|nsfw|erotic|roleplay|gguf|awq|gptq|exl2|mlx|bnb|[48]bit|q[2-8]_)"
 
 
 def as_items(df: DataFrame, **columns: Column) -> DataFrame:
@@ -133,10 +136,10 @@ def model_list(models: DataFrame) -> DataFrame:
 
 
 def hub_models(models: DataFrame, official: list[str], least_likes: int = 50) -> DataFrame:
-    """Models of a hub: official organisations, and others with enough likes; conversions and merges are noise."""
+    """Models of a hub: official organisations, and others with enough likes; conversions and altered copies are noise."""
     org = F.substring_index("id", "/", 1)
     is_official = org.isin(*official)
-    kept = models.where(~F.col("id").rlike(r"(?i)(?:gguf|awq|gptq|exl2|mlx|lora|merge|quant)") & (is_official | (F.col("likes") >= least_likes)))
+    kept = models.where(~F.col("id").rlike(MODEL_NOISE) & (is_official | (F.col("likes") >= least_likes)))
     return as_items(kept, title=F.col("id"), link=F.concat(F.lit("https://hub.example/"), "id"), published_at=F.col("created_at"), source_domain=F.lit("hub.example"), feed_title=F.lit("hub"), tier=F.when(is_official, "P1_CONTEXT").otherwise("COMMUNITY"), lang=F.lit("en"), engagement=F.struct(F.col("likes").cast("long").alias("score"), F.lit(0).cast("long").alias("comments")))
 
 
@@ -148,7 +151,7 @@ def vendor_topics(topics: DataFrame) -> DataFrame:
 
 def short_posts(searched: DataFrame, curated: DataFrame, least: int = 3) -> DataFrame:
     """Short posts: searched ones need interest and a developer's word, curated accounts' only the word."""
-    hit = F.col("text").rlike(DEV_HINT)
+    hit = F.col("text").rlike(POST_HINT)
     both = searched.where(hit & (F.col("likes") + F.col("reposts") >= least)).unionByName(curated.where(hit))
     return as_items(both, title=F.substring(tx.collapse(F.col("text")), 1, 140), link=F.col("url"), published_at=F.col("created_at"), summary=F.substring("text", 1, 500), source_domain=ur.host(F.col("url")), feed_title=F.col("author"), tier=F.lit("COMMUNITY"), lang=F.lit("en"), engagement=F.struct(F.col("likes").cast("long").alias("score"), F.col("reposts").cast("long").alias("comments")))
 
@@ -156,7 +159,7 @@ def short_posts(searched: DataFrame, curated: DataFrame, least: int = 3) -> Data
 def launches(posts: DataFrame, as_of: str) -> DataFrame:
     """Products featured today in Los Angeles that have a rank and an AI word, with their ranking signal."""
     today = tm.pacific_date(F.lit(as_of).cast("timestamp_ntz"))
-    hit = F.concat_ws(" ", "name", "tagline", "website", F.array_join("topics", " ")).rlike(DEV_HINT)
+    hit = F.concat_ws(" ", "name", "tagline", "website", F.array_join("topics", " ")).rlike(LAUNCH_HINT)
     kept = posts.where((tm.pacific_date(F.col("featured_at")) == today) & (F.col("daily_rank") > 0) & hit)
     authority = F.when(F.col("daily_rank") <= 3, 0.9).when(F.col("daily_rank") <= 10, 0.84).otherwise(0.72)
     bonus = F.when(F.col("daily_rank") <= 3, 2.0).when(F.col("daily_rank") <= 10, 1.0).otherwise(0.5)

@@ -56,12 +56,17 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed items: published one minute apart before ``AS_OF_ITEMS``, tiers in turn."""
+    """Feed items: published one minute apart before ``AS_OF_ITEMS``, tiers in turn.
+
+    The title is a document's first line. Matching reads the whole text (``body``); ``summary`` is what a feed shows of it,
+    500 characters at most by the feeds' own rule.
+    """
     tier = F.element_at(F.array(*map(F.lit, TIERS)), (F.col("doc_id") % 4).cast("int") + 1)
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("item_idx"),
-        F.substring("text", 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.substring("text", 1, 500).alias("summary"),
+        F.col("text").alias("body"),
         F.col("source").alias("domain"),
         "lang",
         (F.lit(AS_OF_ITEMS).cast("timestamp_ntz") - F.make_dt_interval(mins=F.col("doc_id").cast("int") % 10080)).alias("published_at"),
@@ -77,7 +82,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same projections for the SQL side.
 ITEMS_SQL = f"""items AS (
-  SELECT doc_id AS item_idx, substr(text, 1, 80) AS title, substr(text, 1, 500) AS summary, source AS domain, lang,
+  SELECT doc_id AS item_idx, string_split(text, chr(10))[1] AS title, substr(text, 1, 500) AS summary, text AS body, source AS domain, lang,
     TIMESTAMP '{AS_OF_ITEMS}' - to_minutes(doc_id % 10080) AS published_at,
     CASE doc_id % 4 WHEN 0 THEN 'P0_CURATED' WHEN 1 THEN 'P1_CONTEXT' WHEN 2 THEN 'P2_RAW' ELSE 'COMMUNITY' END AS tier,
     n_chars AS points, n_chars % 7 AS comments
