@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendspan.functions import scoring as sc
@@ -202,19 +203,22 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, shares: dict[str, i
     return placed.withColumns({"__rest": rest, "__taken": taken}).where(F.col("__own") | (F.col("__rest") <= target - F.col("__taken"))).drop("__n", "__own", "__rest", "__taken")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``node, component`` (its smallest node) of undirected edges ``a, b``: minimum labels spread and jump until none changes.
-
-    Each round is a reliable checkpoint, so a lost executor costs no more than a round.
-    """
-    context = edges.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names; a temporary one stands in for it in a local session only."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="trendspan-"))
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """``node, component`` (its smallest node) of undirected edges ``a, b``: minimum labels spread and jump until none changes.
+
+    Each round is a reliable checkpoint, so a lost executor costs no more than a round.
+    """
+    checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
     for _ in range(most_rounds):

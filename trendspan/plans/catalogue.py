@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspan.plans import curation, feeds, ranking, store, texts
+from trendspan.plans import curation, feeds, ranking, served, store, texts
 
-_PARTS = [store.R, texts.R, ranking.R, feeds.R, curation.R]
+_PARTS = [store.R, texts.R, ranking.R, feeds.R, curation.R, served.R]
 
 QUERIES = {name: q for part in _PARTS for name, q in part.queries.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}

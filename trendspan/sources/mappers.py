@@ -226,3 +226,47 @@ def prioritized_union(sources: list[tuple[int, DataFrame]]) -> DataFrame:
         df = df.withColumn("__p", F.lit(priority))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return first_by_link(out, [F.asc("__p"), F.desc_nulls_last("published_at"), F.asc("link"), F.asc("title")]).drop("__p")
+
+
+def regional_results(rows: DataFrame, kind: str, most: int = 300) -> DataFrame:
+    """Results of the regional search, of columns ``title, originallink, link, description, pub_date, postdate`` and others.
+
+    Title and snippet lose bold marks and references; the date is a header date or eight digits; without link or title a
+    result is left out.
+    """
+
+    def plain(c: Column) -> Column:
+        t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)</?b>", "")
+        for name, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'")):
+            t = F.replace(t, F.lit(name), F.lit(sign))
+        return tx.collapse(t)
+
+    url = F.coalesce(F.nullif("originallink", F.lit("")), F.nullif("link", F.lit("")))
+    header = F.try_to_timestamp(F.regexp_replace("pub_date", r"^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")).cast("timestamp_ntz")
+    digits = F.when(F.col("postdate").rlike(r"^\d{8}$"), F.try_to_timestamp("postdate", F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+    out = rows.withColumns({"title": plain(F.col("title")), "url": url})
+    out = out.withColumns({"domain": ur.host(F.col("url")), "snippet": F.substring(plain(F.col("description")), 1, most), "published_at": F.coalesce(header, digits), "type": F.lit(kind), "provider": F.lit("regional")})
+    return out.where("url is not null and title <> ''").drop("originallink", "link", "description", "pub_date", "postdate")
+
+
+def web_results(rows: DataFrame) -> DataFrame:
+    """Results of a web search, of columns ``title, url, text, published``: a URL is required, the rest may be blank."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return rows.where("url is not null and url <> ''").select(blank("title").alias("title"), "url", blank("text").alias("content"), F.col("published").alias("published_at"))
+
+
+def configured_feeds(feeds: DataFrame) -> DataFrame:
+    """Alert feeds ``position, url, title, tier, lang`` fit for use: with a URL, each URL once, blanks filled in."""
+    rows = feeds.withColumn("url", F.trim("url")).where("url rlike '^https?://'")
+    first = rows.groupBy("url").agg(F.min_by(F.struct("position", "title", "tier", "lang"), "position").alias("f")).select("url", "f.*")
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Alert "), F.col("position").cast("string")))
+    tier = F.when(F.col("tier").isin("P0_CURATED", "P1_CONTEXT", "P2_RAW", "COMMUNITY"), F.col("tier")).otherwise("P1_CONTEXT")
+    return first.select("position", "url", title.alias("title"), tier.alias("tier"), F.when(F.col("lang") == "ko", "ko").otherwise("en").alias("lang"))
+
+
+def channel_items(entries: DataFrame, channels: DataFrame) -> DataFrame:
+    """Entries of channel feeds as items, each link once; a channel named in Hangul is Korean."""
+    rows = entries.join(F.broadcast(channels.select("channel_id", "name")), "channel_id")
+    lang = F.when(F.col("name").rlike(tx.HANGUL), "ko").otherwise("en")
+    once = rows.groupBy("link").agg(F.min_by(F.struct("title", "published_at", "summary", "name"), F.struct("published_at", "title")).alias("r")).select("link", "r.*")
+    return as_items(once, title=F.trim("title"), link=F.col("link"), published_at=F.col("published_at"), summary=F.substring(F.coalesce("summary", F.lit("")), 1, 500), source_domain=ur.host(F.col("link")), feed_title=F.col("name"), tier=F.lit("P1_CONTEXT"), lang=lang)

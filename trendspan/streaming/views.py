@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,8 +23,11 @@ LIMIT, WINDOW_SECONDS = 5, 3600
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names; a temporary one where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trendspan-")
+    """A new folder below the one that the cluster names; a temporary one where a local session names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    base = named or tempfile.mkdtemp(prefix="trendspan-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -45,34 +49,35 @@ def dedup_views(views: DataFrame, late: str = "2 hours") -> DataFrame:
     return v.select("keyword_id", "viewer", "bucket").dropDuplicatesWithinWatermark(["keyword_id", "viewer", "bucket"])
 
 
-def hourly_counts(views: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Events of each kind and hour, written once the watermark has passed the hour."""
-    return views.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "kind").agg(F.count("*").alias("n"), F.sum(F.lit(1)).alias("m")).select(F.col("window.start").alias("hour"), "kind", "n")
-
-
-def limit_requests(views: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def limit_requests(views: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS, late: str = "1 hour") -> DataFrame:
     """Each viewer's allowed and refused requests in windows that start at a first request.
 
-    The state is the open window's start and count. A batch's requests of a viewer come in pieces and are taken in time
-    order, so state and memory stay small for a viewer with most of all requests.
+    The state is the open window's start and count; it goes once the watermark has passed the window. A batch's requests
+    are counted by second before they are taken in time order, so memory stays small for a viewer with most of all requests.
     """
 
     def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, count = state.get if state.exists else (None, 0)
+        requests: Counter = Counter()
+        for p in pieces:
+            requests.update(p["second"].value_counts().to_dict())
         allowed = refused = 0
-        for t in sorted(x for p in pieces for x in p["second"].tolist()):
+        for t in sorted(requests):
             if start is None or t >= start + seconds:
                 start, count = t, 0
-            count += 1
-            if count <= limit:
-                allowed += 1
-            else:
-                refused += 1
-        state.update((start, count))
+            passed = min(requests[t], max(0, limit - count))
+            count += requests[t]
+            allowed += passed
+            refused += requests[t] - passed
+        state.update((int(start), count))
+        state.setTimeoutTimestamp(max((int(start) + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"viewer": [key[0]], "allowed": [allowed], "refused": [refused]})
 
-    rows = views.select("viewer", F.unix_seconds("ts").alias("second"))
-    return rows.groupBy("viewer").applyInPandasWithState(step, "viewer long, allowed long, refused long", "start long, count long", "append", GroupStateTimeout.NoTimeout)
+    rows = views.withWatermark("ts", late).select("viewer", "ts", F.unix_seconds("ts").alias("second"))
+    return rows.groupBy("viewer").applyInPandasWithState(step, "viewer long, allowed long, refused long", "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counter_merge(path: str):
@@ -94,7 +99,19 @@ def count_views(spark: SparkSession, views: DataFrame) -> DataFrame:
 
 
 def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages read as they land; re-read links are absorbed by their key."""
+    """Pages read as they land, each link once: a batch adds what the table doesn't have, so no state grows with all links.
+
+    A batch writes a folder of its own, so a replay replaces it.
+    """
+    out = shared_path(spark, "pages")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        links = batch.select(ur.url_key(F.col("url")).alias("link")).distinct()
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema("link string, batch long").parquet(out).where(F.col("batch") < batch_id)
+            links = links.join(before.select("link"), "link", "left_anti")
+        links.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     raw = spark.readStream.schema("page_id long, url string, html string").parquet(f"{sf_dir}/pages.parque[t]")  # a pattern, so that the table may be a file or a folder
-    keyed = raw.select(ur.url_key(F.col("url")).alias("link")).dropDuplicates(["link"])
-    return run_to_end(keyed, spark, "pages")
+    raw.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("link string").parquet(out).select("link")
