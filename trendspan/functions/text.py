@@ -260,7 +260,11 @@ def term_matches(text: Column, term: Column) -> Column:
     """A term of up to two letters as a whole word; with at most one significant word the term as it stands; else all of these."""
     words = significant_words(term)
     quoted = F.regexp_replace(F.lower(term), r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    whole = F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9_])"), quoted, F.lit("(?![a-z0-9_])")))
+    # A word's bound: a word character on one side only.
+    word = "[a-z0-9_]"
+    before = F.when(F.lower(term).rlike("^" + word), f"(?<!{word})").otherwise(f"(?<={word})")
+    after = F.when(F.lower(term).rlike(word + "$"), f"(?!{word})").otherwise(f"(?={word})")
+    whole = F.regexp_like(text, F.concat(before, quoted, after))
     return F.when(F.length(term) <= 2, whole).when(F.size(words) <= 1, F.contains(text, F.lower(term))).otherwise(F.forall(words, lambda w: F.contains(text, w)))
 
 

@@ -56,7 +56,10 @@ def _term(body: Column, term: str) -> Column:
     low = term.lower()
     words = [w for w in low.split() if len(w) >= 3 and w not in tx.STOP_WORDS]
     if len(term) <= 2:
-        return body.rlike(f"(?<![a-z0-9_]){re.escape(low)}(?![a-z0-9_])")
+        word = "[a-z0-9_]"
+        before = f"(?<!{word})" if re.match(word, low) else f"(?<={word})"
+        after = f"(?!{word})" if re.match(word, low[-1:]) else f"(?={word})"
+        return body.rlike(before + re.escape(low) + after)
     if len(words) <= 1:
         return F.contains(body, F.lit(low))
     out = F.lit(True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendspan.functions import keywords as kw
 from trendspan.functions import text as tx
+from trendspan.operators import consolidation as co
 from trendspan.operators.relational import first_per
 from trendspan.plans import ranking as rp
 from trendspan.plans import store
@@ -200,11 +201,9 @@ def viewer_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring titles of a source whose normal forms are alike by 0.85 or more.
-
-    Titles are neighbours in the order of their normal form, so each is compared with the one before it only.
-    """
-    w = Window.partitionBy("domain").orderBy("key", "item_idx")
-    t = items(spark, sf_dir).select("item_idx", "domain", tx.title_key(F.col("title")).alias("key"))
-    near = t.withColumns({"other": F.lag("item_idx").over(w), "other_key": F.lag("key").over(w)}).where("other is not null")
-    return near.withColumn("similarity", kw.title_similarity(F.col("key"), F.col("other_key"))).where("similarity >= 0.85").select("item_idx", "other", "similarity")
+    """Pairs of different page titles alike by 0.85 or more, each title under its first page."""
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    t = pages(spark, sf_dir).select("page_id", tx.title_key(title).alias("key")).where("key <> ''").groupBy("key").agg(F.min("page_id").alias("position"))
+    k = lambda c: t.select(F.col("position").alias(c), F.col("key").alias(f"k{c}"))
+    pairs = co.alike_titles(t, 0.85).join(k("x"), "x").join(k("y"), "y")
+    return pairs.select(F.col("x").alias("page_id"), F.col("y").alias("other"), kw.title_similarity(F.col("kx"), F.col("ky")).alias("similarity"))
