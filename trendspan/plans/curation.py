@@ -201,9 +201,11 @@ def viewer_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different page titles alike by 0.85 or more, each title under its first page."""
+    """Pairs of different titles alike by 0.85 or more, each title under its first place: pages' own, and a feed's with a mark behind them."""
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    t = pages(spark, sf_dir).select("page_id", tx.title_key(title).alias("key")).where("key <> ''").groupBy("key").agg(F.min("page_id").alias("position"))
+    own = pages(spark, sf_dir).select((F.col("page_id") * 2).alias("id"), title.alias("title"))
+    marked = own.select((F.col("id") + 1).alias("id"), F.concat("title", F.lit(" #1")).alias("title"))
+    t = own.unionByName(marked).select("id", tx.title_key(F.col("title")).alias("key")).where("key <> ''").groupBy("key").agg(F.min("id").alias("position"))
     k = lambda c: t.select(F.col("position").alias(c), F.col("key").alias(f"k{c}"))
     pairs = co.alike_titles(t, 0.85).join(k("x"), "x").join(k("y"), "y")
-    return pairs.select(F.col("x").alias("page_id"), F.col("y").alias("other"), kw.title_similarity(F.col("kx"), F.col("ky")).alias("similarity"))
+    return pairs.select(F.col("x").alias("title_id"), F.col("y").alias("other"), kw.title_similarity(F.col("kx"), F.col("ky")).alias("similarity"))
