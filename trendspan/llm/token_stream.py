@@ -59,6 +59,8 @@ _FIRST2 = np.repeat([1000, 16000, 28000, 38000], 4)
 U = np.uint64
 _WORD = U(32)
 
+#: Bytes of texts that are tokenized at once: their arrays should stay near the processor.
+SLICE = 500_000
 #: Pieces that are encoded as one text; the library is slower on longer texts.
 JOINED = 256
 #: First bytes of characters outside ASCII some of which are white space.
@@ -75,6 +77,11 @@ class LibraryPieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # The same words and merges without the search for special tokens, for pieces that can't hold one.
+        self.words = self.tokenizer
+        if self.tokenizer.normalizer is None and self.tokenizer.post_processor is None:
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = self.tokenizer.pre_tokenizer
         specials = self.tokenizer.get_added_tokens_decoder()
         size = self.tokenizer.get_vocab_size()
         # A token's bytes: as many as the characters that byte-level vocabularies write for them.
@@ -90,7 +97,7 @@ class LibraryPieces:
         joined = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and p[1] > 32 and p[1] not in _MAYBE_BLANK and p[-1] > 32 and p.find(b"<|") < 0]
         apart = np.setdiff1d(np.arange(len(pieces)), joined)
         texts = [b"".join(map(pieces.__getitem__, joined[at : at + JOINED])).decode() for at in range(0, len(joined), JOINED)]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        found = self.words.encode_batch_fast(texts, add_special_tokens=False)
         ids = np.array([i for e in found for i in e.ids], dtype=np.uint16)
         ends = np.cumsum(self.width[ids])
         cuts = np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in joined])) + 1
@@ -177,20 +184,22 @@ class _Lanes:
 
     def ids(self, v: np.ndarray) -> np.ndarray:
         """The ids in whose parts the numbers lie."""
-        low, high = self.guess.min(axis=0), self.guess.max(axis=0)
-        mass_low = np.where(self.guess[0] <= self.guess[1], self.mass[0], self.mass[1])
-        mass_high = self.mass[0] + self.mass[1] - mass_low
-        into = v - self.rest * self.order0.starts.take(low)
-        is_low = (into >= 0) & (into < mass_low)
-        v = v - mass_low * (into >= 0)
-        into = v - self.rest * self.order0.starts.take(high)
-        is_high = (into >= 0) & (into < mass_high)
-        v -= mass_high * (into >= 0)
+        # Where the guesses' masses lie: order 1's first where both are the same.
+        begin = self.rest * self.order0.starts.take(self.guess)
+        before = self.guess[1] < self.guess[0]
+        begin[0] += self.mass[1] * before
+        begin[1] += self.mass[0] * ~before
+        into = v - begin
+        past = into >= 0
+        inside = into < self.mass
+        inside &= past
+        gone = self.mass * past
         # Both are below 2^30, so the whole part of the quotient of doubles is right. Where a guess is right it isn't used.
-        part = (v / self.rest).astype(np.int64)
-        np.clip(part, 0, (1 << _PART_BITS) - 1, out=part)
-        out = np.where(is_high, high, self.order0.ids.take(part))
-        return np.where(is_low, low, out).astype(np.int64)
+        part = ((v - gone[0] - gone[1]) / self.rest).astype(np.int64)
+        out = self.order0.ids.take(part, mode="clip")
+        np.copyto(out, self.guess[0], where=inside[0])
+        np.copyto(out, self.guess[1], where=inside[1])
+        return out
 
     def update(self, ids: np.ndarray) -> None:
         # Order 1 has to be right where order 2 isn't, so that both shares together stay below one.
@@ -354,7 +363,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, key: str =
         coder = library(tokenizer_path).table
         docs, sizes, parts, held = [], [], [], 0
         for batch in batches:
-            for at, some in slices(batch.column(1)):
+            for at, some in slices(batch.column(1), SLICE):
                 ids, counts = coder.texts(some)
                 docs.append(batch.column(0).slice(at, len(some)).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
                 sizes.append(counts + 1)
