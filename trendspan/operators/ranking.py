@@ -17,6 +17,8 @@ Keyword = tuple[str, str, Sequence[str]]
 
 #: Keywords that one plan matches; a catalogue of more is matched in several.
 MOST_KEYWORDS = 1000
+#: Keywords of a snapshot whose ids are folded.
+MOST_IDS = 10_000
 
 
 def match_bridge(items: DataFrame, keywords: Sequence[Keyword], carried: Sequence[str] = ()) -> DataFrame:
@@ -179,7 +181,7 @@ def canonical_ids(df: DataFrame, order: str = "position") -> DataFrame:
     """Ids taken over from history, one after the other: each keyword's first known id that no keyword before took.
 
     ``own_id, keys`` (array of historical ids by lookup key, in order). The fold is sequential by nature and runs over one
-    snapshot's keywords, a few hundred by contract, as one native expression.
+    snapshot's keywords, a few hundred by contract, as one native expression; more than ``MOST_IDS`` are refused.
     """
     rows = F.array_sort(F.collect_list(F.struct(order, "own_id", "keys")))
     used = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<own_id:string,canonical_id:string>>").alias("out"))
@@ -189,6 +191,8 @@ def canonical_ids(df: DataFrame, order: str = "position") -> DataFrame:
         chosen = F.coalesce(F.get(free, F.lit(0)), row["own_id"])
         return F.struct(F.array_append(acc["used"], chosen).alias("used"), F.array_append(acc["out"], F.struct(row["own_id"].alias("own_id"), chosen.alias("canonical_id"))).alias("out"))
 
+    if df.limit(MOST_IDS + 1).count() > MOST_IDS:
+        raise ValueError(f"at most {MOST_IDS} keywords of one snapshot")
     folded = df.agg(rows.alias("__rows"), F.collect_set("own_id").alias("__own")).select(F.aggregate("__rows", used, step)["out"].alias("out"))
     return folded.select(F.inline("out"))
 

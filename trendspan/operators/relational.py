@@ -17,6 +17,20 @@ def first_per(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column]
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+def numbered(df: DataFrame, by: Sequence[str], coarse: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add 1-based numbers within groups ``by``, in the order of ``coarse`` (never null) and then of ``order``.
+
+    Rows of one ``coarse`` are numbered in one task, and start at the sizes of those before; so a group may hold any share
+    of all rows.
+    """
+    keys = [*by, *coarse]
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__size"))
+    earlier = F.sum("__size").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*coarse)) - F.col("__size")
+    before = sizes.select(*keys, earlier.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__inside", inside).join(before, keys).withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
 def best_of(df: DataFrame, by: Sequence[str], rank: Column, columns: Sequence[str]) -> DataFrame:
     """One row for each group, the one with the largest ``rank``; aggregated before the shuffle, so hot groups are small."""
     best = df.groupBy(*by).agg(F.max_by(F.struct(*columns), rank).alias("__row"))

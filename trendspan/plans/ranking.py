@@ -9,7 +9,7 @@ from trendspan.functions import scoring as sc
 from trendspan.functions import text as tx
 from trendspan.functions.urls import primary_type
 from trendspan.operators import ranking as rk
-from trendspan.operators.relational import first_per
+from trendspan.operators.relational import first_per, numbered
 from trendspan.plans.registry import Registry
 from trendspan.plans.texts import KIND_SQL, SUFFIXED, suffixed, surface_sql
 from trendspan.sources.tables import AS_OF_ITEMS, ITEMS_SQL, items, table
@@ -259,17 +259,17 @@ def diversity_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.diversity_quotas(d, "topic", [F.desc("score"), F.asc("doc_id")], LEAST, MOST, 20).select("doc_id", "topic")
 
 
-@R.query("""WITH s AS (SELECT d.doc_id, d.n_chars % 11 AS relevance, d.n_chars % 9 AS novelty, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)),
-m AS (SELECT *, quality IS NOT NULL AND relevance >= 10 AND novelty >= 7 AS ok, coalesce(relevance * 10, 50) AS q FROM s), c AS (SELECT count(*) FILTER (WHERE ok) AS n FROM m),
+@R.query("""WITH s AS (SELECT d.doc_id, d.n_chars % 11 AS relevance, d.n_chars % 9 AS novelty, d.n_chars > 5000 AS engaged, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)),
+m AS (SELECT *, quality IS NOT NULL AND relevance >= 7 AND novelty >= CASE WHEN engaged THEN 4 ELSE 6 END AS ok, coalesce(relevance * 10, 50) AS q FROM s), c AS (SELECT count(*) FILTER (WHERE ok) AS n FROM m),
 f AS (SELECT *, row_number() OVER (ORDER BY q DESC, doc_id) AS k FROM m WHERE NOT ok AND novelty > 3)
-SELECT doc_id FROM m WHERE ok UNION ALL SELECT doc_id FROM f, c WHERE k <= 200 - c.n""")
+SELECT doc_id FROM m WHERE ok UNION ALL SELECT doc_id FROM f, c WHERE k <= 20 - c.n""")
 def audience_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles that fit the audience, filled up with the best others; a missing score doesn't pass."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 11).alias("relevance"), (F.col("n_chars") % 9).alias("novelty")).join(labels, "doc_id", "left")
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 11).alias("relevance"), (F.col("n_chars") % 9).alias("novelty"), (F.col("n_chars") > 5000).alias("engaged")).join(labels, "doc_id", "left")
     d = d.withColumn("q", F.coalesce(F.col("relevance") * 10, F.lit(50)))
-    passes = F.col("quality").isNotNull() & (F.col("relevance") >= 10) & (F.col("novelty") >= 7)
-    return rk.audience(d, passes, F.col("novelty") > 3, "q", "doc_id", 200).select("doc_id")
+    passes = F.col("quality").isNotNull() & (F.col("relevance") >= 7) & (F.col("novelty") >= F.when(F.col("engaged"), 4).otherwise(6))
+    return rk.audience(d, passes, F.col("novelty") > 3, "q", "doc_id", 20).select("doc_id")
 
 
 @R.query("""SELECT doc_id, CAST(round(greatest(0.0, (n_chars % 6) * 0.35 + (doc_id % 6) * 0.25 + ((n_chars + doc_id) % 6) * 0.25 + greatest(0.0, 5 * pow(0.5, (doc_id % 72) / 36.0) - CASE WHEN doc_id % 72 > 24 THEN 0.5 ELSE 0 END) * 0.15
@@ -334,12 +334,8 @@ def title_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different titles in batches of 200, best tier first: numbered by tier with the sizes of the tiers before, not in one sort."""
     order = F.when(F.col("tier") == "P0_CURATED", 0).when(F.col("tier") == "P1_CONTEXT", 1).when(F.col("tier") == "P2_RAW", 2).otherwise(3)
     rows = first_per(items(spark, sf_dir), [F.lower(F.trim(F.col("title")))], [F.asc("item_idx")]).select("item_idx", order.alias("o"))
-    # Ranges of ids within a tier are numbered apart; their sizes are a small table.
-    rows = rows.withColumn("r", F.floor(F.col("item_idx") / 100_000))
-    sizes = rows.groupBy("o", "r").agg(F.count("*").alias("n"))
-    before = sizes.select("o", "r", (F.sum("n").over(Window.orderBy("o", "r")) - F.col("n")).alias("before"))
-    n = F.row_number().over(Window.partitionBy("o", "r").orderBy("item_idx"))
-    return rows.withColumn("n", n).join(F.broadcast(before), ["o", "r"]).select("item_idx", F.floor((F.col("before") + F.col("n") - 1) / 200).cast("int").alias("batch"))
+    rows = numbered(rows.withColumn("r", F.floor(F.col("item_idx") / 100_000)), [], ["o", "r"], [F.asc("item_idx")], "n")
+    return rows.select("item_idx", F.floor((F.col("n") - 1) / 200).cast("int").alias("batch"))
 
 
 @R.query(f"""WITH {ITEMS_SQL}, u AS (SELECT 0 AS p, item_idx AS id, 'https://' || domain || '/' || (item_idx % 400) AS link, title FROM items UNION ALL SELECT 1, page_id, url, 'page' FROM pages UNION ALL SELECT 2, item_idx, 'https://' || domain || '/' || (item_idx % 400) || '/#x', 'again' FROM items)

@@ -94,7 +94,7 @@ def candidates_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BROAD = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(keyword)), '[_\\-·/@:]+', ' ', 'g'), '[“”\"''`~!#$%^&*()+=\\[\\]{}|\\\;<>?,.]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_BROAD = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(keyword)), '[_\\-·/@:]+', ' ', 'g'), '[“”\"''`~!#$%^&*()+=\\[\\]{}|\\\\;<>?,.]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @R.query(SUFFIXED + f""", w AS (SELECT keyword_id, keyword, list_filter(string_split({surface_sql(CAMEL)}, ' '), lambda t: t <> '') AS ts FROM s)
@@ -269,7 +269,7 @@ def detail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_day(spark, sf_dir).select("mode", "keyword_id", F.when(F.col("rank") <= 10, "detail").otherwise("rest").alias("part"))
 
 
-@R.query(f"""WITH p AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '([a-z])(\\d)', '\\1 \\2', 'g'), '[_\\-·/@:]+', ' ', 'g'), '[“”"''`~!#$%^&*()+=\\[\\]{{}}|\\\;<>?,.]', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM documents),
+@R.query(f"""WITH p AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '([a-z])(\\d)', '\\1 \\2', 'g'), '[_\\-·/@:]+', ' ', 'g'), '[“”"''`~!#$%^&*()+=\\[\\]{{}}|\\\\;<>?,.]', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM documents),
 m AS (SELECT doc_id, x, (contains(x, 'mit')::INT + contains(x, 'license')::INT) / 2.0 AS r FROM p)
 SELECT doc_id, 'MIT License' AS keyword FROM m WHERE least(1.0, round(CASE WHEN contains(x, 'mit license') THEN 0.62 ELSE 0 END + CASE WHEN r >= 0.5 THEN 0.28 * r + 0.18 * r ELSE 0 END, 4)) >= 0.45 UNION ALL SELECT doc_id, 'License' FROM documents""")
 def relevant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

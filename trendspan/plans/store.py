@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendspan.operators.relational import best_of, first_per, insert_if_absent, keep_after, upsert
+from trendspan.operators.relational import best_of, first_per, insert_if_absent, keep_after, numbered, upsert
 from trendspan.plans.registry import Registry
 from trendspan.sources.tables import AS_OF_SNAPSHOTS, AS_OF_VIEWS, KEYWORDS_SQL, NAMES_SQL, SNAPSHOTS_SQL, VIEWS_SQL, keywords, names, snapshots, table, views
 
@@ -89,9 +89,10 @@ def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sources_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by type, one language first, then id, with a localised label (empty counts as missing)."""
     d = table(spark, sf_dir, "documents")
-    order = Window.partitionBy("source").orderBy(F.when(F.col("lang") == "fr", 0).otherwise(1), "doc_id")
+    rows = d.select("source", "lang", "doc_id", F.when(F.col("lang") == "fr", 0).otherwise(1).alias("later"), F.floor(F.col("doc_id") / 100_000).alias("range"))
+    placed = numbered(rows, ["source"], ["later", "range"], [F.asc("doc_id")], "position").select("doc_id", F.col("position").cast("int").alias("position"))
     english = F.when(F.col("lang") == "en", F.col("text")).otherwise("")
-    return d.select("source", "lang", "doc_id", F.row_number().over(order).alias("position"), F.coalesce(F.nullif(english, F.lit("")), F.lower("text")).alias("label"))
+    return d.join(placed, "doc_id").select("source", "lang", "doc_id", "position", F.coalesce(F.nullif(english, F.lit("")), F.lower("text")).alias("label"))
 
 
 @R.query(f"""{WITH}, days AS (SELECT keyword_id, CAST(ts AS DATE) AS day, count(*) AS n FROM views GROUP BY 1, 2),
@@ -126,11 +127,7 @@ def newest(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each mode's snapshots numbered in time: days are numbered apart, and start at the sizes of the days before."""
     s = snapshots(spark, sf_dir).select("snapshot_id", "mode", "created_at", F.to_date("created_at").alias("day"))
-    sizes = s.groupBy("mode", "day").agg(F.count("*").alias("n"))
-    # A row for each mode and day, however many snapshots there are.
-    before = sizes.select("mode", "day", (F.sum("n").over(Window.partitionBy("mode").orderBy("day")) - F.col("n")).alias("before"))
-    n = F.row_number().over(Window.partitionBy("mode", "day").orderBy("created_at", "snapshot_id"))
-    return s.withColumn("n", n).join(before, ["mode", "day"]).select("snapshot_id", "mode", (F.col("before") + F.col("n")).cast("int").alias("seq"))
+    return numbered(s, ["mode"], ["day"], [F.asc("created_at"), F.asc("snapshot_id")], "seq").select("snapshot_id", "mode", F.col("seq").cast("int").alias("seq"))
 
 
 @R.query(f"""{RANKED_SQL}, p AS (SELECT mode, seq, keyword_id, rank FROM placed JOIN ordered USING (snapshot_id))
