@@ -134,7 +134,7 @@ def paragraph_table(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
-            for at, some in slices(batch.column(3), 2_000_000):
+            for at, some in slices(batch.column(3)):
                 place, n, first, last, uid, sizes, hashes = [], [], [], [], [], [], []
                 for d, t in enumerate(some, at):
                     for k, (a, b, words) in enumerate(paragraphs(t.as_py() or "")):

@@ -216,8 +216,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, limit: int = 4_000_000):
-    """Consecutive rows of a column of texts, of about ``limit`` bytes together: ``first row, rows``."""
+def slices(column: pa.Array, limit: int = 500_000):
+    """Consecutive rows of a column of texts, of about ``limit`` bytes together: ``first row, rows``. Arrays over so much stay near the processor."""
     ends = utf8(column)[1][1:]
     at = 0
     while at < len(column):
