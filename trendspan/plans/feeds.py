@@ -45,13 +45,17 @@ def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mp.changelog_entries(table(spark, sf_dir, "benchmark").select("item_id", text.alias("text")))
 
 
-@R.query("""SELECT item_id, 'Section ' || item_id AS title, 'sum ' || item_id AS summary, CAST(CASE WHEN item_id % 2 = 0 THEN 8 ELSE 5 END AS INTEGER) AS importance, 'https://n.example.org/' || item_id AS link FROM benchmark""")
+@R.query("""SELECT item_id, 'Section ' || item_id AS title, text || CASE WHEN item_id % 3 = 0 THEN chr(10) || chr(10) || '쉬운설명: plain ' || item_id ELSE '' END AS summary, CAST(CASE WHEN item_id % 2 = 0 THEN 8 ELSE 5 END AS INTEGER) AS importance,
+ 'https://n.example.org/' || item_id AS link, CASE WHEN item_id % 4 = 0 THEN 'https://i.example.org/x.png' END AS image FROM (SELECT item_id, trim(regexp_replace(text, '[*#-]', '', 'g')) AS text FROM benchmark) WHERE text <> ''""")
 def newsletter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of a newsletter; one without a link is none."""
-    n = F.col("item_id").cast("string")
-    importance = F.when(F.col("item_id") % 2 == 0, "\nimportance: 8").otherwise("")
-    text = F.concat(F.lit("# Hello\nno link\n---\n# Section "), n, F.lit("\n**summary**: sum "), n, importance, F.lit("\n[more](https://n.example.org/"), n, F.lit(")\n"))
-    return mp.newsletter_sections(table(spark, sf_dir, "benchmark").select("item_id", text.alias("text")))
+    """Sections of a newsletter with their fields; one without a link is none."""
+    k, n = F.col("item_id"), F.col("item_id").cast("string")
+    body = F.trim(F.regexp_replace("text", "[*#-]", ""))
+    field = lambda name, value, when: F.when(when, F.concat(F.lit(f"\n**{name}**: "), value)).otherwise("")
+    image = F.when(k % 4 == 0, "\n![Image](https://i.example.org/x.png)").otherwise("")
+    always = F.lit(True)
+    text = F.concat(F.lit("## Hello\nno link\n---\n## 제목: Section "), n, image, field("요약", body, always), field("쉬운설명", F.concat(F.lit("plain "), n), k % 3 == 0), field("중요도", F.lit("8"), k % 2 == 0), field("전체링크", F.concat(F.lit("https://n.example.org/"), n), always))
+    return mp.newsletter_sections(table(spark, sf_dir, "benchmark").where(body != "").select("item_id", text.alias("text")))
 
 
 @R.query("""WITH p AS (SELECT c_custkey AS id, c_custkey % 14 AS daily_rank FROM customer) SELECT 'AI tool ' || id AS name, CAST(daily_rank AS INTEGER) AS daily_rank, CASE WHEN daily_rank <= 3 THEN 0.9 WHEN daily_rank <= 10 THEN 0.84 ELSE 0.72 END::DOUBLE AS authority_override,

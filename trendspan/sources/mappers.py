@@ -94,8 +94,9 @@ def news_items(articles: DataFrame) -> DataFrame:
 
 
 def repository_items(repositories: DataFrame) -> DataFrame:
-    """Repository search with stars and forks as engagement."""
-    return as_items(repositories, title=F.concat_ws(": ", "full_name", "description"), link=F.col("html_url"), published_at=F.col("pushed_at"), summary=F.substring(F.coalesce("description", F.lit("")), 1, 500), source_domain=F.lit("github.com"), feed_title=F.concat(F.lit("GitHub: "), "full_name"), tier=F.lit("P2_RAW"), lang=F.lit("en"), engagement=F.struct(F.col("stargazers_count").cast("long").alias("score"), F.col("forks_count").cast("long").alias("comments")))
+    """Repository search with stars and forks as engagement; of one URL that several searches found the first stays."""
+    once = repositories.groupBy("html_url").agg(F.min_by(F.struct("full_name", "description", "pushed_at", "stargazers_count", "forks_count"), F.struct("full_name", "pushed_at")).alias("r")).select("html_url", "r.*")
+    return as_items(once, title=F.concat_ws(": ", "full_name", "description"), link=F.col("html_url"), published_at=F.col("pushed_at"), summary=F.substring(F.coalesce("description", F.lit("")), 1, 500), source_domain=F.lit("github.com"), feed_title=F.concat(F.lit("GitHub: "), "full_name"), tier=F.lit("P2_RAW"), lang=F.lit("en"), engagement=F.struct(F.col("stargazers_count").cast("long").alias("score"), F.col("forks_count").cast("long").alias("comments")))
 
 
 def release_items(releases: DataFrame) -> DataFrame:
@@ -178,11 +179,40 @@ def changelog_entries(df: DataFrame, text: str = "text", most: int = 1200) -> Da
 
 
 def newsletter_sections(df: DataFrame, text: str = "text") -> DataFrame:
-    """Sections of a markdown newsletter between rules; a section needs a link, importance is five where none is given."""
+    """Sections of a markdown newsletter between rules, with their fields; one without title or link is none.
+
+    The summary has the plain explanation and the field of work behind it, where a section has them; importance is five where
+    none is given.
+    """
     sections = df.withColumn("section", F.explode(F.split(F.col(text), r"\n---\n")))
-    field = lambda name: F.nullif(F.trim(F.regexp_extract("section", rf"(?m)^\*?\*?{name}\*?\*?:\s*(.+)$", 1)), F.lit(""))
-    out = sections.select(*(c for c in df.columns if c != text), F.trim(F.regexp_extract("section", r"(?m)^#+\s*(.+)$", 1)).alias("title"), field("summary").alias("summary"), F.coalesce(field("importance").cast("int"), F.lit(5)).alias("importance"), F.nullif(F.regexp_extract("section", r"(https?://[^\s)]+)", 1), F.lit("")).alias("link"))
-    return out.where("link is not null")
+    group = lambda pattern: F.regexp_replace(F.regexp_extract("section", pattern, 1), r"^\s+|\s+$", "")
+    block = lambda name: group(rf"(?s)\*\*{name}\*\*:\s*(.+?)(?=\*\*|$)")
+    some = lambda c: F.nullif(c, F.lit(""))
+    title = F.coalesce(some(group(r"##\s*제목:\s*([^\n]+)")), some(group(r"##\s*([^\n]+)")))
+    plain, work = some(block("쉬운설명")), some(block("관련분야"))
+    summary = F.concat(F.coalesce(some(block("요약")), F.lit("")), F.coalesce(F.concat(F.lit("\n\n쉬운설명: "), plain), F.lit("")), F.coalesce(F.concat(F.lit("\n\n관련분야: "), work), F.lit("")))
+    importance = F.coalesce(some(group(r"\*\*중요도\*\*:\s*(\d+)")).cast("int"), F.lit(5))
+    link = some(group(r"\*\*전체링크\*\*\s*:?\s*(https?://\S+)"))
+    image = some(group(r"!\[Image\]\((https?://[^\s)]+)\)"))
+    out = sections.select(*(c for c in df.columns if c != text), title.alias("title"), summary.alias("summary"), importance.alias("importance"), link.alias("link"), image.alias("image"))
+    return out.where("link is not null and title is not null")
+
+
+def aggregate_articles(files: DataFrame, least: float = 0.5) -> DataFrame:
+    """Articles of dated JSON files (``json``) that are sure enough, with their metadata behind the summary."""
+    article = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "summary", "category", "source")] + [T.StructField("confidence", T.DoubleType())])
+    parsed = F.from_json("json", T.StructType([T.StructField("articles", T.ArrayType(article))]))
+    rows = files.select(*(c for c in files.columns if c != "json"), F.inline(parsed["articles"]))
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    kept = rows.where((F.coalesce("confidence", F.lit(0.0)) >= least) & some(F.col("title")) & some(F.col("url")))
+    more = [F.coalesce("summary", F.lit("")), F.when(some(F.col("category")), F.concat(F.lit("\n\nCategory: "), "category")), F.when(some(F.col("source")), F.concat(F.lit("\nSource: "), "source")), F.when(F.col("confidence") != 0, F.concat(F.lit("\nConfidence: "), F.format_string("%.2f", "confidence")))]
+    return kept.withColumn("summary", F.concat(*(F.coalesce(m, F.lit("")) for m in more)))
+
+
+def page_text(html: Column) -> Column:
+    """The texts of a page's headings, paragraphs and code that begin with text, not markup, a line each."""
+    found = F.regexp_extract_all(html, F.lit(r"(?s)<(h1|h2|p|code)(?:\s[^>]*)?>([^<].*?)</\1>"), 2)
+    return F.trim(F.array_join(F.transform(found, tx.strip_html), "\n"))
 
 
 def messages_with_links(posts: DataFrame) -> DataFrame:
