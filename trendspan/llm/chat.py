@@ -161,7 +161,7 @@ def digests(read: DataFrame) -> DataFrame:
             rows.append((*now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             yield flush()
 
-    dealt = read.repartition("tree").sortWithinPartitions("tree", "branch", "turn")
+    dealt = read.repartition("tree", "branch").sortWithinPartitions("tree", "branch", "turn")
     out = dealt.select("tree", "branch", "role", "text", "learnt", F.length("piece").alias("size")).mapInArrow(run, DIGESTS)
     return out.withColumn("conv_id", F.when(F.col("conv_id") != NO_CONVERSATION, F.col("conv_id")))
 
