@@ -118,9 +118,33 @@ def test_short_repeats_of_rows_without_ids_are_no_passage(spark):
 def test_exact_copies_with_one_id_keep_one(spark):
     rng = random.Random(4)
     text = " ".join(sentence(rng, 12) for _ in range(5))
+    n = len(list(ps.paragraphs(text)))
     for ids in ([1, 2, 3], [None] * 3, [4] * 3):
         got = ps.repeated_passages(spark, spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")).collect()
-        assert len(got) == 15 and sum(not r.removed for r in got) == 5
+        assert len(got) == 3 * n and sum(not r.removed for r in got) == n
+
+
+def test_passages_without_sentences_are_found(spark):
+    """Passages in running words, between other words of the same line: no stop tells where they begin."""
+    rng = random.Random(9)
+    passages = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(12)]
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows = [(i, f"{words(rng.randint(0, 40))} {passages[i % 12]} {words(rng.randint(0, 40))}") for i in range(48)] + [(100 + i, words(150)) for i in range(48)]
+    got = {r.doc_id for r in ps.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & set(range(48))) >= 45 and not got & set(range(100, 148))
+
+
+def test_cuts_go_with_the_content():
+    rng = random.Random(10)
+    passage = " ".join(rng.choice(WORDS) for _ in range(80))
+    held = []
+    for _ in range(20):
+        text = f"{' '.join(rng.choice(WORDS) for _ in range(rng.randint(5, 30)))} {passage} end."
+        held.append({tuple(w) for a, b, w in ps.paragraphs(text)})
+        for a, b, w in ps.paragraphs(text):
+            assert ps._WORD.findall(text[a:b].lower()) == w
+    shared = set.intersection(*held)
+    assert sum(map(len, shared)) >= 40
 
 
 def test_a_very_long_text(spark):

@@ -1,8 +1,8 @@
 """Passages that repeat across documents: paragraph MinHash, banding, exact verification, components.
 
 A paragraph is a line, cut after each sentence that has at least ``CLOSING_WORDS`` words; shorter sentences belong to
-the next one. So a passage falls into the same paragraphs wherever it is embedded, but for its ends. Every paragraph
-of at least ``MIN_WORDS`` words gets a MinHash signature over its 5-word shingles. With ``BANDS`` bands of ``ROWS``
+the next one. What goes on for more than ``LONG_SENTENCE`` words without an end, as lists or unpunctuated text do, is cut by
+its content, between words whose hashes say so. So a passage falls into the same paragraphs wherever it is embedded, but for its ends. Every paragraph of at least ``MIN_WORDS`` words gets a MinHash signature over its 5-word shingles. With ``BANDS`` bands of ``ROWS``
 values, two paragraphs of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS: 0.98 at s = 0.8, 0.999
 at 0.9, and always where they are equal. So few short bands sort out the paragraphs that nothing is like. The rest, a few
 hundredths, are banded again with many long bands, ``FINE_BANDS`` of ``FINE_ROWS``: 0.99 at s = 0.8, but 0.003 for the
@@ -42,8 +42,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 4, 2
 FINE_BANDS, FINE_ROWS = 24, 8
 CLOSING_WORDS = 8
+#: Sentences of more words than this are cut by their content, once in ``CUT`` pairs of words.
+LONG_SENTENCE, CUT = 40, 8
 MIN_WORDS = 8
-MIN_SPAN = 25
+MIN_SPAN = 30
 
 _WORD = re.compile(r"\w+")
 _LAST = (1 << 63) - 1
@@ -55,14 +57,15 @@ _PLACES = np.random.default_rng(8).integers(1 << 62, 1 << 63, size=max(SHINGLE,
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h
         return h
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
+def paragraphs(text: str, hashes: _WordHashes | None = None) -> Iterator[tuple[int, int, list[str]]]:
     """First and last character and words of each paragraph of at least ``MIN_WORDS`` words."""
+    hashes = _WordHashes() if hashes is None else hashes
     line_start = 0
     for line in text.split("\n"):
         start, words = line_start, []
@@ -70,8 +73,15 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
         while at < len(line):
             stop = _sentence_end(line, at)
             found = _WORD.findall(line[at:stop].lower())
-            words += found
-            if len(found) >= CLOSING_WORDS or stop == len(line):
+            since = 0  # words of this sentence that are in paragraphs already
+            if len(found) > LONG_SENTENCE:
+                for n, end in _cuts(line[at:stop], found, len(words), hashes):
+                    words += found[since:n]
+                    if len(words) >= MIN_WORDS:
+                        yield start, line_start + at + end, words
+                    start, words, since = line_start + at + end, [], n
+            words += found[since:]
+            if len(found) - since >= CLOSING_WORDS or stop == len(line):
                 if len(words) >= MIN_WORDS:
                     yield start, line_start + stop, words
                 start, words = line_start + stop, []
@@ -79,6 +89,26 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
         line_start += len(line) + 1
 
 
+def _cuts(sentence: str, found: list[str], before: int, hashes: _WordHashes) -> list[tuple[int, int]]:
+    """Where a sentence is cut by its content: after how many of its words, and at which character.
+
+    A cut needs ``CLOSING_WORDS`` words before it and is where the hashes of two words say so.
+    """
+    places = []
+    last, held = 0, before
+    for n, h in enumerate(map(hashes.__getitem__, found[:-1]), 1):
+        held += 1
+        if held >= CLOSING_WORDS and n > 1 and (last + 3 * h) % CUT == 0:
+            places.append(n)
+            held = 0
+        last = h
+    if not places:
+        return []
+    ends = [m.end() for m in _WORD.finditer(sentence)]
+    # In rare scripts lower case has other words than the text; such a sentence stays whole.
+    return [(n, ends[n - 1]) for n in places] if len(ends) == len(found) else []
+
+
 _END = re.compile(r"[.!?](?=[ \t])")
 
 
@@ -137,7 +167,7 @@ def paragraph_table(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for at, some in slices(batch.column(3)):
                 place, n, first, last, uid, sizes, hashes = [], [], [], [], [], [], []
                 for d, t in enumerate(some, at):
-                    for k, (a, b, words) in enumerate(paragraphs(t.as_py() or "")):
+                    for k, (a, b, words) in enumerate(paragraphs(t.as_py() or "", cache)):
                         place.append(d)
                         n.append(k)
                         first.append(a)
