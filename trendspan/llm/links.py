@@ -125,6 +125,7 @@ def set_components(scratch: Scratch, members: DataFrame, bucket: list[str], sets
     """
     shared = members.groupBy(*bucket).agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
     held = scratch.write(members.join(shared, bucket).distinct(), "members")
+    scratch.release()
     stars = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.write(alike(stars, sets, similarity), "stars")
     first = scratch.write(connected_components(scratch, links), "components")
@@ -140,6 +141,7 @@ def set_components(scratch: Scratch, members: DataFrame, bucket: list[str], sets
     if keyed.isEmpty():
         scratch.drop(links, keyed)
         return first
+    scratch.release()
     # Of an element's pairs across components, at least one side is outside its main component.
     x = keyed.where("component <> main").select("element", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "i", "short")))
     y = keyed.select("element", "main", *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "i", "short")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 #: Bytes of the longest piece that the table holds; the length takes the last byte of the four words.
 WIDEST = 31
 #: Entries of a table; beyond it the table starts anew.
-ENTRIES = 1_500_000
+ENTRIES = 600_000
 
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]

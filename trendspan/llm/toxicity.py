@@ -45,6 +45,8 @@ LEAST_ROWS = 5
 #: Chi-squared statistic, with one degree of freedom, that a feature needs: one in a thousand useless ones has it.
 LEAST_GAIN = 10.83
 PENALTY = 0.3
+#: Words whose features a scorer keeps at hand.
+KNOWN = 200_000
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"\w+")
@@ -166,7 +168,7 @@ class Scorer:
 
     def _learn(self, words: set[str]) -> None:
         place = self.place
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         for w in words:
             self.known[w] = tuple(place[f] for f in word_features(w) if f in place)
@@ -177,7 +179,7 @@ class Scorer:
             words = words_of(t)
             new = words.difference(self.known)
             if new:
-                self._learn(new if len(self.known) <= 500_000 else words)
+                self._learn(new if len(self.known) <= KNOWN else words)
             found = list(set().union(*map(self.known.__getitem__, words)))
             z = self.weights[found].sum(axis=0)
             logits = np.empty(len(self.chain))
