@@ -192,7 +192,10 @@ def focus_and_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", kw.focus_score(F.lower("text"), ["the", "with"], ["der"]).alias("focus"), kw.exact_query(head).alias("query"))
 
 
-@R.query()
+_INNER, _OUTER = (bytes(b ^ x for b in b"secret".ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+
+
+@R.query(f"SELECT user_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(CAST(user_id AS VARCHAR))))) AS viewer, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def viewer_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Viewers as keyed hashes, and how many events each has."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))

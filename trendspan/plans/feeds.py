@@ -158,7 +158,10 @@ def stream_view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv.count_views(spark, sv.event_stream(spark, sf_dir))
 
 
-@R.query()
+@R.query(f"""WITH RECURSIVE e AS (SELECT user_id AS viewer, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+st AS (SELECT viewer, min(t) AS s FROM e GROUP BY 1 UNION ALL SELECT st.viewer, min(e.t) AS s FROM st JOIN e ON e.viewer = st.viewer AND e.t >= st.s + {sv.WINDOW_SECONDS} GROUP BY st.viewer, st.s),
+w AS (SELECT st.viewer, st.s, count(*) AS c FROM st JOIN e ON e.viewer = st.viewer AND e.t >= st.s AND e.t < st.s + {sv.WINDOW_SECONDS} GROUP BY 1, 2)
+SELECT viewer, CAST(sum(least(c, {sv.LIMIT})) AS BIGINT) AS allowed, CAST(sum(greatest(0, c - {sv.LIMIT})) AS BIGINT) AS refused FROM w GROUP BY 1""")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allowed and refused requests of each viewer in fixed windows from their first request."""
     return sv.run_to_end(sv.limit_requests(sv.event_stream(spark, sf_dir)), spark, "limits").groupBy("viewer").agg(F.sum("allowed").alias("allowed"), F.sum("refused").alias("refused"))
