@@ -67,6 +67,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._live: set[str] = set()
+        self._dropped = 0
         atexit.register(self.clear)
 
     def path(self, name: str) -> str:
@@ -83,13 +84,21 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+        """Let Spark's cleaner drop the shuffle files and broadcast tables of plans that nothing refers to any more.
+
+        The cleaner acts on what the driver's collector finds, and a driver that does little hardly ever collects, while
+        executors hold the hash tables of every small join until then. Loops of many steps would fill their memory.
+        """
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more; every few times what their plans left goes too."""
         for t in tables:
             self._delete(t._scratch_path)
+        self._dropped += 1
+        if self._dropped % 3 == 0:
+            self.release()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
