@@ -13,6 +13,7 @@ from trendspan.llm.decontamination import op4_decontamination
 from trendspan.llm.html_text import op8_html_text
 from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
 from trendspan.llm.passages import op5_passages
+from trendspan.llm.periodic_runs import op11_periodic_runs
 from trendspan.llm.simhash import op7_simhash
 from trendspan.llm.token_stream import op1_token_files
 from trendspan.llm.toxicity import op2_toxicity
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_curves": op9_curves,
     "op10_bpe": op10_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
