@@ -12,6 +12,7 @@ from trendspan.llm.curves import op9_curves
 from trendspan.llm.decontamination import op4_decontamination
 from trendspan.llm.html_text import op8_html_text
 from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
+from trendspan.llm.middle import OP13_SQL, op13_middle
 from trendspan.llm.passages import op5_passages
 from trendspan.llm.periodic_runs import op11_periodic_runs
 from trendspan.llm.simhash import op7_simhash
@@ -30,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_curves": op9_curves,
     "op10_bpe": op10_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_middle": op13_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_chat": OP6_SQL,
+    "op13_middle": OP13_SQL,
 }
