@@ -13,6 +13,7 @@ from trendspan.llm.decontamination import op4_decontamination
 from trendspan.llm.html_text import op8_html_text
 from trendspan.llm.line_dedup import OP3_SQL, op3_line_dedup
 from trendspan.llm.middle import OP13_SQL, op13_middle
+from trendspan.llm.packing import op12_packing
 from trendspan.llm.passages import op5_passages
 from trendspan.llm.periodic_runs import op11_periodic_runs
 from trendspan.llm.simhash import op7_simhash
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_curves": op9_curves,
     "op10_bpe": op10_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
     "op13_middle": op13_middle,
 }
 
