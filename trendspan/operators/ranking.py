@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections.abc import Sequence
 
@@ -12,62 +11,18 @@ from pyspark.sql import functions as F
 from trendspan.functions import scoring as sc
 from trendspan.functions import text as tx
 from trendspan.functions import times as tm
+from trendspan.operators import automaton
 
-Keyword = tuple[str, str, Sequence[str]]
-
-#: Keywords that one plan matches; a catalogue of more is matched in several.
-MOST_KEYWORDS = 1000
 #: Keywords of a snapshot whose ids are folded.
 MOST_IDS = 10_000
 
 
-def match_bridge(items: DataFrame, keywords: Sequence[Keyword], carried: Sequence[str] = ()) -> DataFrame:
+def match_bridge(items: DataFrame, keywords: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """``keyword_id, item_idx`` of the items whose body holds the keyword, an alias or an ASCII variant; ``carried`` come along.
 
-    Containment is no equality, so no equi-join can find it. The catalogue is small by contract and is part of the
-    plan: each item is read once, tested against it in place and exploded, and nothing is shuffled.
+    ``keywords`` is a table of ``keyword_id, keyword, aliases`` of any size; items are read once for each of its blocks.
     """
-    if len(keywords) > MOST_KEYWORDS:
-        raise ValueError(f"at most {MOST_KEYWORDS} keywords at a time")
-    rows = items.select("item_idx", F.lower("body").alias("body"), *carried)
-    hits = [F.when(_any_term(F.col("body"), search_terms(k, aliases)), F.lit(i)) for i, k, aliases in keywords]
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return rows.select("item_idx", *carried, F.explode(found).alias("keyword_id"))
-
-
-def search_terms(keyword: str, aliases: Sequence[str]) -> list[str]:
-    """A keyword's terms: itself, its aliases, and what is left of those with Hangul once that is off (``text.ascii_variant``)."""
-    terms = [keyword, *aliases]
-    for t in (keyword, *aliases):
-        plain = re.sub("[\uac00-\ud7af\u3130-\u318f\u1100-\u11ff]+", " ", t)
-        if plain != t:
-            plain = " ".join(re.sub(r"\s[-·]", " ", re.sub(r"[-·]\s", " ", plain)).split())
-            terms += [plain] if len(plain) >= 3 else []
-    return terms
-
-
-def _any_term(body: Column, terms: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | _term(body, t)
-    return out
-
-
-def _term(body: Column, term: str) -> Column:
-    """``functions.text.term_matches`` for a term that is known while planning."""
-    low = term.lower()
-    words = [w for w in low.split() if len(w) >= 3 and w not in tx.STOP_WORDS]
-    if len(term) <= 2:
-        word = "[a-z0-9_]"
-        before = f"(?<!{word})" if re.match(word, low) else f"(?<={word})"
-        after = f"(?!{word})" if re.match(word, low[-1:]) else f"(?={word})"
-        return body.rlike(before + re.escape(low) + after)
-    if len(words) <= 1:
-        return F.contains(body, F.lit(low))
-    out = F.lit(True)
-    for w in words:
-        out = out & F.contains(body, F.lit(w))
-    return out
+    return automaton.match(items, keywords, "body", ["item_idx", *carried]).select("item_idx", *carried, "keyword_id")
 
 
 #: What the roll-up needs of the items.

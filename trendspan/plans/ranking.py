@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,17 @@ CATALOGUE = [
 ]
 
 
+def _search_terms(keyword: str, aliases: Sequence[str]) -> list[str]:
+    """A keyword's terms for the SQL: itself, its aliases, and what is left of those with Hangul."""
+    terms = [keyword, *aliases]
+    for t in (keyword, *aliases):
+        plain = re.sub("[\uac00-\ud7af\u3130-\u318f\u1100-\u11ff]+", " ", t)
+        if plain != t:
+            plain = " ".join(re.sub(r"\s[-·]", " ", re.sub(r"[-·]\s", " ", plain)).split())
+            terms += [plain] if len(plain) >= 3 else []
+    return terms
+
+
 def _term_sql(term: str) -> str:
     low = term.lower()
     words = [w for w in low.split() if len(w) >= 3 and w not in tx.STOP_WORDS]
@@ -46,7 +60,7 @@ def _term_sql(term: str) -> str:
 
 
 BRIDGE_SQL = f"WITH {ITEMS_SQL}, bodies AS (SELECT item_idx, lower(body) AS body FROM items), bridge AS (" + " UNION ALL ".join(
-    f"SELECT '{i}' AS keyword_id, item_idx FROM bodies WHERE " + " OR ".join(f"({_term_sql(t)})" for t in rk.search_terms(k, a)) for i, k, a in CATALOGUE
+    f"SELECT '{i}' AS keyword_id, item_idx FROM bodies WHERE " + " OR ".join(f"({_term_sql(t)})" for t in _search_terms(k, a)) for i, k, a in CATALOGUE
 ) + ")"
 ROLLUP_SQL = f"""{BRIDGE_SQL}, rollup AS (SELECT keyword_id, count(*) AS matches, count(DISTINCT domain) AS domains, max(published_at) AS latest_at,
  CASE min(CASE tier WHEN 'P0_CURATED' THEN 0 WHEN 'P1_CONTEXT' THEN 1 ELSE 2 END) WHEN 0 THEN 'P0_CURATED' WHEN 1 THEN 'P1_CONTEXT' ELSE 'P2_RAW' END AS tier,
@@ -62,8 +76,12 @@ scored AS (SELECT keyword_id, matches, domains, CAST(round(recency, 4) AS DOUBLE
  CAST(round(engagement, 4) AS DOUBLE) AS engagement, CAST(round(recency * 0.24 + frequency * 0.10 + authority * 0.14 + velocity * 0.30 + engagement * 0.22, 4) AS DOUBLE) AS total FROM axes)"""
 
 
+def catalogue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CATALOGUE, "keyword_id string, keyword string, aliases array<string>")
+
+
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.match_bridge(items(spark, sf_dir), CATALOGUE, rk.ROLLED)
+    return rk.match_bridge(items(spark, sf_dir), catalogue(spark), rk.ROLLED)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +94,26 @@ def match_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge(spark, sf_dir).select("keyword_id", "item_idx")
 
 
+#: The names of parts, each with the types it comes in as aliases, and how the benchmark's items begin.
+NAMED_SQL = r"""named AS (
+  SELECT 'part ' || p_name AS keyword_id, p_name AS keyword, list_sort(list(DISTINCT p_type)) AS aliases FROM part GROUP BY p_name
+  UNION ALL SELECT 'item ' || item_id, array_to_string(regexp_extract_all(text, '\S+')[1:3], ' '), []::VARCHAR[] FROM benchmark),
+terms AS (SELECT keyword_id, unnest(list_concat([keyword], aliases)) AS term FROM named),
+asked AS (SELECT DISTINCT keyword_id, lower(term) AS low, list_filter(string_split_regex(trim(lower(term)), '\s+'), lambda w: length(w) >= 3 AND NOT list_contains(""" + repr(tx.STOP_WORDS) + r""", w)) AS words FROM terms WHERE term <> ''),
+bodies AS (SELECT doc_id AS item_idx, lower(text) AS body FROM documents)"""
+
+
+@R.query(f"""WITH {NAMED_SQL} SELECT DISTINCT keyword_id, item_idx FROM asked JOIN bodies ON
+CASE WHEN length(low) <= 2 THEN regexp_matches(body, '\\b' || regexp_escape(low) || '\\b') WHEN len(words) <= 1 THEN contains(body, low)
+ELSE len(list_filter(words, lambda w: contains(body, w))) = len(words) END""")
+def catalogue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of the parts and every benchmark item's first words against every document."""
+    parts = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("part "), "p_name").alias("keyword_id"), F.col("p_name").alias("keyword")).agg(F.array_sort(F.collect_set("p_type")).alias("aliases"))
+    begins = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), 0), 1, 3), " ")
+    openings = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("keyword_id"), begins.alias("keyword"), F.array().cast("array<string>").alias("aliases"))
+    return rk.match_bridge(items(spark, sf_dir), parts.unionByName(openings)).select("keyword_id", "item_idx")
+
+
 @R.query(f"{ROLLUP_SQL} SELECT * FROM rollup")
 def candidate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each keyword's items add up to."""
