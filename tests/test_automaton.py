@@ -55,7 +55,7 @@ def test_a_catalogue_of_twenty_thousand(spark):
 
 
 def test_rows_of_one_id_and_hangul(spark):
-    table = spark.createDataFrame([(1, "alpha", []), (1, "beta", ["al"]), (2, "", [None]), (3, None, None), (4, "모델", []), (5, "모델 gamma-kit", [])], SCHEMA)
-    items = spark.createDataFrame([(1, "alpha beta al"), (2, "the gamma-kit"), (3, "새 모델")], "item_idx long, body string")
+    table = spark.createDataFrame([(1, "alpha", []), (1, "beta", ["al"]), (2, "", [None]), (3, None, None), (4, "모델링", []), (5, "모델 gamma-kit", [])], SCHEMA)
+    items = spark.createDataFrame([(1, "alpha beta al"), (2, "the gamma-kit"), (3, "새 모델링")], "item_idx long, body string")
     got = sorted((r.keyword_id, r.item_idx) for r in automaton.match(items, table, carried=["item_idx"]).collect())
     assert got == [(1, 1), (4, 3), (5, 2)]
