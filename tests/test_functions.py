@@ -101,19 +101,6 @@ def test_diversity_quotas_are_the_greedy_choice(spark):
         assert sorted(map(tuple, got.collect())) == greedy_quota(best, least, most, 12)
 
 
-def test_canonical_ids_are_used_once(spark):
-    rows = [(1, "a", ["h1", None]), (2, "b", ["h1", "h2"]), (3, "c", ["h1"]), (4, "h2", [])]
-    df = spark.createDataFrame(rows, "position int, own_id string, keys array<string>")
-    assert {r.own_id: r.canonical_id for r in rk.canonical_ids(df).collect()} == {"a": "h1", "b": "b", "c": "c", "h2": "h2"}
-
-
-def test_manual_priority(spark):
-    ranked = spark.createDataFrame([("Claude Code", 0.0, 0.8), ("Other", 0.1, 0.9)], "keyword string, internal double, total double")
-    manual = spark.createDataFrame([("claude-code", 1), ("New", 2)], "keyword string, position int")
-    got = {r.keyword: (r.total, r.is_manual) for r in rk.manual_priority(ranked, manual).collect()}
-    assert got == {"Claude Code": (6.8, True), "Other": (0.9, False), "New": (16.0, True)}
-
-
 def test_components_match_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(25)] + [(i, i + 1) for i in range(100, 130)]

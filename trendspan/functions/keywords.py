@@ -113,10 +113,12 @@ def canonical_score(keyword: Column, aliases: Column, matches: Column, tier: Col
     return out
 
 
-def enriched(anchor: Column, head: Column) -> Column:
-    """Two keywords as one text: the longer where it holds the other, else both."""
-    a, h = F.lower(anchor), F.lower(head)
-    return F.when(F.contains(a, h), anchor).when(F.contains(h, a), head).otherwise(F.concat(anchor, F.lit(" "), head))
+def enriched(anchor: Column, head: Column, anchor_surface: Column | None = None, head_surface: Column | None = None) -> Column:
+    """Two keywords as one text: the one whose surface holds the other's, else both. Surfaces that are at hand are not made again."""
+    a, h = F.trim(anchor), F.trim(head)
+    x = tx.keyword_surface(a) if anchor_surface is None else anchor_surface
+    y = tx.keyword_surface(h) if head_surface is None else head_surface
+    return F.when((a == "") | (F.contains(y, x) & ~F.contains(x, y)), h).when((h == "") | F.contains(x, y), a).otherwise(tx.collapse(F.concat(a, F.lit(" "), h)))
 
 
 def source_priority(quality: Column, korean_title: Column, korean_snippet: Column, naver: Column, origin: Column, fresh: Column) -> Column:

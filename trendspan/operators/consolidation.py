@@ -85,6 +85,60 @@ def consolidate(keywords: DataFrame, bridge: DataFrame, overlaps: DataFrame, gen
     return out.select("keyword_id", "keyword", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("domains", F.lit(0)).alias("domains"), "latest_at", F.coalesce("tier", F.lit("P2_RAW")).alias("tier"))
 
 
+def companions(entries: DataFrame, bridge: DataFrame) -> DataFrame:
+    """``head, companion`` of keywords that depend on context: the companion whose items are most alike, if any are enough.
+
+    ``entries`` has ``position, keyword_id, keyword, dependent, anchors``. Only items of heads meet, and only keywords with anchors: heads
+    are few, so what is joined is small beside the bridge. Equally good companions go by position.
+    """
+    sizes = bridge.groupBy("keyword_id").agg(F.count("*").alias("n"), F.count_distinct("domain").alias("domains"), F.max((F.col("tier") == "P0_CURATED").cast("int")).alias("curated"))
+    side = lambda df, name: bridge.select("item_idx", "keyword_id").join(df, "keyword_id", "left_semi").withColumnRenamed("keyword_id", name)
+    shared = side(entries.where("dependent"), "head").join(side(entries.where("not dependent and anchors > 0"), "companion"), "item_idx").groupBy("head", "companion").agg(F.count("*").alias("shared"))
+    h = sizes.select(F.col("keyword_id").alias("head"), F.col("n").alias("head_n")).join(entries.select(F.col("keyword_id").alias("head"), F.col("keyword").alias("head_text")), "head")
+    c = sizes.withColumnRenamed("keyword_id", "companion").join(entries.select(F.col("keyword_id").alias("companion"), F.col("keyword").alias("text"), "anchors", "position"), "companion")
+    overlap = F.col("shared") / (F.col("head_n") + F.col("n") - F.col("shared"))
+    score = overlap * 100 + F.col("shared") * 8 + F.least("domains", F.lit(8)) * 2 + F.least("anchors", F.lit(5)) * 3 + F.col("curated") * 4
+    enough = (F.col("shared") >= F.greatest(F.lit(1), F.least(F.lit(2), F.col("head_n")))) & (overlap >= F.when(F.col("head_n") <= 2, 0.35).otherwise(0.45))
+    near = shared.join(h, "head").join(c, "companion").where((F.col("text") != F.col("head_text")) & enough)
+    # Digits beyond those that sums of doubles agree in decide nothing; of equal scores the smallest position is largest here.
+    best = near.groupBy("head").agg(F.max(F.round(score, 9)).alias("best"))
+    return near.withColumn("score", F.round(score, 9)).join(best, "head").where("score = best").groupBy("head").agg(F.min_by("companion", "position").alias("companion"))
+
+
+def enrich_context(keywords: DataFrame, bridge: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
+    """``keyword, aliases, matches, domains, latest_at, tier`` once keywords that depend on context are joined to a companion.
+
+    ``keywords`` has ``position, keyword_id, keyword, aliases``, ``bridge`` a row for each keyword and item with ``domain, published_at, tier``. A head
+    whose companion holds its words is taken into it; another one makes a keyword of both texts; one without a companion
+    stays if it has four items of three domains, or goes. Keywords equal but for case are one, under the first spelling.
+    """
+    k = F.col("keyword")
+    entries = keywords.withColumns({"dependent": tx.context_dependent(k, list(generic)), "anchors": F.size(tx.anchor_tokens(k, list(generic))), "surface": tx.keyword_surface(k)})
+    # Read seven times below, and dear to compute.
+    rk.checkpoint_dir(keywords.sparkSession)
+    entries = entries.checkpoint()
+    pairs = companions(entries, bridge)
+    plain = entries.where("not dependent").select(F.lit(0).alias("part"), "position", "keyword", "aliases", F.array("keyword_id").alias("ids"))
+    heads = entries.where("dependent").join(pairs.withColumnRenamed("head", "keyword_id"), "keyword_id", "left")
+    found = heads.where("companion is not null").alias("h").join(entries.alias("c"), F.col("h.companion") == F.col("c.keyword_id"))
+    inside = F.contains("c.surface", F.col("h.surface"))
+    text = F.when(inside, F.col("c.keyword")).otherwise(kw.enriched(F.col("c.keyword"), F.col("h.keyword"), F.col("c.surface"), F.col("h.surface")))
+    own = F.array("h.keyword")
+    joined = found.select(F.lit(1).alias("part"), "h.position", text.alias("keyword"), F.when(inside, F.concat("c.aliases", own, "h.aliases")).otherwise(F.concat("c.aliases", "h.aliases", own)).alias("aliases"), F.array("h.companion", "h.keyword_id").alias("ids"))
+    strong = bridge.groupBy("keyword_id").agg(F.count("*").alias("n"), F.count_distinct("domain").alias("d")).where("n >= 4 and d >= 3")
+    kept = heads.where("companion is null").join(strong, "keyword_id", "left_semi").select(F.lit(1).alias("part"), "position", "keyword", "aliases", F.array("keyword_id").alias("ids"))
+    rows = plain.unionByName(joined).unionByName(kept).withColumns({"key": F.lower("keyword"), "place": F.struct("part", "position")})
+    names = rows.groupBy("key").agg(F.min_by("keyword", "place").alias("keyword"))
+    spelled = rows.select("key", "place", F.posexplode("aliases").alias("at", "alias")).groupBy("key", "alias").agg(F.min(F.struct("place", "at")).alias("first"))
+    listed = spelled.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    sources = rows.select("key", F.explode("ids").alias("keyword_id")).distinct()
+    # The tier starts as raw and only improves.
+    best = F.least(F.min(tier_rank(F.col("tier"))), F.lit(2))
+    merged = bridge.join(sources, "keyword_id").groupBy("key").agg(F.count_distinct("item_idx").alias("matches"), F.count_distinct("domain").alias("domains"), F.max("published_at").alias("latest_at"), F.element_at(F.array(*map(F.lit, TIER_ORDER)), (best + 1).cast("int")).alias("tier"))
+    out = names.join(listed, "key", "left").join(merged, "key", "left")
+    return out.select("keyword", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("domains", F.lit(0)).alias("domains"), "latest_at", F.coalesce("tier", F.lit("P2_RAW")).alias("tier"))
+
+
 def semantic_merge(keywords: DataFrame, groups: DataFrame) -> DataFrame:
     """Keywords with those taken in that given groups name: ``keyword, aliases`` over ``position, keyword, aliases``.
 

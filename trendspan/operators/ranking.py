@@ -13,10 +13,6 @@ from trendspan.functions import text as tx
 from trendspan.functions import times as tm
 from trendspan.operators import automaton
 
-#: Keywords of a snapshot whose ids are folded.
-MOST_IDS = 10_000
-
-
 def match_bridge(items: DataFrame, keywords: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """``keyword_id, item_idx`` of the items whose body holds the keyword, an alias or an ASCII variant; ``carried`` come along.
 
@@ -117,41 +113,6 @@ def audience(df: DataFrame, passes: Column, eligible: Column, quality: str, tie:
     return passed.unionByName(filled).drop("__pass", "__fill")
 
 
-def manual_priority(ranked: DataFrame, manual: DataFrame, key: str = "keyword") -> DataFrame:
-    """Manual keywords first, in their own order: matched rows gain 3 internal and 6 in total, missing ones come in with 16."""
-    k = lambda c: tx.compact(F.col(c))
-    m = manual.select(k(key).alias("__key"), F.col(key).alias("__manual"), F.col("position")).dropDuplicates(["__key"])
-    joined = ranked.withColumn("__key", k(key)).join(m, "__key", "full_outer")
-    is_manual, missing = F.col("position").isNotNull(), F.col(key).isNull()
-    return joined.select(
-        F.coalesce(key, "__manual").alias(key),
-        F.when(missing, F.lit(3.0)).when(is_manual, F.col("internal") + 3).otherwise(F.col("internal")).alias("internal"),
-        F.when(missing, F.lit(16.0)).when(is_manual, F.round(F.col("total") + 6, 4)).otherwise(F.col("total")).alias("total"),
-        "position",
-        is_manual.alias("is_manual"),
-    )
-
-
-def canonical_ids(df: DataFrame, order: str = "position") -> DataFrame:
-    """Ids taken over from history, one after the other: each keyword's first known id that no keyword before took.
-
-    ``own_id, keys`` (array of historical ids by lookup key, in order). The fold is sequential by nature and runs over one
-    snapshot's keywords, a few hundred by contract, as one native expression; more than ``MOST_IDS`` are refused.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(order, "own_id", "keys")))
-    used = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<own_id:string,canonical_id:string>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        free = F.filter(row["keys"], lambda k: k.isNotNull() & ~F.array_contains(acc["used"], k) & (~F.array_contains(F.col("__own"), k) | (k == row["own_id"])))
-        chosen = F.coalesce(F.get(free, F.lit(0)), row["own_id"])
-        return F.struct(F.array_append(acc["used"], chosen).alias("used"), F.array_append(acc["out"], F.struct(row["own_id"].alias("own_id"), chosen.alias("canonical_id"))).alias("out"))
-
-    if df.limit(MOST_IDS + 1).count() > MOST_IDS:
-        raise ValueError(f"at most {MOST_IDS} keywords of one snapshot")
-    folded = df.agg(rows.alias("__rows"), F.collect_set("own_id").alias("__own")).select(F.aggregate("__rows", used, step)["out"].alias("out"))
-    return folded.select(F.inline("out"))
-
-
 def stratified_sample(df: DataFrame, stratum: str, key: str, shares: dict[str, int]) -> DataFrame:
     """As many rows of each stratum as its share, in the order of a hash; what strata lack is filled from the rest."""
     target = sum(shares.values())

@@ -161,20 +161,6 @@ def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per(s, ["family"], order).select("family", "keyword_id", "score")
 
 
-@R.query(f"""{rp.BRIDGE_SQL}, n AS (SELECT keyword_id, count(*) AS n FROM bridge GROUP BY 1), o AS (SELECT a.keyword_id AS head, b.keyword_id AS companion, count(*) AS shared FROM bridge a JOIN bridge b USING (item_idx) WHERE a.keyword_id <> b.keyword_id GROUP BY 1, 2),
-b AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY shared / n.n DESC, companion) AS r FROM o JOIN n ON n.keyword_id = head WHERE shared >= greatest(1, least(2, n.n)))
-SELECT n.keyword_id, b.companion, CASE WHEN b.shared / n.n >= 0.45 THEN 'merge' WHEN b.shared / n.n >= 0.35 THEN 'enrich' WHEN n.n >= 4 THEN 'keep' ELSE 'drop' END AS action FROM n LEFT JOIN b ON b.head = n.keyword_id AND b.r = 1""")
-def context_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each keyword's best companion by overlap, and what follows from it."""
-    sizes = rp.bridge(spark, sf_dir).groupBy("keyword_id").agg(F.count("*").alias("n"))
-    pairs = rp.pair_jaccard(spark, sf_dir).select("a", "b", "shared")
-    both = pairs.select(F.col("a").alias("keyword_id"), F.col("b").alias("companion"), "shared").unionByName(pairs.select(F.col("b").alias("keyword_id"), F.col("a").alias("companion"), "shared"))
-    near = both.join(sizes, "keyword_id").where(F.col("shared") >= F.greatest(F.lit(1), F.least(F.lit(2), F.col("n"))))
-    best = first_per(near.withColumn("overlap", F.col("shared") / F.col("n")), ["keyword_id"], [F.desc("overlap"), F.asc("companion")]).select("keyword_id", "companion", "overlap")
-    action = F.when(F.col("overlap") >= 0.45, "merge").when(F.col("overlap") >= 0.35, "enrich").when(F.col("n") >= 4, "keep").otherwise("drop")
-    return sizes.join(best, "keyword_id", "left").select("keyword_id", "companion", action.alias("action"))
-
-
 @R.query(f"""{rp.CANDIDATES_SQL} SELECT keyword_id, appearances + 5 <= 10 OR is_new OR domains > 3 OR version_kind <> 'none' OR velocity >= 0.6 OR engagement >= 0.65 AS shown,
  CAST(CASE WHEN matches = 0 THEN price ELSE round(price + engagement / 100, 4) END AS DOUBLE) AS total FROM c""")
 def display_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
