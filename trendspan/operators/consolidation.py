@@ -88,21 +88,32 @@ def consolidate(keywords: DataFrame, bridge: DataFrame, overlaps: DataFrame, gen
 def companions(entries: DataFrame, bridge: DataFrame) -> DataFrame:
     """``head, companion`` of keywords that depend on context: the companion whose items are most alike, if any are enough.
 
-    ``entries`` has ``position, keyword_id, keyword, dependent, anchors``. Only items of heads meet, and only keywords with anchors: heads
-    are few, so what is joined is small beside the bridge. Equally good companions go by position.
+    ``entries`` has ``position, keyword_id, keyword, dependent, anchors``. Keywords of exactly the same items (by count and two hashes of the set) are
+    alike to anything by the same measure, so one of each such class stands for all: of companions the one with most anchors, the first of these.
+    Only items of heads and of keywords with anchors meet. Equally good companions go by position.
     """
-    sizes = bridge.groupBy("keyword_id").agg(F.count("*").alias("n"), F.count_distinct("domain").alias("domains"), F.max((F.col("tier") == "P0_CURATED").cast("int")).alias("curated"))
-    side = lambda df, name: bridge.select("item_idx", "keyword_id").join(df, "keyword_id", "left_semi").withColumnRenamed("keyword_id", name)
-    shared = side(entries.where("dependent"), "head").join(side(entries.where("not dependent and anchors > 0"), "companion"), "item_idx").groupBy("head", "companion").agg(F.count("*").alias("shared"))
-    h = sizes.select(F.col("keyword_id").alias("head"), F.col("n").alias("head_n")).join(entries.select(F.col("keyword_id").alias("head"), F.col("keyword").alias("head_text")), "head")
-    c = sizes.withColumnRenamed("keyword_id", "companion").join(entries.select(F.col("keyword_id").alias("companion"), F.col("keyword").alias("text"), "anchors", "position"), "companion")
-    overlap = F.col("shared") / (F.col("head_n") + F.col("n") - F.col("shared"))
-    score = overlap * 100 + F.col("shared") * 8 + F.least("domains", F.lit(8)) * 2 + F.least("anchors", F.lit(5)) * 3 + F.col("curated") * 4
+    item = F.col("item_idx")
+    sizes = bridge.groupBy("keyword_id").agg(
+        F.count("*").alias("n"), F.count_distinct("domain").alias("domains"), F.max((F.col("tier") == "P0_CURATED").cast("int")).alias("curated"), F.bit_xor(F.xxhash64(item)).alias("x"), F.bit_xor(F.xxhash64(item, F.lit(1))).alias("y")
+    )
+    known = entries.select("keyword_id", "position", "dependent", F.least("anchors", F.lit(5)).alias("anchors")).join(sizes, "keyword_id")
+    same = ["n", "x", "y"]
+    heads = known.where("dependent").groupBy(*same).agg(F.min("keyword_id").alias("head"))
+    firsts = known.where("not dependent and anchors > 0").groupBy(*same, "anchors").agg(F.min_by("keyword_id", "position").alias("companion"), F.min("position").alias("position"), F.first("domains").alias("domains"), F.first("curated").alias("curated"))
+    best = firsts.groupBy(*same).agg(F.max_by(F.struct("companion", "position", "domains", "curated", "anchors"), "anchors").alias("c"))
+    companion = best.select("c.*", F.col("n").alias("companion_n"))
+    side = lambda df, name: bridge.select("item_idx", F.col("keyword_id").alias(name)).join(df.select(name), name, "left_semi")
+    shared = side(heads, "head").join(side(companion, "companion"), "item_idx").groupBy("head", "companion").agg(F.count("*").alias("shared"))
+    near = shared.join(heads.select("head", F.col("n").alias("head_n")), "head").join(companion, "companion")
+    overlap = F.col("shared") / (F.col("head_n") + F.col("companion_n") - F.col("shared"))
+    score = overlap * 100 + F.col("shared") * 8 + F.least("domains", F.lit(8)) * 2 + F.col("anchors") * 3 + F.col("curated") * 4
     enough = (F.col("shared") >= F.greatest(F.lit(1), F.least(F.lit(2), F.col("head_n")))) & (overlap >= F.when(F.col("head_n") <= 2, 0.35).otherwise(0.45))
-    near = shared.join(h, "head").join(c, "companion").where((F.col("text") != F.col("head_text")) & enough)
-    # Digits beyond those that sums of doubles agree in decide nothing; of equal scores the smallest position is largest here.
-    best = near.groupBy("head").agg(F.max(F.round(score, 9)).alias("best"))
-    return near.withColumn("score", F.round(score, 9)).join(best, "head").where("score = best").groupBy("head").agg(F.min_by("companion", "position").alias("companion"))
+    # Digits beyond those that sums of doubles agree in decide nothing.
+    scored = near.where(enough).withColumn("score", F.round(score, 9))
+    top = scored.groupBy("head").agg(F.max("score").alias("score"))
+    chosen = scored.join(top, ["head", "score"]).groupBy("head").agg(F.min_by("companion", "position").alias("companion"))
+    classes = heads.join(chosen, "head").drop("head")
+    return known.where("dependent").join(classes, same).select(F.col("keyword_id").alias("head"), "companion")
 
 
 def enrich_context(keywords: DataFrame, bridge: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
