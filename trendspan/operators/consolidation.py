@@ -90,13 +90,13 @@ def companions(entries: DataFrame, bridge: DataFrame) -> DataFrame:
 
     ``entries`` has ``position, keyword_id, keyword, dependent, anchors``. Keywords of exactly the same items (by count and two hashes of the set) are
     alike to anything by the same measure, so one of each such class stands for all: of companions the one with most anchors, the first of these.
-    Only items of heads and of keywords with anchors meet. Equally good companions go by position.
+    Only items of heads and of keywords with anchors meet. Equally good companions go by position. The session needs a checkpoint folder.
     """
     item = F.col("item_idx")
     sizes = bridge.groupBy("keyword_id").agg(
         F.count("*").alias("n"), F.count_distinct("domain").alias("domains"), F.max((F.col("tier") == "P0_CURATED").cast("int")).alias("curated"), F.bit_xor(F.xxhash64(item)).alias("x"), F.bit_xor(F.xxhash64(item, F.lit(1))).alias("y")
     )
-    known = entries.select("keyword_id", "position", "dependent", F.least("anchors", F.lit(5)).alias("anchors")).join(sizes, "keyword_id")
+    known = entries.select("keyword_id", "position", "dependent", F.least("anchors", F.lit(5)).alias("anchors")).join(sizes, "keyword_id").checkpoint()
     same = ["n", "x", "y"]
     heads = known.where("dependent").groupBy(*same).agg(F.min("keyword_id").alias("head"))
     firsts = known.where("not dependent and anchors > 0").groupBy(*same, "anchors").agg(F.min_by("keyword_id", "position").alias("companion"), F.min("position").alias("position"), F.first("domains").alias("domains"), F.first("curated").alias("curated"))
@@ -128,7 +128,7 @@ def enrich_context(keywords: DataFrame, bridge: DataFrame, generic: Sequence[str
     # Read seven times below, and dear to compute.
     rk.checkpoint_dir(keywords.sparkSession)
     entries = entries.checkpoint()
-    pairs = companions(entries, bridge)
+    pairs = companions(entries, bridge).checkpoint()
     plain = entries.where("not dependent").select(F.lit(0).alias("part"), "position", "keyword", "aliases", F.array("keyword_id").alias("ids"))
     heads = entries.where("dependent").join(pairs.withColumnRenamed("head", "keyword_id"), "keyword_id", "left")
     found = heads.where("companion is not null").alias("h").join(entries.alias("c"), F.col("h.companion") == F.col("c.keyword_id"))
@@ -138,7 +138,7 @@ def enrich_context(keywords: DataFrame, bridge: DataFrame, generic: Sequence[str
     joined = found.select(F.lit(1).alias("part"), "h.position", text.alias("keyword"), F.when(inside, F.concat("c.aliases", own, "h.aliases")).otherwise(F.concat("c.aliases", "h.aliases", own)).alias("aliases"), F.array("h.companion", "h.keyword_id").alias("ids"))
     strong = bridge.groupBy("keyword_id").agg(F.count("*").alias("n"), F.count_distinct("domain").alias("d")).where("n >= 4 and d >= 3")
     kept = heads.where("companion is null").join(strong, "keyword_id", "left_semi").select(F.lit(1).alias("part"), "position", "keyword", "aliases", F.array("keyword_id").alias("ids"))
-    rows = plain.unionByName(joined).unionByName(kept).withColumns({"key": F.lower("keyword"), "place": F.struct("part", "position")})
+    rows = plain.unionByName(joined).unionByName(kept).withColumns({"key": F.lower("keyword"), "place": F.struct("part", "position")}).checkpoint()
     names = rows.groupBy("key").agg(F.min_by("keyword", "place").alias("keyword"))
     spelled = rows.select("key", "place", F.posexplode("aliases").alias("at", "alias")).groupBy("key", "alias").agg(F.min(F.struct("place", "at")).alias("first"))
     listed = spelled.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "alias"))), lambda x: x["alias"]).alias("aliases"))
