@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendspan.functions import elements as el
 from trendspan.operators import ranking as rk
 from trendspan.operators.relational import first_per
 from trendspan.plans import ranking as rp
@@ -136,10 +137,10 @@ def json_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mp.aggregate_articles(files).select("doc_id", "title", "summary")
 
 
-@R.query(r"""SELECT page_id, trim(array_to_string(list_transform(regexp_extract_all(html, '(?s)<(?:h1|h2|p|code)(?:\s[^>]*)?>([^<].*?)</(?:h1|h2|p|code)>', 1), lambda x: trim(replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))), chr(10))) AS text FROM pages""")
+@R.query(r"""SELECT page_id, regexp_replace(array_to_string(list_transform(regexp_extract_all(html, '(?s)<(?:h1|h2|p|code)(?:\s[^>]*)?>([^<].*?)</(?:h1|h2|p|code)>', 1), lambda x: replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain text of pages for readers: headings, paragraphs and code that begin with text."""
-    return pages(spark, sf_dir).select("page_id", mp.page_text(F.col("html")).alias("text"))
+    """The plain text of pages for readers: headings, paragraphs and code that begin with text, over their tree of elements."""
+    return pages(spark, sf_dir).select("page_id", el.page_text(F.col("html")).alias("text"))
 
 
 @R.query("SELECT min(c_custkey) AS position, 'https://alerts.example.org/' || (c_custkey % 200) AS url, CASE WHEN min(c_custkey) % 2 = 0 THEN 'Alert ' || min(c_custkey) ELSE arg_min(c_name, c_custkey) END AS title, 'P1_CONTEXT' AS tier FROM customer WHERE c_custkey % 200 <> 7 GROUP BY 2")

@@ -209,12 +209,6 @@ def aggregate_articles(files: DataFrame, least: float = 0.5) -> DataFrame:
     return kept.withColumn("summary", F.concat(*(F.coalesce(m, F.lit("")) for m in more)))
 
 
-def page_text(html: Column) -> Column:
-    """The texts of a page's headings, paragraphs and code that begin with text, not markup, a line each."""
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<(h1|h2|p|code)(?:\s[^>]*)?>([^<].*?)</\1>"), 2)
-    return F.trim(F.array_join(F.transform(found, tx.strip_html), "\n"))
-
-
 def messages_with_links(posts: DataFrame) -> DataFrame:
     """Forwarded posts: the first short link outside quoted lines replaces the link."""
     plain = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit(">"))), "\n")
