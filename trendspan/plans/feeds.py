@@ -12,6 +12,7 @@ from trendspan.plans import store
 from trendspan.plans.registry import Registry
 from trendspan.sources import mappers as mp
 from trendspan.sources.tables import AS_OF_ITEMS, ITEMS_SQL, items, pages, table
+from trendspan.streaming import limits as lm
 from trendspan.streaming import views as sv
 
 R = Registry()
@@ -167,6 +168,33 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv.run_to_end(sv.limit_requests(sv.event_stream(spark, sf_dir)), spark, "limits").groupBy("viewer").agg(F.sum("allowed").alias("allowed"), F.sum("refused").alias("refused"))
 
 
+#: Paths by kind of event; the events of a month are taken as those of four minutes, so that limits are met.
+PATHS = {"view": "/api/v1/keywords/k/detail", "click": "/api/v1/trends/top", "purchase": "/api/v1/search", "signup": "/api/v1/keywords/views", "error": "/api/mcp/call"}
+_PATH_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in PATHS.items()) + " ELSE '/other' END"
+_RPM_SQL = "CASE " + " ".join(f"WHEN starts_with(path, '{p}') THEN {n}" for p, n in lm.LIMITS) + f" ELSE {lm.OTHERS} END"
+
+
+@R.query(f"""WITH RECURSIVE p AS (SELECT 'u' || (user_id % 10) AS ip, {_PATH_SQL} AS path, epoch_us(ts) // 10000000 AS ms FROM events),
+g AS (SELECT ip, array_to_string(string_split(path, '/')[1:4], '/') AS route, ms, {_RPM_SQL} AS rpm, count(*) AS c FROM p WHERE starts_with(path, '/api/') GROUP BY 1, 2, 3, 4),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ip, route ORDER BY ms, rpm) AS n FROM g),
+f AS (SELECT ip, route, n, ms AS start, 1 + least(c - 1, rpm - 1) AS count, 1 + least(c - 1, rpm - 1) AS allowed, c - 1 - least(c - 1, rpm - 1) AS refused FROM n WHERE n = 1
+UNION ALL SELECT n.ip, n.route, n.n, CASE WHEN ms - start >= 60000 THEN ms ELSE start END, CASE WHEN ms - start >= 60000 THEN 1 + least(c - 1, greatest(0, rpm - 1)) ELSE f.count + least(c, greatest(0, rpm - f.count)) END,
+ CASE WHEN ms - start >= 60000 THEN 1 + least(c - 1, greatest(0, rpm - 1)) ELSE least(c, greatest(0, rpm - f.count)) END, CASE WHEN ms - start >= 60000 THEN c - 1 - least(c - 1, greatest(0, rpm - 1)) ELSE c - least(c, greatest(0, rpm - f.count)) END
+ FROM f JOIN n ON n.ip = f.ip AND n.route = f.route AND n.n = f.n + 1)
+SELECT ip, route, CAST(sum(allowed) AS BIGINT) AS allowed, CAST(sum(refused) AS BIGINT) AS refused FROM f GROUP BY 1, 2""")
+def stream_route_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed and refused requests by client and route, each path under its own limit."""
+    lm.with_rocksdb(spark)
+    path = F.lit("/other")
+    for kind, p in PATHS.items():
+        path = F.when(F.col("event_type") == kind, p).otherwise(path)
+    raw = spark.readStream.schema(sv.EVENTS).parquet(f"{sf_dir}/events.parque[t]")
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 10_000_000)
+    requests = raw.select(F.concat(F.lit(" u"), (F.col("user_id") % 10).cast("string"), F.lit(", proxy")).alias("forwarded"), path.alias("path"), F.timestamp_millis(ms).alias("ts"))
+    found = sv.run_to_end(lm.limit_routes(requests), spark, "routes")
+    return found.groupBy("ip", "route").agg(F.sum("allowed").alias("allowed"), F.sum("refused").alias("refused"))
+
+
 @R.query("SELECT DISTINCT regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS link FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'fbclid'], string_split(p, '=')[1])) AS kept FROM pages)")
 def stream_page_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages as they land, each once."""
