@@ -60,6 +60,28 @@ def score(candidates: DataFrame, as_of: str, weights: dict[str, float] = sc.WEIG
     return candidates.withColumns({**{k: F.round(v, 4) for k, v in axes.items()}, "total": F.round(sc.total(axes, weights), 4)})
 
 
+def replay(stored: DataFrame, weights: dict[str, float] = sc.WEIGHTS) -> DataFrame:
+    """A stored snapshot's totals and ranks against those that its stored axes give: how many agree, and whose ranks don't.
+
+    ``stored`` has ``keyword_id, total, rank`` and the axes of a snapshot's few candidates.
+    """
+    again = stored.withColumn("replayed", F.round(sc.total({k: F.col(k) for k in weights}, weights), 4))
+    both = ranked_by(again, "replayed", ["keyword_id"], name="replayed_rank")
+    off = F.array_sort(F.collect_list(F.when(F.col("rank") != F.col("replayed_rank"), F.struct("rank", "keyword_id"))))
+    return both.agg(F.count("*").alias("compared"), F.count_if(F.col("total") == F.col("replayed")).alias("score_matches"), F.count_if(F.col("rank") == F.col("replayed_rank")).alias("rank_matches"), F.array_join(F.transform(off, lambda x: x["keyword_id"]), ",").alias("mismatches"))
+
+
+# The form of an id in a request, and how many count.
+ID_FORM, MOST_REQUESTED = "^[A-Za-z0-9_-]{1,128}$", 20
+
+
+def valid_ids(requests: DataFrame, by: Sequence[str], order: str, form: str = ID_FORM, most: int = MOST_REQUESTED) -> DataFrame:
+    """``by, id, place``: the first different, trimmed ids of each request that have the form."""
+    once = requests.withColumn("id", F.trim("id")).where(F.col("id").rlike(form)).groupBy(*by, "id").agg(F.min(order).alias("__first"))
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("__first", "id"))).where(F.col("place") <= most)
+    return placed.select(*by, "id", "place")
+
+
 def ranked_by(df: DataFrame, total: str, tie: Sequence[str], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1-based ranks by total; without ``by`` over the whole table, which has to be a snapshot's few candidates."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(total), *tie)))
