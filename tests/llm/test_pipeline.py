@@ -135,3 +135,35 @@ def test_pipeline_matches_a_plain_one(spark, tmp_path):
     assert [g[0] for g in got] == [w[0] for w in want]
     assert got == want
     assert 60 < len(got) < 120
+
+
+LONG = {c: " ".join(f"{c}{k}" for k in range(40)) for c in "abcd"}
+
+
+def staged(spark, stage, rows, sf_dir=""):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = stage(spark, df, sf_dir)
+    assert out.columns == df.columns
+    return sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
+
+
+def test_near_duplicates_go_row_by_row(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = LONG["a"], LONG["b"], LONG["c"]
+    drop = lambda *rows: staged(spark, cp.drop_near_duplicates, [(*r, "s") for r in rows])
+    assert drop((1, a), (2, a), (2, b)) == [(1, a, "s"), (2, b, "s")]
+    assert drop((1, a), (1, b), (2, c)) == [(1, a, "s"), (1, b, "s"), (2, c, "s")]
+    assert drop((1, a), (None, a)) == [(1, a, "s")]
+    assert drop((1, a), (None, a), (None, b)) == [(1, a, "s"), (None, b, "s")]
+    assert drop((None, a), (None, a), (3, b), (3, b), (None, None), (None, "")) in ([(3, b, "s"), (None, a, "s"), (None, None, "s")], [(3, b, "s"), (None, "", "s"), (None, a, "s")])
+    near = a.replace("a39", "x")
+    assert drop((5, near), (5, a), (4, None), (6, c)) in ([(4, None, "s"), (5, a, "s"), (6, c, "s")], [(4, None, "s"), (5, near, "s"), (6, c, "s")])
+
+
+def test_benchmark_copies_go_row_by_row(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, LONG["a"])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "x " + LONG["a"], "s"), (7, LONG["a"], "s"), (7, LONG["b"], "s"), (None, LONG["c"], "s"), (8, None, "s"), (8, "", "t")]
+    assert staged(spark, cp.drop_benchmark_copies, rows, str(tmp_path)) == sorted([rows[2], rows[3], rows[4], rows[5]], key=str)

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from trendspan.llm.shared import Scratch
 
+#: Of a set's rarest elements so many tell whether two sets met before.
+HEAD = 16
+
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -102,7 +105,9 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def rarest(sets: DataFrame, similarity: float) -> DataFrame:
-    """``id, component, n, element, i, short``: each set's elements that a set alike enough can have as its first in common.
+    """``id, component, n, element, i, j, short``: each set's elements that a set alike enough can have as its first in common.
+
+    ``i`` is an element's place in its set, ``j`` its place among those that other sets have as well.
 
     A set's elements are ordered by how few sets have them. Sets of n and m elements with Jaccard similarity s share at
     least s / (1 + s) * (n + m). So the first element in common is within the first n - s * n + 1 of either, and within
@@ -112,10 +117,10 @@ def rarest(sets: DataFrame, similarity: float) -> DataFrame:
     often = rows.groupBy("element").agg(F.count("*").alias("c")).where("c > 1")
     order = Window.partitionBy("id").orderBy("c", "element")
     # An element that no other set has comes first, and cannot be the one in common.
-    placed = rows.join(often, "element", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.row_number().over(order))
+    placed = rows.join(often, "element", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumns({"i": F.row_number().over(order), "j": F.sum((F.coalesce("c", F.lit(1)) > 1).cast("int")).over(order)})
     n, i = F.col("n"), F.col("i")
     first = placed.where((F.col("c") > 1) & (i <= n - F.ceil(n * similarity - 1e-9) + 1))
-    return first.select("id", "component", "n", "element", "i", (i <= n - F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9) + 1).alias("short"))
+    return first.select("id", "component", "n", "element", "i", "j", (i <= n - F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9) + 1).alias("short"))
 
 
 def set_components(scratch: Scratch, members: DataFrame, bucket: list[str], sets: DataFrame, similarity: float) -> DataFrame:
@@ -142,19 +147,25 @@ def set_components(scratch: Scratch, members: DataFrame, bucket: list[str], sets
         scratch.drop(links, keyed)
         return first
     scratch.release()
+    stored = keyed
+    # The rarest few of each set's elements: two sets that have some of these in common meet at the first of them only.
+    listed = F.array_sort(F.collect_list(F.struct("j", "element")))
+    heads = keyed.where(F.col("j") <= HEAD).groupBy("id").agg(F.transform(listed, lambda e: e["element"]).alias("head"))
+    keyed = keyed.join(heads, "id", "left").withColumn("head", F.coalesce("head", F.array().cast("array<long>")))
     # Of an element's pairs across components, at least one side is outside its main component.
-    x = keyed.where("component <> main").select("element", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "i", "short")))
-    y = keyed.select("element", "main", *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "i", "short")))
+    x = keyed.where("component <> main").select("element", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "i", "short", "head")))
+    y = keyed.select("element", "main", *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "i", "short", "head")))
     c = F.col
     enough = F.ceil((c("n_x") + c("n_y")) * (similarity / (1 + similarity)) - 1e-9)
     smaller = (c("short_x") & (c("n_x") <= c("n_y"))) | (c("short_y") & (c("n_y") <= c("n_x")))
     reach = F.least(c("n_x") - c("i_x"), c("n_y") - c("i_y")) + 1 >= enough
     across = (c("component_x") != c("component_y")) & ((c("component_y") == c("main")) | (c("id_x") < c("id_y")))
-    crossing = x.join(y, "element").where(smaller & reach & across)
+    met = F.array_intersect("head_x", "head_y")
+    crossing = x.join(y, "element").where(smaller & reach & across & ((F.size(met) == 0) | (F.get(met, F.lit(0)) == F.col("element"))))
     pairs = crossing.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     more = scratch.write(alike(pairs, sets, similarity), "crossing")
     out = first
     if not more.isEmpty():
         out = scratch.write(connected_components(scratch, links.unionByName(more)), "components")
-    scratch.drop(keyed, links, more)
+    scratch.drop(stored, links, more)
     return out
