@@ -164,6 +164,8 @@ def test_viewer_hash_is_hmac(spark):
 
     from trendspan.functions import keywords as kw
 
+    long = "s" * 100
+    assert one(spark, kw.viewer_hash(long, F.col("t")), t="v") == hmac.new(long.encode(), b"v", hashlib.sha256).hexdigest()
     assert one(spark, kw.viewer_hash("secret", F.col("t")), t="viewer é") == hmac.new(b"secret", "viewer é".encode(), hashlib.sha256).hexdigest()
     assert one(spark, kw.title_similarity(F.col("t"), F.lit("abcd")), t="abcx") == 0.75
     assert one(spark, kw.enriched(F.col("t"), F.lit("memory")), t="claude") == "claude memory"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 from collections.abc import Sequence
 
 import pandas as pd
@@ -147,10 +148,9 @@ def applied_delta(total: Column, delta: Column) -> Column:
 
 
 def viewer_hash(secret: str, viewer: Column) -> Column:
-    """HMAC-SHA256 of a viewer, by the definition of HMAC on SHA-256; the secret has 64 bytes at most."""
-    key = secret.encode().ljust(64, b"\0")
-    if len(key) > 64:
-        raise ValueError("the secret is longer than a block")
+    """HMAC-SHA256 of a viewer, by the definition of HMAC on SHA-256; a secret longer than a block of 64 bytes is hashed first."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (bytes(b ^ x for b in key) for x in (0x36, 0x5C))
     first = F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), F.encode(viewer, "UTF-8")), 256))
     return F.sha2(F.concat(F.lit(bytearray(outer)), first), 256)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendspan.functions import scoring as sc
-from trendspan.functions import text as tx
 from trendspan.functions import times as tm
 from trendspan.operators import automaton
 

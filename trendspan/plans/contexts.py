@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from trendspan.functions import elements as el
 from trendspan.operators import budgets as bd
 from trendspan.operators import changelogs as cl
+from trendspan.operators import localize as lc
 from trendspan.plans.registry import Registry
-from trendspan.sources.tables import AS_OF_ITEMS, ITEMS_SQL, items, table
+from trendspan.sources.tables import AS_OF_ITEMS, ITEMS_SQL, items, names, table
 
 R = Registry()
 
@@ -78,3 +79,40 @@ def summary_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     backgrounds = i.select("keyword_id", (-F.col("item_idx")).alias("place"), "title", F.col("summary").alias("snippet"), F.lit(None).cast("timestamp_ntz").alias("published_at"))
     texts = i.select("keyword_id", F.col("item_idx").alias("place"), "domain", F.col("body").alias("text"))
     return bd.contexts(keys, triggers, backgrounds, texts).select("keyword_id", F.sha2("message", 256).alias("message"))
+
+
+#: What some words of parts are called; colours and sizes have forms of their own only in some names.
+SAID = {"red": "빨간", "blue": "파란", "hot": "뜨거운", "ring": "고리", "bolt": "볼트", "gear": "기어"}
+NATURAL = {"Red Widget": "레드 위젯", "hot ring": "핫링"}
+_PAIRS = lambda d: ", ".join(f"('{k}', '{v}')" for k, v in d.items())
+
+
+@R.query(f"""WITH said AS (SELECT * FROM (VALUES {_PAIRS(SAID)}) t(word, localized)), nat AS (SELECT lower(form) AS low, localized FROM (VALUES {_PAIRS(NATURAL)}) t(form, localized)),
+k AS (SELECT p_partkey AS keyword_id, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' 모델' WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS keyword FROM part),
+w AS (SELECT keyword_id, unnest(string_split(lower(keyword), ' ')) AS word, unnest(range(len(string_split(keyword, ' ')))) AS at_ FROM k),
+c AS (SELECT keyword_id, string_agg(localized, ' ' ORDER BY at_) AS said FROM w LEFT JOIN said USING (word) GROUP BY 1 HAVING count(*) = count(localized)),
+a AS (SELECT k.*, nat.localized, c.said, CASE WHEN regexp_matches(keyword, '[가-힣]') THEN 'keep' WHEN nat.localized IS NOT NULL THEN 'natural' WHEN c.said IS NOT NULL THEN 'translate' ELSE 'keep' END AS action FROM k LEFT JOIN nat ON nat.low = lower(keyword) LEFT JOIN c USING (keyword_id))
+SELECT keyword_id, keyword, action, CASE action WHEN 'natural' THEN localized WHEN 'translate' THEN said ELSE keyword END AS localized FROM a""")
+def keyword_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How parts' names are shown: kept, under a form of their own, or put word by word."""
+    k = F.col("keyword_id")
+    text = F.when(k % 7 == 0, F.concat("keyword", F.lit(" 모델"))).when(k % 5 == 0, F.upper("keyword")).otherwise(F.col("keyword"))
+    natural = spark.createDataFrame(list(NATURAL.items()), "form string, localized string")
+    concepts = spark.createDataFrame(list(SAID.items()), "word string, localized string")
+    return lc.classify(names(spark, sf_dir).select("keyword_id", text.alias("keyword")), natural, concepts)
+
+
+@R.query("""WITH r AS (SELECT item_id // 20 AS batch, item_id AS position, CASE WHEN item_id % 4 = 0 THEN '제목 ' ELSE '' END || trim(substring(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 30 + item_id % 50)) AS title FROM benchmark),
+t AS (SELECT *, CASE WHEN position % 4 = 0 THEN 'en' ELSE 'ko' END AS target FROM r WHERE title <> ''),
+c AS (SELECT *, CAST(floor(coalesce(sum(length(title)) OVER (PARTITION BY batch, target ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 4 / sum(length(title)) OVER (PARTITION BY batch, target)) AS INTEGER) AS call FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY batch, target, call ORDER BY position) AS place, count(*) OVER (PARTITION BY batch, target, call) AS n FROM c)
+SELECT batch, position, target, call, CASE WHEN call = 3 OR (call = 2 AND place = n) THEN title ELSE upper(title) END AS localized FROM p""")
+def title_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles in four calls a language; of the third call's answers the last line is missing, the fourth one has none."""
+    k = F.col("item_id")
+    text = F.trim(F.expr("substring(regexp_replace(text, '[^A-Za-z]+', ' '), 1, cast(30 + item_id % 50 as int))"))
+    titles = table(spark, sf_dir, "benchmark").select(F.floor(k / 20).alias("batch"), k.alias("position"), F.concat(F.when(k % 4 == 0, "제목 ").otherwise(""), text).alias("title"))
+    calls = lc.title_calls(titles)
+    said = lc.prompts(calls).where("call < 3").withColumn("reply", F.upper("lines"))
+    replies = said.withColumn("reply", F.when(F.col("call") == 2, F.array_join(F.slice(F.split("reply", "\n"), F.lit(1), (F.col("n") - 1).cast("int")), "\n")).otherwise(F.col("reply")))
+    return lc.joined_answers(calls, replies).join(calls.select("batch", "position", "target", "call"), ["batch", "position"]).select("batch", "position", "target", "call", "localized")

@@ -98,16 +98,17 @@ def video_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(f"""{store.WITH}, v AS (SELECT keyword_id, count(*) AS n FROM views GROUP BY 1), t AS (SELECT keyword_id, row_number() OVER (ORDER BY n DESC, keyword_id) AS r FROM v),
-g AS (SELECT keyword_id FROM names WHERE size % 2 = 0) SELECT keyword_id, CASE WHEN r <= 20 THEN 'evergreen' ELSE 'replacement' END AS role FROM t WHERE (r <= 20 AND keyword_id IN (SELECT keyword_id FROM g)) OR (r BETWEEN 21 AND 50 AND keyword_id NOT IN (SELECT keyword_id FROM g))""")
+g AS (SELECT keyword_id FROM names WHERE size % 2 = 0) SELECT keyword_id, CASE WHEN r <= 20 THEN 'evergreen' ELSE 'replacement' END AS role FROM t WHERE (r <= 20 AND keyword_id IN (SELECT keyword_id FROM g)) OR (r > 20 AND keyword_id NOT IN (SELECT keyword_id FROM g))""")
 def evergreen_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the top twenty those that are evergreen, and what could stand in for them."""
     from trendspan.sources.tables import names, views
 
-    top = views(spark, sf_dir).groupBy("keyword_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword_id").limit(50)
-    placed = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "keyword_id")))
+    counted = views(spark, sf_dir).where("keyword_id is not null").groupBy("keyword_id").agg(F.count("*").alias("n"))
+    # Only the first twenty need their places; whatever comes behind them can stand in.
+    top = counted.orderBy(F.desc("n"), "keyword_id").limit(20).select("keyword_id")
     green = names(spark, sf_dir).where("size % 2 = 0").select("keyword_id")
-    old = placed.where("r <= 20").join(green, "keyword_id", "left_semi").select("keyword_id", F.lit("evergreen").alias("role"))
-    return old.unionByName(placed.where("r > 20").join(green, "keyword_id", "left_anti").select("keyword_id", F.lit("replacement").alias("role")))
+    old = top.join(green, "keyword_id", "left_semi").select("keyword_id", F.lit("evergreen").alias("role"))
+    return old.unionByName(counted.join(top, "keyword_id", "left_anti").join(green, "keyword_id", "left_anti").select("keyword_id", F.lit("replacement").alias("role")))
 
 
 @R.query("""WITH f AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'protected' ELSE 'noise' END AS kind, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 30 + 1 END AS before, CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey * 7) % 30 + 1 END AS after FROM part)

@@ -18,23 +18,23 @@ from trendspan.streaming import views as sv
 R = Registry()
 
 
-@R.query(f"""WITH {ITEMS_SQL} SELECT item_idx, trim(regexp_replace(substr(title, 1, 30), '[<>&\\n]', ' ', 'g')) AS title, 'https://www.' || domain || '.example.com/a?b=1&c=' || item_idx AS link, published_at, domain || '.example.com' AS source_domain
-FROM items WHERE published_at > TIMESTAMP '{AS_OF_ITEMS}' - INTERVAL 72 HOUR AND length(trim(regexp_replace(substr(title, 1, 30), '[<>&\\n]', ' ', 'g'))) > 0""")
+@R.query(f"""WITH {ITEMS_SQL} SELECT item_idx, trim(regexp_replace(title, '[<>&\\n]', ' ', 'g')) AS title, 'https://www.' || domain || '.example.com/a?b=1&c=' || item_idx AS link, published_at, domain || '.example.com' AS source_domain
+FROM items WHERE published_at > TIMESTAMP '{AS_OF_ITEMS}' - INTERVAL 72 HOUR AND length(trim(regexp_replace(title, '[<>&\\n]', ' ', 'g'))) > 0""")
 def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items written as RSS with a bare ampersand in the link, repaired and parsed again, within a window."""
     i = items(spark, sf_dir)
-    title = F.regexp_replace(F.substring("title", 1, 30), r"[<>&\n]", " ")
+    title = F.regexp_replace("title", r"[<>&\n]", " ")
     link = F.concat(F.lit("https://www."), "domain", F.lit(".example.com/a?b=1&c="), F.col("item_idx").cast("string"))
     xml = F.concat(F.lit("<rss><channel><item><title><![CDATA["), title, F.lit("]]></title><link>"), link, F.lit("</link><pubDate>"), F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item></channel></rss>"))
     parsed = mp.rss_entries(i.select("item_idx", xml.alias("xml")))
     return mp.in_window(parsed, AS_OF_ITEMS, 72).select("item_idx", F.trim("title").alias("title"), tx.strip_html(F.col("link")).alias("link"), "published_at", "source_domain")
 
 
-@R.query("""SELECT item_id, 'Link ' || item_id || ' of a digest' AS title, 'https://news' || (item_id % 9) || '.example.org/' || item_id AS link FROM benchmark UNION ALL SELECT item_id, substr(regexp_replace(text, '[\\[\\]\\n]', ' ', 'g'), 1, 20), 'https://b.example.org/x' FROM benchmark""")
+@R.query("""SELECT item_id, 'Link ' || item_id || ' of a digest' AS title, 'https://news' || (item_id % 9) || '.example.org/' || item_id AS link FROM benchmark UNION ALL SELECT item_id, regexp_replace(text, '[\\[\\]\\n]', ' ', 'g'), 'https://b.example.org/x' FROM benchmark WHERE length(text) >= 5""")
 def digest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of a markdown digest; short titles and social sites are left out."""
     n = F.col("item_id").cast("string")
-    title = F.substring(F.regexp_replace("text", r"[\[\]\n]", " "), 1, 20)
+    title = F.regexp_replace("text", r"[\[\]\n]", " ")
     md = F.concat(F.lit("| [Link "), n, F.lit(" of a digest](https://news"), (F.col("item_id") % 9).cast("string"), F.lit(".example.org/"), n, F.lit(") | [x](https://a.example.org) | [Some social post](https://x.com/1) | ["), title, F.lit("](https://b.example.org/x) |"))
     return mp.markdown_links(table(spark, sf_dir, "benchmark").select("item_id", md.alias("text")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspan.functions import scoring as sc
@@ -180,11 +180,11 @@ def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(f"""{BRIDGE_SQL}, c AS (SELECT DISTINCT keyword_id, domain FROM bridge JOIN items USING (item_idx)), hot AS (SELECT keyword_id, sum(points + 2 * comments) AS heat FROM bridge JOIN items USING (item_idx) GROUP BY 1)
-SELECT keyword_id, CAST(count(*) AS BIGINT) AS domains, max(heat) >= 300000 AS is_hot FROM c JOIN hot USING (keyword_id) GROUP BY 1""")
+SELECT keyword_id, CAST(count(*) AS BIGINT) AS domains, max(heat) >= 300 AS is_hot FROM c JOIN hot USING (keyword_id) GROUP BY 1""")
 def high_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords whose items' points and comments reach a threshold."""
+    """Keywords whose items' points and comments reach 300."""
     rows = bridge(spark, sf_dir)
-    return rows.groupBy("keyword_id").agg(F.count_distinct("domain").alias("domains"), (F.sum(F.col("points") + 2 * F.col("comments")) >= 300000).alias("is_hot"))
+    return rows.groupBy("keyword_id").agg(F.count_distinct("domain").alias("domains"), (F.sum(F.col("points") + 2 * F.col("comments")) >= 300).alias("is_hot"))
 
 
 # --- policies over candidates that cover every branch -------------------------------------------------------------

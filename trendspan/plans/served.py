@@ -10,12 +10,12 @@ from trendspan.functions import scoring as sc
 from trendspan.functions import text as tx
 from trendspan.functions import urls as ur
 from trendspan.operators import consolidation as co
-from trendspan.operators.relational import best_of, first_per, keep_after, upsert
+from trendspan.operators.relational import best_of, keep_after, upsert
 from trendspan.plans import ranking as rp
 from trendspan.plans import store
 from trendspan.plans.registry import Registry
 from trendspan.plans.texts import CAMEL, SUFFIXED, suffixed, surface_sql
-from trendspan.sources.tables import AS_OF_SNAPSHOTS, AS_OF_VIEWS, keywords, names, pages, snapshots, table, views
+from trendspan.sources.tables import AS_OF_SNAPSHOTS, keywords, names, pages, snapshots, table, views
 
 R = Registry()
 
