@@ -25,7 +25,6 @@ row counts by itself, also where ids or rows repeat; extra columns are passed ov
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
