@@ -179,4 +179,48 @@ def focus_score(body: Column, focus: Sequence[str], no_focus: Sequence[str]) ->
 
 def exact_query(keyword: Column) -> Column:
     """A search for the keyword as a phrase, unless it is one word or quoted already."""
-    return F.when(F.contains(keyword, F.lit(" ")) & ~F.startswith(keyword, F.lit('"')), F.concat(F.lit('"'), keyword, F.lit('"'))).otherwise(keyword)
+    k = F.trim(keyword)
+    quoted = F.startswith(k, F.lit('"')) & F.endswith(k, F.lit('"'))
+    return F.when(~quoted & F.contains(k, F.lit(" ")), F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+
+
+# What each kind of search asks for besides the keyword.
+NEWS_WORDS = "(news OR blog OR analysis OR article OR interview)"
+SOCIAL_SITES = "(site:threads.net OR site:reddit.com OR site:dev.to OR site:x.com OR site:twitter.com OR site:facebook.com OR site:clien.net)"
+DATA_SITES = "(site:youtube.com OR site:youtu.be OR site:docs.google.com OR site:drive.google.com OR site:arxiv.org OR site:openreview.net OR filetype:pdf OR dataset OR research paper OR benchmark)"
+
+
+def search_queries(keyword: Column, terms: Column) -> Column:
+    """The searches for a keyword: news, social, data and broad. ``terms`` tell it from its namesakes; searches for data go without them."""
+    exact = exact_query(keyword)
+    told = F.when(F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0, F.concat(exact, F.lit(" "), F.array_join(terms, " "))).otherwise(exact)
+    with_words = lambda q, words: F.concat(q, F.lit(" " + words))
+    return F.struct(with_words(told, NEWS_WORDS).alias("news"), with_words(told, SOCIAL_SITES).alias("social"), with_words(exact, DATA_SITES).alias("data"), told.alias("broad"))
+
+
+def range_start(now: Column, time_range: Column) -> Column:
+    """Where a search's range starts: a day, a week, or thirty days before now."""
+    days = F.when(time_range == "day", 1).when(time_range == "week", 7).otherwise(30)
+    return now - F.make_dt_interval(days=days)
+
+
+# How insights are put, in the order of their fields.
+INSIGHTS = {
+    "why_it_matters": "이 소식이 중요한 이유는 {value}",
+    "key_evidence": "구체적 근거로 {value}",
+    "who_should_care": "특히 {value}에게 직접적인 도움이 됩니다",
+    "next_action": "이후에는 {value}",
+    "comparison": "경쟁 대비 차별점은 {value}",
+}
+
+
+def insight_lines(insights: dict[str, Column], seed: Column, most: int = 3) -> Column:
+    """Up to three of an article's insights as sentences, chosen and ordered by a hash of its seed and the field, between line feeds; empty without any."""
+    rows = []
+    for field, value in insights.items():
+        before, after = INSIGHTS.get(field, "{value}").split("{value}")
+        text = F.trim(F.concat(F.lit(before), value, F.lit(after)))
+        ended = F.when(F.endswith(text, F.lit("다.")) | F.endswith(text, F.lit("다")), text).otherwise(F.concat(F.regexp_replace(text, r"\.+$", ""), F.lit(".")))
+        rows.append(F.when(F.coalesce(value, F.lit("")) != "", F.struct(F.md5(F.concat(seed, F.lit("-" + field))).alias("place"), ended.alias("text"))))
+    chosen = F.slice(F.array_sort(F.array_compact(F.array(*rows))), 1, most)
+    return F.when(F.size(chosen) > 0, F.concat(F.lit("\n"), F.array_join(F.transform(chosen, lambda r: r["text"]), "\n"), F.lit("\n"))).otherwise("")

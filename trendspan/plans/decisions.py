@@ -116,3 +116,26 @@ def podcast_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("item_id")
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.when(k % 2 == 0, "ready").otherwise("draft").alias("status"), (k % 30).alias("source_count"), F.when(k % 5 != 0, "https://a/x.mp3").otherwise("http://a/x.mp3").alias("audio_url"))
     return mp.valid_episodes(rows).select("item_id", F.col("source_count").alias("sources"))
+
+
+@R.query(f"""WITH k AS (SELECT p_partkey AS keyword_id, CASE WHEN p_partkey % 4 = 0 THEN '"' || p_name || '"' WHEN p_partkey % 4 = 1 THEN '"' || p_name || '"' WHEN p_partkey % 4 = 2 THEN string_split(p_name, ' ')[2] ELSE '"' || p_name || '"' END AS exact, CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type || ' ' || p_brand ELSE '' END AS terms, p_partkey % 3 AS r FROM part)
+SELECT keyword_id, exact || terms || ' {kw.NEWS_WORDS}' AS news, exact || terms || ' {kw.SOCIAL_SITES}' AS social, exact || ' {kw.DATA_SITES}' AS data, exact || terms AS broad, TIMESTAMP '2024-01-31' - to_days(CASE r WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 30 END) AS start FROM k""")
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four searches for each part, and where their range starts."""
+    k = F.col("keyword_id")
+    text = F.when(k % 4 == 0, F.concat(F.lit('"'), "keyword", F.lit('"'))).when(k % 4 == 2, F.get(F.split("keyword", " "), F.lit(1))).otherwise(F.concat(F.lit(" "), "keyword"))
+    terms = F.when(k % 3 == 0, F.array("alias", "family"))
+    start = kw.range_start(F.lit("2024-01-31").cast("timestamp_ntz"), F.when(k % 3 == 0, "day").when(k % 3 == 1, "week").otherwise("month"))
+    return names(spark, sf_dir).select("keyword_id", kw.search_queries(text, terms).alias("q"), start.alias("start")).select("keyword_id", "q.*", "start")
+
+
+@R.query("""WITH d AS (SELECT doc_id, unnest(['why_it_matters', 'key_evidence', 'who_should_care', 'next_action', 'comparison']) AS f, unnest(['이 소식이 중요한 이유는 a' || doc_id || '.', '구체적 근거로 근거입니다.', '특히 c' || doc_id || '에게 직접적인 도움이 됩니다', '이후에는 d' || doc_id || '.', '경쟁 대비 차별점은 e' || doc_id || '.']) AS t, unnest([doc_id % 2 = 0, doc_id % 3 = 0, doc_id % 2 = 1, doc_id % 5 = 0, doc_id % 7 = 0]) AS there FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '-' || f)) AS n FROM d WHERE there)
+SELECT doc_id, chr(10) || string_agg(t, chr(10) ORDER BY n) || chr(10) AS lines FROM r WHERE n <= 3 GROUP BY 1""")
+def insight_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of each article's insights as sentences."""
+    k = F.col("doc_id")
+    s = k.cast("string")
+    when = lambda ok, letter: F.when(ok, F.concat(F.lit(letter), s))
+    insights = {"why_it_matters": F.when(k % 2 == 0, F.concat(F.lit("a"), s, F.lit("."))), "key_evidence": F.when(k % 3 == 0, "근거입니다."), "who_should_care": when(k % 2 == 1, "c"), "next_action": when(k % 5 == 0, "d"), "comparison": when(k % 7 == 0, "e")}
+    return table(spark, sf_dir, "documents").select("doc_id", kw.insight_lines(insights, s).alias("lines")).where("lines <> ''")
