@@ -12,8 +12,8 @@ from trendspan.functions import urls as ur
 from trendspan.operators.consolidation import tier_rank
 from trendspan.operators.relational import first_per
 
-# Sources that a quality decision looks at, articles of an event's context, characters of their snippets.
-SOURCES, ARTICLES, SNIPPET = 5, 5, 300
+# Sources that a quality decision looks at, articles of an event's context.
+SOURCES, ARTICLES = 5, 5
 # Insights that have to be there, and how long each has to be; the shortest summary.
 FILLED, INSIGHT_CHARS, SUMMARY_CHARS = 2, 15, 200
 

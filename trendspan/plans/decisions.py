@@ -139,3 +139,20 @@ def insight_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = lambda ok, letter: F.when(ok, F.concat(F.lit(letter), s))
     insights = {"why_it_matters": F.when(k % 2 == 0, F.concat(F.lit("a"), s, F.lit("."))), "key_evidence": F.when(k % 3 == 0, "근거입니다."), "who_should_care": when(k % 2 == 1, "c"), "next_action": when(k % 5 == 0, "d"), "comparison": when(k % 7 == 0, "e")}
     return table(spark, sf_dir, "documents").select("doc_id", kw.insight_lines(insights, s).alias("lines")).where("lines <> ''")
+
+
+@R.query("""WITH a AS (SELECT p_partkey AS query, unnest([0, 1, 2, 3]) AS place FROM part), k AS (SELECT *, (query * 7 + place * 3) % 5 AS c FROM a),
+d AS (SELECT query, min(place) FILTER (WHERE c > 1 AND place < 3) AS place FROM k GROUP BY 1), o AS (SELECT d.query, k.c FROM d LEFT JOIN k USING (query, place))
+SELECT query, CASE WHEN c = 4 THEN 'first' ELSE 'fallback' END AS provider, CASE WHEN c = 4 THEN 't' ELSE 'f' END || query AS title, 'n.example.org' AS domain FROM o WHERE c = 4 OR query % 3 <> 0""")
+def pooled_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches over a pool of keys: spent and throttled ones pass on, a query without results falls back."""
+    result = "array<struct<title:string,url:string,content:string,published_at:string>>"
+    one = lambda letter, q: F.array(F.struct(F.concat(F.lit(letter), q.cast("string")).alias("title"), F.lit("https://www.n.example.org/x").alias("url"), F.lit("text").alias("content"), F.lit(None).cast("string").alias("published_at"))).cast(result)
+    q = F.col("query")
+    rows = names(spark, sf_dir).select(F.col("keyword_id").alias("query"), F.explode(F.array(*map(F.lit, range(4)))).alias("place"))
+    c = (q * 7 + F.col("place") * 3) % 5
+    status = F.when(c == 0, 429).when(c == 2, 500)
+    message = F.when(c == 1, "Your plan quota is exceeded").when(c == 2, "broken").when(c == 0, "slow down")
+    attempts = rows.select("query", "place", status.alias("status"), message.alias("message"), F.when(c == 3, F.array().cast(result)).otherwise(one("t", q)).alias("results"))
+    fallback = names(spark, sf_dir).where("keyword_id % 3 <> 0").select(F.col("keyword_id").alias("query")).select("query", one("f", q).alias("results"))
+    return mp.pooled_results(attempts, fallback, 3).select("query", "provider", "title", "domain")

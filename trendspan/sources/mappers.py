@@ -279,6 +279,36 @@ def web_results(rows: DataFrame) -> DataFrame:
     return rows.where("url is not null and url <> ''").select(blank("title").alias("title"), "url", blank("text").alias("content"), F.col("published").alias("published_at"))
 
 
+# How a search's failure tells that a key's quota is spent, or that it asked too often; characters of a snippet.
+QUOTA_WORDS = ["quota", "credit", "billing", "insufficient", "exceeded"]
+RATE_WORDS = ["rate limit", "ratelimit", "too many requests", "throttle"]
+SEARCH_SNIPPET = 120
+
+
+def failure_kind(status: Column, message: Column) -> Column:
+    """``quota``, ``rate_limit`` or ``other`` for a failed search, null for one that went through (neither status nor message)."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    kind = F.when(tx.contains_any(text, QUOTA_WORDS), "quota").when((F.coalesce(status, F.lit(0)) == 429) | tx.contains_any(text, RATE_WORDS), "rate_limit").otherwise("other")
+    return F.when(status.isNotNull() | message.isNotNull(), kind)
+
+
+def pooled_results(attempts: DataFrame, fallback: DataFrame, most_keys: int = 2) -> DataFrame:
+    """``query, provider, title, url, domain, snippet, published_at``: what a search over a pool of keys comes to.
+
+    ``attempts`` has ``query, place, status, message, results``: a query's attempts by key, of which the first ``most_keys`` count. Spent and throttled keys
+    pass the query on; the first other attempt decides, and one that failed gives nothing. A query without results takes those of ``fallback`` (``query, results``).
+    """
+    judged = attempts.withColumn("kind", failure_kind(F.col("status"), F.col("message")))
+    ranked = judged.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("__n") <= most_keys)
+    passed_on = F.coalesce(F.col("kind").isin("quota", "rate_limit"), F.lit(False))
+    decided = ranked.where(~passed_on).groupBy("query").agg(F.min_by(F.struct("kind", "results"), "__n").alias("a"))
+    own = decided.where(F.col("a.kind").isNull() & (F.size("a.results") > 0)).select("query", F.lit("first").alias("provider"), F.col("a.results").alias("results"))
+    asked = attempts.select("query").distinct().join(own.select("query"), "query", "left_anti")
+    other = asked.join(fallback, "query").select("query", F.lit("fallback").alias("provider"), "results")
+    rows = own.unionByName(other).select("query", "provider", F.inline("results"))
+    return rows.select("query", "provider", "title", "url", ur.host(F.col("url")).alias("domain"), F.substring(F.coalesce("content", F.lit("")), 1, SEARCH_SNIPPET).alias("snippet"), "published_at")
+
+
 def configured_feeds(feeds: DataFrame) -> DataFrame:
     """Alert feeds ``position, url, title, tier, lang`` fit for use: with a URL, each URL once, blanks filled in."""
     rows = feeds.withColumn("url", F.trim("url")).where("url rlike '^https?://'")
