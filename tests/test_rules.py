@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,30 @@ def test_alike_titles_are_all_found(spark):
     assert got == want and len(want) > 60
 
 
+def test_alike_titles_of_any_length_and_script(spark):
+    rng = random.Random(5)
+    some = titles(rng, 60) + ["".join(rng.choice("새모델출시ab ") for _ in range(n)).strip() for n in (1, 2, 9, 63, 64, 65, 66, 130, 250)]
+    for t in list(some):
+        at = rng.randrange(len(t) + 1)
+        some.append(t[:at] + rng.choice("xz새") + t[at + 1 :])
+    some = list(dict.fromkeys(some))
+    want = {(a, b) for a, b in itertools.combinations(range(len(some)), 2) if difflib.SequenceMatcher(None, some[a], some[b]).ratio() >= 0.85}
+    df = spark.createDataFrame([*enumerate(some), (-1, "")], "position long, key string")
+    assert {(r.x, r.y) for r in co.alike_titles(df, 0.85).collect()} == want and len(want) > 50
+
+
+def test_alike_titles_of_common_syllables_in_time(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["the", "er", "an", "on", "ti", "ing", "ha", "ed"]) for _ in range(rng.randint(1, 4)))
+    some = list(dict.fromkeys(" ".join(word() for _ in range(10))[:60].strip() for _ in range(3000)))
+    made = [t[:20] + "x" + t[21:] for t in some[:300]]
+    began = time.monotonic()
+    got = {(r.x, r.y) for r in co.alike_titles(spark.createDataFrame(list(enumerate(some + made)), "position long, key string"), 0.85).collect()}
+    # Nearly all pairs share rare pairs of characters, so comparing candidates by these took more than ten times as long.
+    assert time.monotonic() - began < 90
+    assert {(i, len(some) + i) for i in range(300)} <= got
+
+
 def test_dedup_keeps_the_best(spark):
     rng = random.Random(4)
     rows = []

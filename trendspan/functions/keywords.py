@@ -156,10 +156,15 @@ def viewer_hash(secret: str, viewer: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer)), first), 256)
 
 
+def similarity(a: str | None, b: str | None) -> float:
+    """Ratcliff-Obershelp similarity of two normal titles. A null or empty one is like none."""
+    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two normal titles; Spark has no function for it. A null or empty one is like none."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    """The same of two columns; Spark has no function for it."""
+    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def valid_image(url: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspan.functions import keywords as kw
@@ -16,6 +16,7 @@ from trendspan.functions import text as tx
 from trendspan.functions import urls as ur
 from trendspan.operators import ranking as rk
 from trendspan.operators.relational import first_per
+from trendspan.operators.titles import alike_titles
 
 # Fixed value: tiers from best to worst.
 TIER_ORDER = ["P0_CURATED", "P1_CONTEXT", "P2_RAW", "COMMUNITY"]
@@ -207,34 +208,6 @@ def dedup_articles(articles: DataFrame, threshold: float = 0.85) -> DataFrame:
     return plain.unionByName(one.join(stays, "position", "left_semi"))
 
 
-def alike_titles(titles: DataFrame, threshold: float) -> DataFrame:
-    """``x, y`` of titles ``position, key`` alike by ``threshold`` or more: twice the matching characters over all.
-
-    Matching characters lie in blocks, and between two blocks there is a character without a match. So titles of n and m
-    characters have at least (1.5 * threshold - 1) * (n + m) - 1 adjacent pairs of characters in common, and one of them
-    is among the rarest of both. Titles are joined by these; every pair that is alike is found.
-    """
-    n = F.length("key")
-    spread = titles.select("position", "key", n.alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("at"))
-    grams = spread.select("position", "n", F.substring("key", F.col("at"), F.lit(2)).alias("gram")).groupBy("position", "n", "gram").agg(F.count("*").alias("c"))
-    # The k-th occurrence of a pair of characters is an element of its own, so multisets are sets.
-    elements = grams.select("position", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k")).select("position", "n", F.concat_ws("#", "gram", "k").alias("e"))
-    often = elements.groupBy("e").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("position").orderBy("c", "e")
-    ranked = elements.join(often, "e").withColumn("i", F.row_number().over(w))
-    # The other title has at least threshold / (2 - threshold) times as many characters.
-    least = F.greatest(F.ceil((3 * threshold - 2) / (2 - threshold) * F.col("n") - 1 - 1e-9), F.lit(1))
-    first = ranked.where(F.col("i") <= F.greatest(F.col("n") - least, F.lit(1)))
-    a = first.select("e", F.col("position").alias("x"), F.col("n").alias("nx"))
-    b = first.select("e", F.col("position").alias("y"), F.col("n").alias("ny"))
-    # Lengths too far apart cannot be alike.
-    sized = F.least("nx", "ny") * 2 >= threshold * (F.col("nx") + F.col("ny"))
-    pairs = a.join(b, "e").where((F.col("x") < F.col("y")) & sized).select("x", "y").distinct()
-    k = lambda c: titles.select(F.col("position").alias(c), F.col("key").alias(f"k{c}"))
-    both = pairs.join(k("x"), "x").join(k("y"), "y")
-    return both.where(kw.title_similarity(F.col("kx"), F.col("ky")) >= threshold).select("x", "y")
-
-
 def losers(titles: DataFrame, pairs: DataFrame) -> DataFrame:
     """``position`` of the titles that lose against a better one that stays. A checkpoint a round."""
     rk.checkpoint_dir(titles.sparkSession)
