@@ -30,6 +30,7 @@ PAGES = [
     ("</p><p>stray</p>", ["stray"]),
     ("plain", []),
     ("<P CLASS='a'>Upper</P>", ["Upper"]),
+    ("<h1>cut &amp</h1><p>&am &notit; AT&T & &lt;&#39;&#x41;&quot;</p>", ["cut &amp", "&am &notit; AT&T & <'A\""]),
 ]
 
 
