@@ -90,3 +90,14 @@ def test_recent_videos_hide_copies(spark):
     got = an.recent_videos(manual, collected, ["longform", "unknown"], 5)
     assert sorted((r.origin, r.order, r.video_id) for r in got.collect())[:2] == [(0, 1, "a"), (0, 3, "")]
     assert {r.video_id for r in got.collect()} == {"a", "", "e", "d", "c"}
+
+
+def test_a_copied_title_is_no_snippet_behind_it(spark, tmp_path):
+    from trendspan.plans import ranking, served
+
+    rows = [(1, "That one. And the\nrest", "en", "a.com", 21), (2, "Of the that", "en", "a.com", 11), (3, "License given by MIT", "en", "a.com", 20), (4, None, None, None, None), (5, "An MIT license", "en", "a.com", 14), (6, "MITA licenses", "en", "a.com", 13)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.item_idx: r.quality for r in ranking.source_quality(spark, str(tmp_path)).collect()}
+    assert got == {1: 0.46, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
+    kept = [r.doc_id for r in served.relevant_sources(spark, str(tmp_path)).where("keyword = 'MIT License'").collect()]
+    assert sorted(kept) == [3, 5, 6]  # both words count for as much as 0.46
