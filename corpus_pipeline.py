@@ -48,6 +48,7 @@ def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents alike by 0.8 or more in 5-word shingles the one with the smallest id stays.
 
+    Candidates are pairs of near SimHash fingerprints (see ``near_copies``), and what those pass by the bands of MinHash.
     Rows are told apart by their number, whatever their ids: one without an id stays only where its group has none, and of
     rows with equal ids that of the smaller hash of its text, then the first one.
     """

@@ -114,3 +114,24 @@ def test_near_duplicate_stage_goes_by_the_similarity_of_five_words(spark):
     assert len(kept & copies) <= 0.02 * len(copies)
     assert others <= kept and 9000 in kept and 9001 not in kept and None not in kept
     assert cp.drop_near_duplicates(spark, df.where("false"), "").collect() == []
+
+
+def test_near_duplicate_stage_has_near_fingerprints_as_candidates(spark):
+    from trendspan.llm import near_copies as nc
+    from trendspan.llm.simhash import RADIUS, fingerprint
+
+    rng = random.Random(9)
+    docs = []
+    for k in range(40):
+        words = ["w%d" % rng.randrange(4000) for _ in range(300)]
+        docs.append((3 * k, " ".join(words)))
+        for j in (1, 2):
+            words[rng.randrange(300)] = "x"
+            docs.append((3 * k + j, " ".join(words)))
+    keys = {r.doc_id: r["keys"] for r in nc.signatures(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    prints = {i: fingerprint(t) for i, t in docs}
+    near = [(a, b) for a, b in itertools.combinations(prints, 2) if bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= RADIUS]
+    assert len(near) > 40
+    tables = len(nc.MASKS)
+    assert all(any(x == y for x, y in zip(keys[a][:tables], keys[b][:tables], strict=True)) for a, b in near)
+    assert all(len(k) == tables + nc.FINE_BANDS for k in keys.values())

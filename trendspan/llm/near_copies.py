@@ -1,9 +1,11 @@
-"""Near copies of documents: MinHash bands as candidates, exact Jaccard similarity of 5-word shingles, components.
+"""Near copies of documents: SimHash by covering tables, with an exact check: Jaccard similarity of 5-word shingles; components.
 
 ``op7_simhash`` has fixed parameters and links by fingerprints only; this is for a stage that has to find documents
-alike by ``SIMILARITY`` or more, and to link no others. Words are as in ``simhash``. Documents of equal words are one
-member. Every member has ``FINE_BANDS`` bands of ``FINE_ROWS`` values (see ``passages``): two documents share a bucket
-with probability 0.988 at similarity 0.8, 0.999 at 0.85 and 1 - 1e-6 at 0.9. Pairs that share one are compared by their
+alike by ``SIMILARITY`` or more, and to link no others. Words and fingerprints are as in ``simhash``. Documents of equal
+words are one member. Every member is in a bucket of each covering table, so members whose fingerprints differ in at most
+``RADIUS`` bits share one. Fingerprints alone pass many copies alike by 0.8 to 0.95; for these a member is in the buckets of
+``FINE_BANDS`` MinHash bands of ``FINE_ROWS`` values as well (see ``passages``): two documents share one of these
+with probability 0.988 at similarity 0.8, 0.999 at 0.85 and 1 - 1e-6 at 0.9. Pairs that share a bucket are compared by their
 exact similarity, and the components of the links found are the groups; see ``links`` for hot buckets.
 
 Edge cases: null, empty and blank texts are equal to each other; texts of fewer than five words are alike only if equal;
@@ -25,6 +27,7 @@ from trendspan.llm.links import set_components
 from trendspan.llm.passages import BANDS, FINE_BANDS, FINE_ROWS, ROWS, SIMILARITY, _WordHashes, band_keys, shingle_hashes
 from trendspan.llm.pieces import slices
 from trendspan.llm.shared import BROADCAST_IDS, Scratch
+from trendspan.llm.simhash import RADIUS, covering_masks, fingerprint
 
 
 def _shingles(cache: _WordHashes, text: str | None) -> tuple[int, np.ndarray]:
@@ -35,6 +38,17 @@ def _shingles(cache: _WordHashes, text: str | None) -> tuple[int, np.ndarray]:
     return uid, np.unique(shingle_hashes(hashes, np.array([len(hashes)]))[0])
 
 
+#: The covering tables' masks; tables are told apart by what is added to their keys.
+MASKS = np.array(covering_masks(RADIUS), dtype=np.int64).view(np.uint64)
+TABLES = np.arange(1, len(MASKS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def table_keys(prints: np.ndarray) -> np.ndarray:
+    """The bucket keys of signed fingerprints, a row each: one for each covering table."""
+    keys = ((prints.view(np.uint64)[:, None] & MASKS) ^ TABLES) * np.uint64(0xD6E8FEB86659FD93)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
+
+
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, uid, keys`` for each row: the id of its words and its bucket keys."""
 
@@ -44,8 +58,10 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             for at, some in slices(batch.column(1)):
                 uids, sets = zip(*(_shingles(cache, t.as_py()) for t in some), strict=True)
                 sizes = np.array([len(s) for s in sets])
-                keys = band_keys(np.concatenate(sets), np.cumsum(sizes) - sizes, FINE_BANDS, FINE_ROWS, BANDS * ROWS)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, FINE_BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                bands = band_keys(np.concatenate(sets), np.cumsum(sizes) - sizes, FINE_BANDS, FINE_ROWS, BANDS * ROWS)
+                tables = table_keys(np.array([fingerprint(t.as_py()) for t in some], dtype=np.int64))
+                keys = np.concatenate([tables, bands.reshape(len(some), FINE_BANDS).view(np.int64)], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(np.array(uids, dtype=np.uint64).view(np.int64)), lists], ["doc_id", "uid", "keys"])
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "doc_id long, uid long, keys array<long>")
