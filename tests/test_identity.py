@@ -142,3 +142,13 @@ def test_context_is_added_as_by_the_fold(spark, seed):
     b = spark.createDataFrame(bridge, "keyword_id string, item_idx int, domain string, tier string").selectExpr("*", "timestamp_ntz'2024-01-01' as published_at")
     got = consolidation.enrich_context(spark.createDataFrame(keywords, "position int, keyword_id string, keyword string, aliases array<string>"), b).collect()
     assert {r.keyword: (list(r.aliases), r.matches) for r in got} == plain_enriched(keywords, bridge, dependent, anchors)
+
+
+def test_history_is_as_long_as_the_parts(spark, monkeypatch):
+    from trendspan.operators import identity as idt
+    from trendspan.plans import identity as plans
+
+    seen = {}
+    monkeypatch.setattr(idt, "canonical_ids", lambda today, history: seen.update(today=today, history=history))
+    plans.canonical_ids(spark, "/root/testdata/sf0.001")
+    assert 0 < seen["history"].count() <= 3 * seen["today"].count()

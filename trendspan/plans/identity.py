@@ -33,7 +33,9 @@ SELECT 'k' || p_partkey AS own_id, coalesce(f.id, 'k' || p_partkey) AS canonical
 def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's id, or the one that its names had in the newest snapshots, which none before it took."""
     parts = _aliased(names(spark, sf_dir))
-    seen = keywords(spark, sf_dir).select("keyword_id", "seen_at").join(parts, "keyword_id")
+    # Of a part's lines only the newest decides, so they are added up before they get the part's names.
+    newest = keywords(spark, sf_dir).groupBy("keyword_id").agg(F.max("seen_at").alias("seen_at"))
+    seen = newest.join(parts, "keyword_id")
     every = F.concat(F.array("keyword"), "aliases")
     history = seen.select(F.explode(every).alias("alias"), F.concat(F.lit("k"), 3 * F.col("keyword_id")).alias("canonical_id"), F.col("seen_at").alias("created_at"))
     today = parts.select(F.col("keyword_id").alias("position"), F.concat(F.lit("k"), "keyword_id").alias("own_id"), "keyword", "aliases")
