@@ -9,7 +9,7 @@ from trendspan.functions import text as tx
 from trendspan.functions import times as tm
 from trendspan.functions import urls as ur
 from trendspan.plans.registry import Registry
-from trendspan.sources.tables import NAMES_SQL, names, pages, table
+from trendspan.sources.tables import NAMES_SQL, names, pages, spread, table
 
 R = Registry()
 
@@ -18,7 +18,7 @@ SUFFIXES = ["", " 2.0", " 1.2.3", " 3.5 mini", " b1234", " outage", " plugin sup
 
 
 def suffixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = names(spark, sf_dir)
+    n = spread(names(spark, sf_dir))
     return n.select("keyword_id", F.concat("keyword", F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("keyword_id") % len(SUFFIXES)).cast("int") + 1)).alias("keyword"), "family", "size", "price")
 
 
