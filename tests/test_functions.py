@@ -171,3 +171,24 @@ def test_viewer_hash_is_hmac(spark):
     assert one(spark, kw.enriched(F.col("t"), F.lit("memory")), t="claude") == "claude memory"
     assert one(spark, kw.first_of_srcset(F.col("t")), t=" https://a/1.png 1x, https://a/2.png 2x") == "https://a/1.png"
     assert one(spark, kw.legacy_type(F.lit("video"), F.col("t"), F.col("t")), t="a.com") == "data"
+
+
+def _times(spark, column, sign, **row):
+    """How often a plan that selects the column names a pattern."""
+    df = spark.createDataFrame([row], ", ".join(f"{c} string" for c in row))
+    return df.select(column.alias("c"))._jdf.queryExecution().optimizedPlan().toString().count(sign)
+
+
+def test_dear_values_are_computed_once(spark):
+    c = F.col
+    assert _times(spark, sc.source_quality(F.lit("Some words"), c("t"), c("s"), c("u"), F.lit("a.com")), "@:]+", t="a", s="b", u="c") <= 4
+    from trendspan.operators import changelogs as cl
+
+    assert _times(spark, cl.clean_body(c("b"), c("h")), "September", b="x", h="y") <= 4
+    assert _times(spark, cl.item_title(c("p"), c("b")), "embedding", p="x", b="y") <= 4
+
+
+def test_small_tables_are_spread_before_the_work(spark):
+    from trendspan.plans import texts
+
+    assert texts.suffixed(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism

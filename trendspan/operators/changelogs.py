@@ -78,40 +78,54 @@ def entries(pages: DataFrame, keys: Sequence[str], html: str = "html", segment:
 def clean_body(body: Column, heading: Column) -> Column:
     """A body without its heading said again, dates and badges."""
     quoted = F.regexp_replace(heading, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    # Values that are named several times are computed once: else each step would repeat all before it.
     t = F.regexp_replace(body, F.concat(F.lit("(?i)^(?:"), quoted, F.lit(r"\s*)+")), F.lit(""))
     # Only the first date goes; the rest of the body follows it whole.
-    first = F.regexp_extract(t, rf"(?s)^(.*?)({ANY_DATE})(.*)$", 2)
-    t = F.when(first != "", F.concat(F.regexp_extract(t, rf"(?s)^(.*?)({ANY_DATE})(.*)$", 1), F.lit(" "), F.regexp_extract(t, rf"(?s)^(.*?)({ANY_DATE})(.*)$", 3))).otherwise(t)
+    part = lambda t, k: F.regexp_extract(t, rf"(?s)^(.*?)({ANY_DATE})(.*)$", k)
+    t = tx.once(t, lambda t: F.when(t.rlike(ANY_DATE), F.concat(part(t, 1), F.lit(" "), part(t, 3))).otherwise(t))
     t = F.regexp_replace(t, r"(?<=[a-z])(?=(Released|Added|Launched|Introduced)\b)", " ")
     t = F.regexp_replace(t, r"\b(Update|Feature|MODEL RELEASED|API UPDATED|New)\b", " $1 ")
     t = tx.collapse(F.regexp_replace(t, r"\s+([,.;:])", "$1"))
-    plain = F.regexp_replace(t, r"(?i)^(?:Update|Feature|New)\s+(?:v\d+/[a-z0-9_/-]++\s*+)+", "")
-    # Else what stands before an action, of eight words at most, goes; words are taken whole, so that no text takes long.
-    action = F.regexp_extract(t, r"(?i)^(?:[a-z0-9_/-]++\s++){0,9}(Released|Added|Launched|Introduced)\b", 1)
-    acted = F.when(action != "", F.substring(t, F.instr(t, action), F.length(t))).otherwise(t)
-    return F.trim(F.when(plain != t, plain).otherwise(acted))
+
+    def from_action(t: Column) -> Column:
+        # What stands before an action, of eight words at most, goes; words are taken whole, so that no text takes long.
+        action = F.regexp_extract(t, r"(?i)^(?:[a-z0-9_/-]++\s++){0,9}(Released|Added|Launched|Introduced)\b", 1)
+        return tx.once(action, lambda a: F.when(a != "", F.substring(t, F.instr(t, a), F.length(t))).otherwise(t))
+
+    def last(t: Column) -> Column:
+        plain = F.regexp_replace(t, r"(?i)^(?:Update|Feature|New)\s+(?:v\d+/[a-z0-9_/-]++\s*+)+", "")
+        return F.trim(tx.once(plain, lambda p: F.when(p != t, p).otherwise(from_action(t))))
+
+    return tx.once(t, last)
 
 
 def item_title(provider: Column, body: Column) -> Column:
     """What a body's first sentence about a release launches, or the sentence; 96 characters at most, with the provider."""
-    text = tx.collapse(body)
-    sentence = F.coalesce(F.get(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s.rlike(RELEASE)), F.lit(0)), text)
-    subjects = [F.nullif(F.trim(F.regexp_replace(tx.collapse(F.regexp_extract(sentence, p, 1)), r"\.$", "")), F.lit("")) for p in SUBJECTS]
-    headline = F.coalesce(F.when(sentence.rlike(RELEASE), F.coalesce(*subjects)), sentence)
-    for tail in (r"(?i)\s+(is|are)\s+now\s+available\b.*$", r"(?i)\s+(is|are)\s+available\b.*$", r"(?i)\s+launched\b.*$"):
-        headline = F.regexp_replace(headline, tail, "")
-    headline = F.trim(F.regexp_replace(tx.collapse(headline), r"\.$", ""))
-    short = F.when(F.length(headline) > MOST_TITLE, F.concat(F.trim(F.substring(headline, 1, MOST_TITLE - 3)), F.lit("..."))).otherwise(headline)
-    return F.when(F.contains(F.lower(short), F.lower(provider)), short).otherwise(F.concat(provider, F.lit(": "), short))
+    tail = r"(?i)\s+(is|are)\s+now\s+available\b.*$", r"(?i)\s+(is|are)\s+available\b.*$", r"(?i)\s+launched\b.*$"
+
+    def headline(sentence: Column) -> Column:
+        subjects = [F.nullif(F.trim(F.regexp_replace(tx.collapse(F.regexp_extract(sentence, p, 1)), r"\.$", "")), F.lit("")) for p in SUBJECTS]
+        h = F.coalesce(F.when(sentence.rlike(RELEASE), F.coalesce(*subjects)), sentence)
+        for t in tail:
+            h = F.regexp_replace(h, t, "")
+        return F.trim(F.regexp_replace(tx.collapse(h), r"\.$", ""))
+
+    cut = lambda h: F.when(F.length(h) > MOST_TITLE, F.concat(F.trim(F.substring(h, 1, MOST_TITLE - 3)), F.lit("..."))).otherwise(h)
+    told = lambda short: F.when(F.contains(F.lower(short), F.lower(provider)), short).otherwise(F.concat(provider, F.lit(": "), short))
+    first = lambda text: F.coalesce(F.get(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s.rlike(RELEASE)), F.lit(0)), text)
+    sentence = tx.once(tx.collapse(body), first)
+    return tx.once(tx.once(tx.once(sentence, headline), cut), told)
 
 
 def release_items(pages: DataFrame, keys: Sequence[str], now: str, hours: int = 72) -> DataFrame:
     """``keys, n, title, published_at, summary``: the useful entries of the window, each title once a provider. ``pages`` has ``provider`` among its keys."""
     at = F.lit(now).cast("timestamp_ntz")
-    dated = entries(pages, keys).withColumns({"published_at": provider_date(F.col("heading"), at).cast("timestamp_ntz"), "body": clean_body(F.col("body"), F.col("heading"))})
-    real = dated.where("published_at is not null and body <> ''").withColumn("begin", F.substring("body", 1, 120))
+    # Entries outside the window can neither be items nor stand for others, as equal ones are of one date; bodies are cleaned for the rest.
+    dated = entries(pages, keys).withColumn("published_at", provider_date(F.col("heading"), at).cast("timestamp_ntz"))
+    dated = dated.where(F.col("published_at") > at - F.make_dt_interval(hours=F.lit(hours)))
+    real = dated.withColumn("body", clean_body(F.col("body"), F.col("heading"))).where("body <> ''").withColumn("begin", F.substring("body", 1, 120))
     first = lambda df, by: df.groupBy(*by).agg(F.min_by(F.struct(*(c for c in df.columns if c not in by)), "n").alias("r")).select(*by, "r.*")
     once = first(real, [*keys, "published_at", "begin"])
-    useful = once.where((F.col("published_at") > at - F.make_dt_interval(hours=F.lit(hours))) & F.col("body").rlike(RELEASE) & ~F.col("body").rlike(LOW_VALUE))
+    useful = once.where(F.col("body").rlike(RELEASE) & ~F.col("body").rlike(LOW_VALUE))
     titled = useful.withColumn("title", item_title(F.col("provider"), F.col("body"))).withColumn("low", F.lower("title"))
     return first(titled, [*keys, "low"]).select(*keys, "n", "title", "published_at", F.substring("body", 1, 500).alias("summary"))
