@@ -136,6 +136,18 @@ def test_library_pieces(texts, library):
     assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_a_word_is_learned_once_whatever_follows_it(library):
+    marks = ["", ".", ",", "!?", "...", ")", '"', "-", "_", "##", "'", "'s", "'S", "’s", "»", "\u0301.", "\x7f.", "\n", "\n\n", ".\n", " .", "\xa0."]
+    words = [" gerontion", " Züriché", "a×", "a÷", " ß", " x1", " 1x", " Ж", " 漢", " ÿ", " <|", " |>"]
+    texts = [w + m + w + m for w in words for m in marks]
+    pieces = ts.LibraryPieces(PATH)
+    ids, counts = pieces.table.texts(pa.array(texts, pa.string()))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    fresh = ts.LibraryPieces(PATH)
+    fresh.table.texts(pa.array([f" gerontion{m}" for m in [".", ",", "!", "?", ";", ":", ")"]], pa.string()))
+    assert fresh.table.count == 8
+
+
 def test_token_files(spark, texts, library):
     rng = random.Random(8)
     rows = [(i * 3, t, 1) for i, t in enumerate(texts)] + [(None, "null id", 2), (9, None, 3), (9, None, 3)]

@@ -2,7 +2,8 @@
 
 A batch of texts is one run of bytes. It is cut before each blank or line feed where no word of the byte-level
 pattern can cross, every piece of up to ``WIDEST`` bytes is loaded into four 64-bit words, and the words are
-looked up in an open-addressing table by array operations. Only pieces that the table doesn't hold, and longer
+looked up in an open-addressing table by array operations. Where ``marks`` is set, it is also cut between a letter and a
+punctuation mark, so a word is learned once, whatever follows it. Only pieces that the table doesn't hold, and longer
 ones, are encoded, each once. Keys are compared whole, so equal hashes never confuse two pieces.
 """
 
@@ -23,6 +24,12 @@ _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0
 
 #: For a list of pieces: all their ids in one array, and the number of ids of each.
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: The same for pieces that lie in one run of bytes, with their lengths.
+EncodeRun = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+#: Which bytes are ASCII letters, and which are ASCII marks other than the apostrophe, which may begin a contraction.
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -34,15 +41,15 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class PieceTable:
-    def __init__(self, encode: Encode, specials: list[bytes]):
-        self.encode, self.specials = encode, specials
+    def __init__(self, encode: Encode, specials: list[bytes], encode_run: EncodeRun | None = None, marks: bool = False, entries: int = ENTRIES):
+        self.encode, self.specials, self.encode_run, self.marks, self.entries = encode, specials, encode_run, marks, entries
         self.long: dict[bytes, np.ndarray] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.count, self.used = 0, 0
         self.keys = [np.empty(1 << 12, dtype=np.uint64) for _ in range(4)]
-        self.at, self.n = np.empty(1 << 12, dtype=np.int64), np.empty(1 << 12, dtype=np.int64)
+        self.at, self.n = np.empty(1 << 12, dtype=np.int32), np.empty(1 << 12, dtype=np.int32)
         self.flat = np.empty(1 << 14, dtype=np.uint16)
         self.slots = np.full(1 << 14, -1, dtype=np.int32)
 
@@ -57,8 +64,16 @@ class PieceTable:
         return (h >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
 
     def _find(self, words: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-        found = np.full(len(h), -1, dtype=np.int64)
-        left, slot = np.arange(len(h)), self._slot(h)
+        # Most are found, or have an empty slot, at once; only the others are gathered from the arrays.
+        slot = self._slot(h)
+        found = self.slots.take(slot).astype(np.int64)
+        full = found >= 0
+        hit = full.copy()
+        for k, w in zip(self.keys, words, strict=True):
+            hit &= k.take(found, mode="clip") == w
+        found[~hit] = -1
+        left = np.flatnonzero(full & ~hit)
+        slot = (slot[left] + 1) & (len(self.slots) - 1)
         while len(left):
             entry = self.slots[slot]
             full = entry >= 0
@@ -108,7 +123,7 @@ class PieceTable:
             return np.empty(0, dtype=np.uint16), np.zeros(len(bounds) - 1, dtype=np.int64)
         padded = np.zeros(size + 40, dtype=np.uint8)
         padded[:size] = data[:size]
-        starts = self._starts(padded, size, bounds)
+        starts = self._starts(padded, size, bounds, self.marks)
         lengths = np.diff(starts, append=size)
         at8 = np.ndarray((size + 32,), dtype="<u8", buffer=padded, strides=(1,))
         words = [at8[starts + 8 * k] & _MASKS[np.clip(lengths - 8 * k, 0, 8)] for k in range(4)]
@@ -118,12 +133,12 @@ class PieceTable:
         entry = self._find(words, h)
         new = np.flatnonzero((entry < 0) & short)
         if len(new):
-            if self.count + len(new) > ENTRIES:
+            if self.count + len(new) > self.entries:
                 self._clear()
                 new = np.flatnonzero(short)
             self._learn(padded, starts, lengths, words, h, new)
             entry = self._find(words, h) if len(new) > len(h) // 2 else self._refind(entry, words, h, new)
-        counts, begin = self.n[entry], self.at[entry]
+        counts, begin = self.n[entry].astype(np.int64), self.at[entry].astype(np.int64)
         flat = self.flat
         wide = np.flatnonzero(~short)
         if len(wide):
@@ -154,8 +169,11 @@ class PieceTable:
         other = np.ones(len(s), dtype=bool)
         other[1:] = np.logical_or.reduce([w[s[1:]] != w[s[:-1]] for w in words])
         s = s[other]
-        raw = padded.tobytes()
-        ids, counts = self.encode([raw[b:e] for b, e in zip(starts[s].tolist(), (starts[s] + lengths[s]).tolist(), strict=True)])
+        if self.encode_run is not None:
+            ids, counts = self.encode_run(gathered(padded, starts[s], lengths[s]), lengths[s])
+        else:
+            raw = padded.tobytes()
+            ids, counts = self.encode([raw[b:e] for b, e in zip(starts[s].tolist(), (starts[s] + lengths[s]).tolist(), strict=True)])
         self._add([w[s] for w in words], h[s], ids, counts)
 
     def _long(self, piece: bytes) -> np.ndarray:
@@ -168,10 +186,11 @@ class PieceTable:
         return got
 
     @staticmethod
-    def _starts(padded: np.ndarray, size: int, bounds: np.ndarray) -> np.ndarray:
+    def _starts(padded: np.ndarray, size: int, bounds: np.ndarray, marks: bool = False) -> np.ndarray:
         """Where pieces begin: at each text, and before a blank or a single line feed between other characters.
 
-        A character outside ASCII that might be white space never counts as a character beside a cut.
+        A character outside ASCII that might be white space never counts as a character beside a cut. With ``marks`` a piece also begins
+        at a mark after a letter of ASCII or of U+00C0 to U+00FF: no word of the pattern has both.
         """
         text, after = padded[:size], padded[1 : size + 1]
         # What follows a cut must not be white space, of which those outside ASCII begin with these bytes.
@@ -183,6 +202,11 @@ class PieceTable:
         # The last byte of a text looks beyond its end.
         last = last_bytes(bounds)
         cut[last[~np.isin(last, inside)]] = False
+        if marks:
+            letter = _LETTER[text]
+            # After 0xC3 come the letters U+00C0 to U+00FF, and two signs.
+            letter[1:] |= (text[:-1] == 0xC3) & (text[1:] != 0x97) & (text[1:] != 0xB7)
+            cut[1:] |= letter[:-1] & _MARK[text[1:]]
         return np.flatnonzero(cut)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +251,12 @@ def slices(column: pa.Array, limit: int = 500_000):
         at = upto
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of an array one after the other."""
+    ends = np.cumsum(lengths)
+    return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def last_bytes(bounds: np.ndarray) -> np.ndarray:
     return bounds[1:][bounds[:-1] < bounds[1:]] - 1
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trendspan.llm.pieces import PieceTable, slices
+from trendspan.llm.pieces import PieceTable, gathered, slices
 from trendspan.llm.shared import Scratch, table
 
 MAGIC = b"TSC2"
@@ -59,10 +59,12 @@ _FIRST2 = np.repeat([1000, 16000, 28000, 38000], 4)
 U = np.uint64
 _WORD = U(32)
 
+#: Pieces that a worker's table holds, 60 bytes each; the library's ids cost most where a piece isn't there.
+ENTRIES = 1_500_000
 #: Pieces that are encoded as one text; the library is slower on longer texts.
 JOINED = 256
-#: First bytes of characters outside ASCII some of which are white space.
-_MAYBE_BLANK = b"\xc2\xe1\xe2\xe3"
+#: First bytes of visible characters; some characters outside ASCII that begin with those left out are white space.
+_VISIBLE = np.array([b > 32 and b not in b"\xc2\xe1\xe2\xe3" for b in range(256)])
 
 
 class LibraryPieces:
@@ -84,32 +86,42 @@ class LibraryPieces:
         size = self.tokenizer.get_vocab_size()
         # A token's bytes: as many as the characters that byte-level vocabularies write for them.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
-        self.table = PieceTable(self.encode_pieces, [t.content.encode() for t in specials.values()])
+        self.table = PieceTable(self.encode_pieces, [t.content.encode() for t in specials.values()], self.encode_run, True, ENTRIES)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_run(np.frombuffer(b"".join(pieces), dtype=np.uint8), np.array([len(p) for p in pieces], dtype=np.int64))
+
+    def encode_run(self, run: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that begin with a blank before a visible character are encoded as one text, which is faster.
 
         No word crosses their bounds, so the ids fall to the pieces by their numbers of bytes. A character outside ASCII
         that might be white space does not count as visible.
         """
-        joined = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and p[1] > 32 and p[1] not in _MAYBE_BLANK and p[-1] > 32 and p.find(b"<|") < 0]
-        apart = np.setdiff1d(np.arange(len(pieces)), joined)
-        texts = [b"".join(map(pieces.__getitem__, joined[at : at + JOINED])).decode() for at in range(0, len(joined), JOINED)]
-        found = self.words.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.array([i for e in found for i in e.ids], dtype=np.uint16)
-        ends = np.cumsum(self.width[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in joined])) + 1
-        others = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode() for i in apart.tolist()], add_special_tokens=False)]
-        counts = np.zeros(len(pieces), dtype=np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        plain = lengths > 1
+        at = starts[plain]
+        plain[plain] = (run[at] == 32) & _VISIBLE[run[at + 1]] & (run[ends[plain] - 1] > 32)
+        marked = np.flatnonzero((run[:-1] == 60) & (run[1:] == 124))
+        plain[np.searchsorted(ends, marked, side="right")] = False
+        joined, apart = np.flatnonzero(plain), np.flatnonzero(~plain)
+        upto = np.cumsum(lengths[joined])
+        raw = gathered(run, starts[joined], lengths[joined]).tobytes()
+        edges = [0, *upto[JOINED - 1 :: JOINED].tolist(), len(raw)]
+        found = self.words.encode_batch_fast([raw[a:b].decode() for a, b in zip(edges, edges[1:], strict=False) if a < b], add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, dtype=np.uint16), *(np.array(e.ids, dtype=np.uint16) for e in found)])
+        cuts = np.searchsorted(np.cumsum(self.width[ids]), upto) + 1
+        raw = run.tobytes()
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[apart].tolist(), ends[apart].tolist(), strict=True)], add_special_tokens=False)]
+        counts = np.zeros(len(lengths), dtype=np.int64)
         counts[joined] = np.diff(cuts, prepend=0)
         counts[apart] = [len(o) for o in others]
         # All ids stand in the order joined, apart; each piece's are gathered from there.
         flat = np.concatenate([ids, np.array([i for o in others for i in o], dtype=np.uint16)])
-        begin = np.zeros(len(pieces), dtype=np.int64)
+        begin = np.zeros(len(lengths), dtype=np.int64)
         begin[joined] = cuts - counts[joined]
         begin[apart] = len(ids) + np.cumsum(counts[apart]) - counts[apart]
-        upto = np.cumsum(counts)
-        return flat[np.repeat(begin - (upto - counts), counts) + np.arange(int(counts.sum()))], counts
+        return gathered(flat, begin, counts), counts
 
 
 _LIBRARY: dict[str, LibraryPieces] = {}
