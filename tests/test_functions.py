@@ -43,6 +43,15 @@ def test_text_golden(spark):
     assert one(spark, tx.lookup_keys(F.col("t"), F.array(F.lit("Vibe-Coding"))), t="vibe coding") == ["vibe coding", "vibecoding"]
 
 
+
+def test_compatibility_forms_are_folded_without_python(spark):
+    rows = [("ｶﾞＡ１ ㈱ ﬁ é ①",), ("plain",), ("",), (None,)]
+    out = spark.createDataFrame(rows, "s string").select("s", tx.fold_compatibility(F.col("s")).alias("n"))
+    assert [r.n for r in out.collect()] == ["ガA1 (株) fi é 1", "plain", "", None]
+    made = spark.range(9).select(tx.fold_compatibility(F.concat(F.lit("Ａ"), "id")).alias("n")).where("n <> 'A0'")
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 8
+
+
 def test_urls_golden(spark):
     s = lambda f, v: one(spark, f(F.col("t")), t=v)
     assert s(ur.host, "https://www.A.com/x") == "a.com" and s(ur.host, "not a url") == "not a url"

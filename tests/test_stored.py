@@ -121,3 +121,10 @@ def test_manual_videos(spark):
     assert sorted(r.seq for r in refused.collect()) == [7, 9]
     moved = ad.change_manual_videos(stored, ad.manual_video_commands(commands))
     assert {r.video_id: (r.title, r.video_type) for r in moved.collect()} == {"x": ("t", "unknown"), "b": ("kept", "unknown")}
+
+
+def test_an_empty_table_is_read_without_python(spark, tmp_path):
+    table = StoredTable(spark, str(tmp_path / "empty"), "id long, tags array<string>", ["id"])
+    empty = table.read()
+    assert empty.dtypes == [("id", "bigint"), ("tags", "array<string>")] and empty.count() == 0
+    assert "RDD" not in empty._jdf.queryExecution().executedPlan().toString()

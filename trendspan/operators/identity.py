@@ -33,7 +33,7 @@ def canonical_ids(keywords: DataFrame, history: DataFrame) -> DataFrame:
     ``keywords`` has ``position`` (unique), ``own_id, keyword, aliases``. An id that a keyword before took, or that any keyword has as its own, is not
     to be had; keywords without one keep theirs.
     """
-    # Names one to a row: compatibility forms are folded in Python, which no function over arrays can call.
+    # Names one to a row: compatibility forms are folded by a class of ICU, which no function over arrays can call.
     named = keywords.select("position", F.posexplode(names()).alias("at", "name")).where("name is not null")
     named = named.select("position", F.posexplode(alias_keys(F.col("name"))).alias("form", "key"), (F.col("at") * 2).alias("at")).withColumn("at", F.col("at") + F.col("form"))
     known = named.join(newest_aliases(history), "key").join(keywords.select(F.col("own_id").alias("canonical_id")).distinct(), "canonical_id", "left_anti")

@@ -51,7 +51,8 @@ class StoredTable:
         at = (manifest or self.manifest())["parts"]
         paths = [f"{self.root}/{where}" for part, where in sorted(at.items()) if only is None or int(part) in only]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            # An empty list would be read by Python workers.
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def merge(self, batch: DataFrame, change: Change, batch_id: str) -> bool:
