@@ -82,6 +82,15 @@ def test_entries_whatever_the_segments(spark, segment):
     assert got == sorted((k, *e) for k, lines in pages for e in plain_entries(lines))
 
 
+def test_entries_are_cut_out_without_a_shuffle(spark):
+    lines = ["before", "January 5", *(chr(97 + i % 26) for i in range(2000)), "May 3", "January 6", "x" * 1300, "y", "may 4", "last"]
+    df = spark.createDataFrame([(1, "".join(f"<p>{x}</p>" for x in lines)), (None, "<p>May 1</p><p>no id</p>"), (3, None)], "id int, html string")
+    found = cl.entries(df, ["id"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.n, r.heading, r.body) for r in found.collect()}
+    assert got == {(1, *e) for e in plain_entries(lines)} | {(None, 0, "May 1", "no id")}
+
+
 DATES = [("January 31", "2024-01-31"), ("February 8", "2023-02-08"), ("February 7", "2024-02-07"), ("december 25", "2023-12-25"), ("May 3, 2022", "2022-05-03"), ("May 3, 2031", "2030-05-03"), ("February 30, 2023", "2023-03-02"), ("May 32", None), ("Mai 3", None)]
 
 

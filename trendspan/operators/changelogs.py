@@ -1,15 +1,15 @@
-"""Changelogs of providers: a state machine over a page's lines, as scans that split a long page into segments.
+"""Changelogs of providers: a state machine over a page's lines, by functions over the array of them.
 
 A line that is a date opens an entry; the lines behind it are its body until the next date, or until the body has grown beyond 1,200
-characters. Which entry a line is in, and how far into it, is what two prefix scans say: the last date so far, and the running length. Both compose, so
-each runs within segments of a page first and over the segments' ends second, and no task holds more of a page than a segment.
+characters. A page is one value of a row and its lines are made of it as a whole, so the entries are cut out there and nothing is shuffled. Of each
+entry only as many lines are looked at as a body can hold, so a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspan.functions import text as tx
@@ -27,8 +27,8 @@ SUBJECTS = [
     r"(?i)\b(.+?)\s+(?:is|are)\s+available\b",
 ]
 MOST_BODY, MOST_TITLE, FUTURE_DAYS = 1200, 96, 7
-#: Lines of a segment.
-SEGMENT = 1000
+#: Lines that a body holds at most: each has a character or more and a blank before the next.
+MOST_LINES = MOST_BODY // 2 + 1
 
 
 def text_lines(html: Column) -> Column:
@@ -51,28 +51,30 @@ def provider_date(heading: Column, now: Column) -> Column:
     return F.when(ok, F.when(of(year) > F.date_add(F.to_date(now), FUTURE_DAYS), of(year - 1)).otherwise(of(year)))
 
 
-def entries(pages: DataFrame, keys: Sequence[str], html: str = "html", segment: int = SEGMENT) -> DataFrame:
-    """``keys, n, heading, body``: the dated entries of pages, by the number of the line that opens each. ``keys`` tell pages apart."""
-    keys = list(keys)
-    lines = pages.select(*keys, F.posexplode(text_lines(F.col(html))).alias("n", "line"))
-    lines = lines.withColumns({"dated": F.col("line").rlike(EXACT_DATE), "segment": F.floor(F.col("n") / segment), "size": F.length("line") + 1})
-    inside = Window.partitionBy(*keys, "segment").orderBy("n")
-    upto = F.sum("size").over(inside)
-    marked = lines.withColumn("upto", upto).withColumn("start", F.when(F.col("dated"), F.struct("n", "upto", F.col("line").alias("heading"))))
-    ends = marked.groupBy(*keys, "segment").agg(F.sum("size").alias("total"), F.max_by("start", F.when(F.col("dated"), F.col("n"))).alias("last"))
-    before = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    based = ends.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    moved = F.when(F.col("last").isNotNull(), F.struct(F.col("last.n").alias("n"), (F.col("base") + F.col("last.upto")).alias("upto"), F.col("last.heading").alias("heading")))
-    carried = based.withColumn("moved", moved).withColumn("carry", F.last("moved", ignorenulls=True).over(before)).select(*keys, "segment", "base", "carry")
-    own = F.last("start", ignorenulls=True).over(inside)
-    placed = marked.withColumn("own", own).join(carried, [*keys, "segment"])
-    entry = F.when(F.col("own").isNotNull(), F.struct(F.col("own.n").alias("n"), (F.col("base") + F.col("own.upto")).alias("upto"), F.col("own.heading").alias("heading"))).otherwise(F.col("carry"))
-    placed = placed.withColumn("entry", entry).where("entry is not null and not dated")
-    # A line belongs to the body unless what is there before it, joined by blanks, is too long already.
-    earlier = F.col("base") + F.col("upto") - F.col("size") - F.col("entry.upto") - 1
-    kept = placed.where(earlier <= MOST_BODY)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
-    return kept.groupBy(*keys, F.col("entry.n").alias("n"), F.col("entry.heading").alias("heading")).agg(joined.alias("body"))
+def entries(pages: DataFrame, keys: Sequence[str], html: str = "html", segment: int | None = None) -> DataFrame:
+    """``keys, n, heading, body``: the dated entries of pages, by the number of the line that opens each. ``keys`` tell pages apart.
+
+    ``segment`` has no effect any more: pages were once cut into segments of so many lines.
+    """
+
+    def body(lines: Column) -> Column:
+        # A line belongs to the body unless what is there before it, joined by blanks, is too long already.
+        longer = lambda t, line: F.when(F.length(t) > MOST_BODY, t).when(t == "", line).otherwise(F.concat(t, F.lit(" "), line))
+        return F.aggregate(lines, F.lit(""), longer)
+
+    def found(lines: Column, opens: Column) -> Column:
+        # Where the entries start, counted from one; an entry ends before the next one, the last with the page.
+        upto = lambda i: F.coalesce(F.get(opens, i + 1), F.size(lines) + 1)
+        own = lambda o, i: F.slice(lines, o + 1, F.least(upto(i) - o - 1, F.lit(MOST_LINES)))
+        entry = lambda o, i: F.struct((o - 1).alias("n"), F.get(lines, o - 1).alias("heading"), body(own(o, i)).alias("body"))
+        return F.transform(opens, entry)
+
+    def opens(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.when(x.rlike(EXACT_DATE), i + 1))
+        return F.array_compact(numbered)
+
+    every = tx.once(text_lines(F.col(html)), lambda lines: tx.once(opens(lines), lambda o: found(lines, o)))
+    return pages.select(*keys, F.inline(every)).where("body <> ''")
 
 
 def clean_body(body: Column, heading: Column) -> Column:
