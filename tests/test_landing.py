@@ -56,6 +56,23 @@ def test_partitions_are_bounded_and_missing_folders_are_empty(tmp_path):
     assert [p.files for p in ld.dealt([])] == [[]]
 
 
+def test_a_batch_is_read_without_python_and_as_the_source_reads_it(spark, tmp_path):
+    assert ld.landed(spark, str(tmp_path / "nowhere")).count() == 0 and ld.landed(spark, str(tmp_path)).count() == 0
+    land(tmp_path, FILES | {("rss", "a b", "0007"): "two\nlines\n"})
+    (tmp_path / "type=rss" / "feed=a b" / "stamp=0007" / "part-0.txt").write_bytes(b"two\nli\xffnes\n")
+    found = ld.landed(spark, str(tmp_path))
+    assert "Python" not in ld.dispatched(found)._jdf.queryExecution().executedPlan().toString()
+    want = [row for part in ld.dealt(ld.listed(str(tmp_path))) for row in ld.bodies(str(tmp_path), part)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_bodies_are_handed_on_in_bounded_batches():
+    rows = [("rss", "f", "1", f"n{k}", "x" * 40) for k in range(7)]
+    found = list(ld.batches(iter(rows), 100))
+    assert [b.num_rows for b in found] == [3, 3, 1]
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == rows and list(ld.batches(iter([]))) == []
+
+
 def test_selection(spark):
     rows = [("rss", "a", "1", k, f"t{k} good" if k in (2, 7) else f"t{k}", None) for k in range(9)]
     df = spark.createDataFrame(rows, "type string, feed string, stamp string, at int, title string, published_at timestamp_ntz")

@@ -1,8 +1,9 @@
 """Landed feed files as a data source of their own, and one dispatcher for all their types.
 
 Files lie under ``type=<type>/feed=<feed>/stamp=<stamp>/``. Stamps ascend as files land, so a stream's offset is the last stamp seen, and
-a restart goes on behind it. The source lists files and deals them into partitions of a bounded size; bodies are read by the executors only, through
-Arrow's file systems, so any URI that these open will do.
+a restart goes on behind it. The stream's source lists files and deals them into partitions of a bounded size; bodies are read by the executors only, through
+Arrow's file systems, so any URI that these open will do, and handed on in batches of a bounded size. A batch is read by Spark's own source of whole files,
+which takes types, feeds and stamps from the folders' names and opens only the files of the types that a reader asks for.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -22,6 +24,8 @@ from trendspan.sources import mappers as mp
 LANDED = "type string, feed string, stamp string, name string, body string"
 #: Bytes of the files that a task reads.
 PARTITION_BYTES = 32 << 20
+#: Bytes of bodies that a task hands on at once, if there is more than one.
+BATCH_BYTES = 1 << 20
 #: Types that are RSS or Atom.
 XML_TYPES = ["rss", "atom", "rsshub", "curated_rss"]
 #: Types whose items an editor chose.
@@ -83,6 +87,21 @@ def bodies(uri: str, partition: Files) -> Iterator[tuple[str, str, str, str, str
             yield kind, feed, stamp, path.rsplit("/", 1)[-1], f.read().decode("utf-8", "replace")
 
 
+def batches(rows: Iterator[tuple[str, str, str, str, str]], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, each closed by the body that fills it; as single rows they would be held by the ten thousand."""
+    names = [c.split()[0] for c in LANDED.split(", ")]
+    batch = lambda held: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 class LandedReader(DataSourceReader):
     def __init__(self, uri: str):
         self.uri = uri
@@ -90,8 +109,8 @@ class LandedReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         return dealt(listed(self.uri))
 
-    def read(self, partition: Files) -> Iterator[tuple]:
-        return bodies(self.uri, partition)
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        return batches(bodies(self.uri, partition))
 
 
 class LandedStream(DataSourceStreamReader):
@@ -107,8 +126,8 @@ class LandedStream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Files]:
         return dealt(listed(self.uri, start["stamp"], end["stamp"]))
 
-    def read(self, partition: Files) -> Iterator[tuple]:
-        return bodies(self.uri, partition)
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        return batches(bodies(self.uri, partition))
 
 
 class LandedFeeds(DataSource):
@@ -128,9 +147,23 @@ class LandedFeeds(DataSource):
         return LandedStream(self.options["path"])
 
 
+def _any_landed(uri: str) -> bool:
+    """Whether the folder is there and has folders of types."""
+    from pyarrow import fs
+
+    system, root = _file_system(uri)
+    return any(i.base_name.startswith("type=") for i in system.get_file_info(fs.FileSelector(root, allow_not_found=True)))
+
+
 def landed(spark: SparkSession, uri: str, stream: bool = False) -> DataFrame:
-    spark.dataSource.register(LandedFeeds)
-    return (spark.readStream if stream else spark.read).format("landed_feeds").load(uri)
+    if stream:
+        spark.dataSource.register(LandedFeeds)
+        return spark.readStream.format("landed_feeds").load(uri)
+    if not _any_landed(uri):
+        return spark.range(0).select(*(F.lit("").alias(c.split()[0]) for c in LANDED.split(", ")))
+    files = spark.read.schema("value string, type string, feed string, stamp string").text(uri, wholetext=True)
+    # Bytes that are no UTF-8 become replacement characters; an empty file, which has no items, gives no row.
+    return files.select("type", "feed", "stamp", F.col("_metadata.file_name").alias("name"), F.make_valid_utf8("value").alias("body"))
 
 
 _TEXT = "struct<_VALUE:string,_type:string>"
