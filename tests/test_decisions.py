@@ -77,6 +77,25 @@ def test_searches_pass_on_stop_and_fall_back(spark):
     assert sorted((r.query, r.provider, r.title, r.domain, len(r.snippet)) for r in rows) == [("a", "first", "t", "x.org", 120), ("b", "fallback", "f", "y.org", 0), ("c", "fallback", "f", "y.org", 0), ("d", "fallback", "f", "y.org", 0)]
 
 
+def test_searches_are_dealt_out_by_query(spark):
+    result = "array<struct<title:string,url:string,content:string,published_at:string>>"
+    got = F.array(F.struct(F.lit("t").alias("title"), F.lit("https://x.org").alias("url"), F.lit("c").alias("content"), F.lit(None).cast("string").alias("published_at"))).cast(result)
+    one = lambda ok, of: F.when(ok, of)
+    k = F.col("id")
+    df = spark.range(4000).select((k % 1000).alias("query"), F.floor(k / 1000).alias("place"), one(k % 3 == 0, F.lit(429)).alias("status"), F.lit(None).cast("string").alias("message"), one(k % 2 == 0, got).alias("results"))
+    fallback = spark.range(500).select(k.alias("query"), got.alias("results"))
+    found = mp.pooled_results(df, fallback, 2).select("query", "provider")
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    want = []
+    for q in range(1000):
+        first = next((i for i in (q, q + 1000) if i % 3), None)
+        if first is not None and first % 2 == 0:
+            want.append((q, "first"))
+        elif q < 500:
+            want.append((q, "fallback"))
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_exact_queries(spark):
     for keyword, exact in ((" two words ", '"two words"'), ('"kept as is"', '"kept as is"'), ("one", "one")):
         assert spark.createDataFrame([(keyword,)], "k string").select(kw.exact_query(F.col("k"))).first()[0] == exact

@@ -298,13 +298,16 @@ def pooled_results(attempts: DataFrame, fallback: DataFrame, most_keys: int = 2)
     ``attempts`` has ``query, place, status, message, results``: a query's attempts by key, of which the first ``most_keys`` count. Spent and throttled keys
     pass the query on; the first other attempt decides, and one that failed gives nothing. A query without results takes those of ``fallback`` (``query, results``).
     """
-    judged = attempts.withColumn("kind", failure_kind(F.col("status"), F.col("message")))
+    # Attempts are few bytes when they are shuffled and many in a task's memory, so they are dealt out by a fixed number, not by their size; all steps by
+    # query, the join with the fall-back included, then run on these parts.
+    dealt = attempts.repartition(4 * attempts.sparkSession.sparkContext.defaultParallelism, "query")
+    judged = dealt.withColumn("kind", failure_kind(F.col("status"), F.col("message")))
     ranked = judged.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("__n") <= most_keys)
     passed_on = F.coalesce(F.col("kind").isin("quota", "rate_limit"), F.lit(False))
-    decided = ranked.where(~passed_on).groupBy("query").agg(F.min_by(F.struct("kind", "results"), "__n").alias("a"))
-    own = decided.where(F.col("a.kind").isNull() & (F.size("a.results") > 0)).select("query", F.lit("first").alias("provider"), F.col("a.results").alias("results"))
-    asked = attempts.select("query").distinct().join(own.select("query"), "query", "left_anti")
-    other = asked.join(fallback, "query").select("query", F.lit("fallback").alias("provider"), "results")
+    decided = ranked.groupBy("query").agg(F.min_by(F.struct("kind", "results"), F.when(~passed_on, F.col("__n"))).alias("a"))
+    answered = F.coalesce(F.col("a").isNotNull() & F.col("a.kind").isNull() & (F.size("a.results") > 0), F.lit(False))
+    own = decided.where(answered).select("query", F.lit("first").alias("provider"), F.col("a.results").alias("results"))
+    other = decided.where(~answered).select("query").join(fallback.hint("merge"), "query").select("query", F.lit("fallback").alias("provider"), "results")
     rows = own.unionByName(other).select("query", "provider", F.inline("results"))
     return rows.select("query", "provider", "title", "url", ur.host(F.col("url")).alias("domain"), F.substring(F.coalesce("content", F.lit("")), 1, SEARCH_SNIPPET).alias("snippet"), "published_at")
 
