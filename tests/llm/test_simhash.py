@@ -135,3 +135,19 @@ def test_near_duplicate_stage_has_near_fingerprints_as_candidates(spark):
     tables = len(nc.MASKS)
     assert all(any(x == y for x, y in zip(keys[a][:tables], keys[b][:tables], strict=True)) for a, b in near)
     assert all(len(k) == tables + nc.FINE_BANDS for k in keys.values())
+
+
+def test_no_exploded_side_is_broadcast(spark, monkeypatch):
+    """Spark sizes the members of op7's 31 tables as if each fingerprint had one, so it broadcast all of them."""
+    from trendspan.llm import near_copies, passages
+
+    plans = {}
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df, name))
+    words = " ".join("w%d" % i for i in range(60))
+    df = spark.createDataFrame([(i, f"{words} w{60 + i % 3}") for i in range(12)], "doc_id long, text string")
+    for query in (simhash.near_duplicates, near_copies.near_copies, passages.repeated_passages):
+        assert query(spark, df).count()
+    assert len(plans["members"]) >= 3 and len(plans["candidates"]) == 1
+    for name in ("members", "candidates"):
+        assert all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in plans[name])

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendspan.llm.shared import Scratch
+from trendspan.llm.shared import Scratch, growing
 
 #: Of a set's rarest elements so many tell whether two sets met before.
 HEAD = 16
@@ -60,17 +60,17 @@ def bucket_components(scratch: Scratch, members: DataFrame, bucket: list[str], v
     enough to run inside the join. Members without a link are left out.
     """
     shared = members.groupBy(*bucket).agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
-    held = scratch.write(members.join(shared, bucket).distinct(), "members")
+    held = scratch.write(members.join(growing(shared), bucket).distinct(), "members")
     scratch.release()
     stars = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     stars = stars.where(similar) if similar is not None else stars
     links = scratch.write(verify(stars.distinct()), "stars")
     first = scratch.write(connected_components(scratch, links), "components")
 
-    placed = held.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("lead")
+    placed = held.join(growing(first.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id")).drop("lead")
     sizes = placed.groupBy(*bucket, "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy(*bucket).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    placed = scratch.write(placed.join(mixed, bucket), "mixed")
+    placed = scratch.write(placed.join(growing(mixed), bucket), "mixed")
     if placed.isEmpty():
         scratch.drop(placed, held, links)
         return first
@@ -83,9 +83,9 @@ def bucket_components(scratch: Scratch, members: DataFrame, bucket: list[str], v
         on = on & (F.col(c) == F.col(f"{c}_"))
     on = on & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
     if similar is not None:
-        crossing = outside.withColumn("a", F.col("x")).join(other.withColumn("b", F.col("y")), on & similar)
+        crossing = outside.withColumn("a", F.col("x")).join(growing(other.withColumn("b", F.col("y"))), on & similar)
     else:
-        crossing = outside.join(other, on)
+        crossing = outside.join(growing(other), on)
     more = scratch.write(verify(crossing.select(a.alias("a"), b.alias("b")).distinct()), "crossing")
     out = first
     if not more.isEmpty():
@@ -129,15 +129,15 @@ def set_components(scratch: Scratch, members: DataFrame, bucket: list[str], sets
     ``members`` has the columns of ``bucket`` and ``id``, ``sets`` the sets as arrays: ``id, shingles``.
     """
     shared = members.groupBy(*bucket).agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
-    held = scratch.write(members.join(shared, bucket).distinct(), "members")
+    held = scratch.write(members.join(growing(shared), bucket).distinct(), "members")
     scratch.release()
     stars = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.write(alike(stars, sets, similarity), "stars")
     first = scratch.write(connected_components(scratch, links), "components")
 
-    placed = held.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = held.join(growing(first.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy(*bucket).agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select(*bucket)
-    apart = placed.join(mixed, bucket).select("id", "component").distinct()
+    apart = placed.join(growing(mixed), bucket).select("id", "component").distinct()
     keyed = scratch.write(rarest(sets.join(apart, "id"), similarity), "rarest")
     sizes = keyed.groupBy("element", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("element").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")

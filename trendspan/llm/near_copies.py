@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trendspan.llm.links import set_components
 from trendspan.llm.passages import BANDS, FINE_BANDS, FINE_ROWS, ROWS, SIMILARITY, _WordHashes, band_keys, shingle_hashes
 from trendspan.llm.pieces import slices
-from trendspan.llm.shared import BROADCAST_IDS, Scratch
+from trendspan.llm.shared import BROADCAST_IDS, Scratch, growing
 from trendspan.llm.simhash import RADIUS, covering_masks, fingerprint
 
 
@@ -94,7 +94,7 @@ def near_copies(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     distinct = prints.groupBy("uid").agg(F.min("doc_id").alias("least_doc"), F.first("keys").alias("keys"))
     members = distinct.select(F.explode("keys").alias("key"), F.col("uid").alias("id"))
     shared = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key")
-    members = scratch.write(members.join(shared, "key"), "members")
+    members = scratch.write(members.join(growing(shared), "key"), "members")
     scratch.release()
     sets = shingle_sets(scratch, df, members.select(F.col("id").alias("uid")).distinct(), prints, key, text)
     found = set_components(scratch, members, ["key"], sets.withColumnRenamed("uid", "id"), SIMILARITY)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from trendspan.llm.links import set_components
 from trendspan.llm.pieces import slices
-from trendspan.llm.shared import BROADCAST_IDS, Scratch, join_counted, table
+from trendspan.llm.shared import BROADCAST_IDS, Scratch, growing, join_counted, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -232,7 +232,7 @@ def classes(scratch: Scratch, docs: DataFrame, pieces: DataFrame, distinct: Data
     """``uid, class``: the classes of all paragraphs that are linked to a different one."""
     members = pieces.select(F.explode("keys").alias("key"), "uid")
     shared = members.groupBy("key").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least <> most").select("key")
-    candidates = scratch.write(members.join(shared, "key").select("uid").distinct(), "candidates")
+    candidates = scratch.write(members.join(growing(shared), "key").select("uid").distinct(), "candidates")
     places = distinct.join(candidates, "uid").select("uid", "place.doc_id", "place.h", "place.first", "last")
     sets = shingle_sets(scratch, docs, places, key, text)
     fine = sets.select(F.explode("fine").alias("key"), "id")

@@ -45,6 +45,15 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, so that the join is a sort-merge join.
+
+    Spark sizes a plan by the files it reads and the width of its columns, an exploded constant array as if it had one
+    element. What it sizes too low it would broadcast, whole through the driver, and adaptive execution doesn't take that back.
+    """
+    return df.hint("merge")
+
+
 #: A key with more than this part of all rows is hot.
 HOT_SHARE = 256
 

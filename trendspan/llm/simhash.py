@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspan.llm.links import bucket_components
-from trendspan.llm.shared import Scratch, table
+from trendspan.llm.shared import Scratch, growing, table
 
 WIDTH = 4
 RADIUS = 4
@@ -76,10 +76,10 @@ def simhash_components(scratch: Scratch, prints: DataFrame, radius: int = RADIUS
     members = distinct.select(F.col("fp").alias("id"), F.explode(tables).alias("m")).select("m.t", F.col("id").bitwiseAND(F.col("m.mask")).alias("key"), "id")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     found = bucket_components(scratch, members, ["t", "key"], lambda pairs: pairs.where(near), similar=near)
-    classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
+    classes = distinct.join(growing(found.withColumnRenamed("node", "fp")), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     names = classes.groupBy("class").agg(F.min("least_doc").alias("component_id"))
-    named = scratch.write(classes.join(names, "class").select("fp", "component_id"), "classes")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.write(classes.join(growing(names), "class").select("fp", "component_id"), "classes")
+    return prints.join(growing(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
