@@ -7,6 +7,7 @@ import itertools
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,34 @@ def test_more_mappers(spark):
     assert (r.title, r.lang, r.feed_title) == ("T", "ko", "채널")
     web = spark.createDataFrame([(None, "https://w.com", None, None), ("t", "", "x", None)], "title string, url string, text string, published string")
     assert [(r.title, r.url, r.content) for r in mp.web_results(web).collect()] == [("", "https://w.com", "")]
+
+
+def test_few_titles_of_one_language_reach_the_costly_filters(monkeypatch):
+    """A sixth of these pairs came to the common subsequences, which took nearly all of the time."""
+    from trendspan.operators import titles as ti
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["the", "er", "an", "on", "ti", "ing", "ha", "ed", "st", "re", "ou", "of", "nd", "wh", "ea", "la", "que", "eux", "sch", "ich", "ung", "do", "par", "mb", "ly", "es", "ver", "keit"]) for _ in range(rng.randint(1, 3)))
+    some = list(dict.fromkeys(" ".join(word() for _ in range(14))[:60].strip() for _ in range(1500)))
+    some += [t[:20] + "x" + t[21:] for t in some[:100]]
+    seen, real = [], ti.common_subsequences
+    monkeypatch.setattr(ti, "common_subsequences", lambda *a: seen.append(len(a[-1])) or real(*a))
+    where, positions = np.arange(len(some)), np.arange(len(some), dtype=np.int64) * 3
+    list(ti.alike_in_cell(some, positions, where, where, 0.85))
+    assert 100 <= sum(seen) < 0.02 * len(some) ** 2 / 2
+
+
+def test_a_cell_of_repeated_characters_and_any_script():
+    from trendspan.operators import titles as ti
+
+    rng = random.Random(11)
+    some = ["a" * n for n in (1, 2, 9, 70, 80, 200, 230)] + ["".join(rng.choice("ab \U0001f600\ud800새") for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    some += [t[: len(t) // 2] + rng.choice(["", "a", "새z"]) + t[len(t) // 2 + 1 :] for t in some if len(t) > 3]
+    some = list(dict.fromkeys(some + [chr(0x4E00 + i) * 3 + "끝" for i in range(20)]))
+    rng.shuffle(some)
+    where = np.arange(len(some))
+    for first, second in ((where, where), (where[::2], where[1::2])):
+        got = {(int(x), int(y)) for xs, ys in ti.alike_in_cell(some, where, first, second, 0.85) for x, y in zip(xs, ys)}
+        pairs = itertools.combinations(where.tolist(), 2) if first is second else (sorted(p) for p in itertools.product(first.tolist(), second.tolist()))
+        want = {(a, b) for a, b in pairs if difflib.SequenceMatcher(None, some[a], some[b]).ratio() >= 0.85}
+        assert got == want and len(want) > 20

@@ -196,11 +196,13 @@ def dedup_articles(articles: DataFrame, threshold: float = 0.85) -> DataFrame:
     the greedy choice in order of preference.
     """
     rows = articles.where("link is not null and link <> ''").withColumn("__url", ur.canonical(F.col("link")))
-    one = first_per(rows, ["__url"], better_first()).drop("__url")
+    # Stored, as what follows reads it several times.
+    rk.checkpoint_dir(articles.sparkSession)
+    one = first_per(rows, ["__url"], better_first()).drop("__url").checkpoint()
     order = F.struct(*(c for c in [F.array_position(F.array(*map(F.lit, ARTICLE_TIERS)), F.col("tier")).alias("a"), (-F.coalesce("confidence", F.lit(0.0))).alias("b"), (-F.coalesce("score", F.lit(0.0))).alias("c"), F.col("position").alias("d")]))
     curated = one.where("origin_type = 'curated' and title <> ''").select("position", tx.title_key(F.col("title")).alias("key"), order.alias("o"))
     # Equal titles first, so that what is compared differs.
-    titles = curated.groupBy("key").agg(F.min_by("position", "o").alias("position"), F.min("o").alias("o"))
+    titles = curated.groupBy("key").agg(F.min_by("position", "o").alias("position"), F.min("o").alias("o")).checkpoint()
     pairs = alike_titles(titles, threshold)
     gone = losers(titles.select("position", "o"), pairs)
     stays = titles.join(gone, "position", "left_anti").select("position")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trendspan.functions import keywords as kw
 from trendspan.functions import text as tx
 from trendspan.operators import consolidation as co
+from trendspan.operators.ranking import checkpoint_dir
 from trendspan.operators.relational import first_per
 from trendspan.plans import ranking as rp
 from trendspan.plans import store
@@ -196,6 +197,8 @@ def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pages(spark, sf_dir).select((F.col("page_id") * 2).alias("id"), title.alias("title"))
     marked = own.select((F.col("id") + 1).alias("id"), F.concat("title", F.lit(" #1")).alias("title"))
     t = own.unionByName(marked).select("id", tx.title_key(F.col("title")).alias("key")).where("key <> ''").groupBy("key").agg(F.min("id").alias("position"))
+    checkpoint_dir(spark)
+    t = t.checkpoint()
     k = lambda c: t.select(F.col("position").alias(c), F.col("key").alias(f"k{c}"))
     pairs = co.alike_titles(t, 0.85).join(k("x"), "x").join(k("y"), "y")
     return pairs.select(F.col("x").alias("title_id"), F.col("y").alias("other"), kw.title_similarity(F.col("kx"), F.col("ky")).alias("similarity"))
