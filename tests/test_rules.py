@@ -274,3 +274,17 @@ def test_a_cell_of_repeated_characters_and_any_script():
         pairs = itertools.combinations(where.tolist(), 2) if first is second else (sorted(p) for p in itertools.product(first.tolist(), second.tolist()))
         want = {(a, b) for a, b in pairs if difflib.SequenceMatcher(None, some[a], some[b]).ratio() >= 0.85}
         assert got == want and len(want) > 20
+
+
+def test_dedup_reads_its_articles_once(spark):
+    """Every use of the articles left read all pages again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(link):
+        read.add(1)
+        return link
+
+    rows = [(i, f"https://a.com/{i}", t, "P2_RAW", "curated", 0.5, 1.0) for i, t in enumerate(titles(random.Random(6), 40))]
+    df = spark.createDataFrame(rows, "position long, link string, title string, tier string, origin_type string, confidence double, score double")
+    assert co.dedup_articles(df.withColumn("link", F.udf(seen, "string").asNondeterministic()("link"))).count()
+    assert len(rows) <= read.value <= 2 * len(rows)
